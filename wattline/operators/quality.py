@@ -131,8 +131,9 @@ def _first(df: DataFrame, n: int, order: Sequence[str], zone: str) -> DataFrame:
 
 def gap_hours(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
     """Hours of the grid from first to last timestamp that have no row."""
-    present = df.select(zone, ts).distinct()
-    ends = df.groupBy(zone).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    # Nulls go first, so that both uses of ``present`` share one shuffle.
+    present = df.select(zone, ts).filter(F.col(zone).isNotNull() & F.col(ts).isNotNull()).distinct()
+    ends = present.groupBy(zone).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     return hour_spine(ends, [zone], "_first", "_last", ts).join(present, [zone, ts], "left_anti")
 
 
@@ -171,13 +172,20 @@ def monthly_coverage(df: DataFrame, columns: Sequence[str], *, ts: str = TS, zon
     by_month = df.groupBy(zone, F.last_day(ts).alias("month_end")).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in columns]
     )
-    months = by_month.groupBy(zone).agg(F.min("month_end").alias("_first"), F.max("month_end").alias("_last"))
-    starts = F.sequence(F.trunc("_first", "month"), F.col("_last"), F.expr("interval 1 month"))
-    spine = months.select(zone, F.explode(starts).alias("_start")).select(zone, F.last_day("_start").alias("month_end"))
+    # Months without rows are generated up to the next month that has some; a
+    # zone has few months, and the data are scanned once.
+    start = F.trunc("month_end", "month")
+    upcoming = F.lead(start).over(Window.partitionBy(zone).orderBy("month_end"))
+    months = F.sequence(start, F.coalesce(F.add_months(upcoming, -1), start), F.expr("interval 1 month"))
+    spread = by_month.withColumn("_months", months).select("*", F.explode("_months").alias("_month"))
+    present = F.last_day("_month") == F.col("month_end")
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), share(F.col(c), F.col("_rows")).alias("coverage")) for c in columns]
+        *[
+            F.struct(F.lit(c).alias("column"), F.when(present, share(F.col(c), F.col("_rows"))).alias("coverage"))
+            for c in columns
+        ]
     )
-    return spine.join(by_month, [zone, "month_end"], "left").select(zone, "month_end", F.inline(cells))
+    return spread.select(zone, F.last_day("_month").alias("month_end"), F.inline(cells))
 
 
 def issues(

@@ -51,11 +51,13 @@ def resample_hourly(
     """
     if how not in ("mean", "sum"):
         raise ValueError(f"how must be 'mean' or 'sum', not {how!r}")
-    measured = points.filter(F.col(value).isNotNull())
+    measured = points.select(*keys, utc_floor("hour", ts).alias(ts), value)
+    for column in (*keys, ts, value):
+        measured = measured.filter(F.col(column).isNotNull())
     aggregate = (F.avg if how == "mean" else F.sum)(value)
-    hourly = measured.groupBy(*keys, utc_floor("hour", ts).alias(ts)).agg(aggregate.alias(value))
-    # The bounds read the hourly values too, so both branches share one
-    # aggregation and its shuffle: the points are scanned once.
+    hourly = measured.groupBy(*keys, ts).agg(aggregate.alias(value))
+    # The bounds read the hourly values too, and nulls are gone before grouping,
+    # so both branches plan the same aggregation and Spark runs it once.
     bounds = (
         hourly.groupBy(*keys)
         .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(value).alias("_n"))
@@ -98,7 +100,9 @@ def union_keep_first(
 def year_chunks(ranges: DataFrame, start: str, end: str, keys: Sequence[str] = (ZONE,)) -> DataFrame:
     """Calendar-year pieces of [start, end], half-open except for the last piece."""
     year_starts = F.sequence(F.trunc(start, "year"), F.to_date(end), F.expr("interval 1 year"))
-    pieces = ranges.select(*keys, start, end, F.explode(year_starts).cast("timestamp_ntz").alias("_year"))
+    pieces = ranges.select(*keys, start, end, F.explode(year_starts).alias("_year")).withColumn(
+        "_year", F.col("_year").cast("timestamp_ntz")
+    )
     next_year = F.col("_year") + F.make_ym_interval(F.lit(1))
     return (
         pieces.select(
