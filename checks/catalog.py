@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import quality, shaping  # noqa: F401
+from checks import delivery, features, quality, shaping  # noqa: F401
 from checks.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
