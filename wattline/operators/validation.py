@@ -100,6 +100,36 @@ def fold_table(
     )
 
 
+def _moments(target: str, predictor: str) -> dict[str, Column]:
+    x, y = F.col(predictor), F.col(target)
+    return {"_sx": x, "_sy": y, "_sxx": x * x, "_sxy": x * y}
+
+
+def _with_line(sums: DataFrame, count: str) -> DataFrame:
+    n, sx, sy, sxx, sxy = (F.col(c).cast("double") for c in (count, "_sx", "_sy", "_sxx", "_sxy"))
+    spread = n * sxx - sx * sx
+    slope = F.when(spread != 0, (n * sxy - sx * sy) / spread).otherwise(F.lit(0.0))
+    return (
+        sums.withColumn("slope", slope)
+        .withColumn("intercept", (sy - F.col("slope") * sx) / n)
+        .drop("_sx", "_sy", "_sxx", "_sxy")
+    )
+
+
+def linear_fit(rows: DataFrame, *, target: str, predictor: str, keys: Sequence[str] = (ZONE,)) -> DataFrame:
+    """Least-squares line of ``target`` on ``predictor`` per series."""
+    sums = [F.sum(expr).alias(name) for name, expr in _moments(target, predictor).items()]
+    return _with_line(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), *sums), "n_train")
+
+
+def linear_predict(
+    rows: DataFrame, lines: DataFrame, *, predictor: str, name: str = "y_pred", keys: Sequence[str] = (ZONE,)
+) -> DataFrame:
+    y_pred = F.col("intercept") + F.col("slope") * F.col(predictor)
+    joined = rows.join(small_side(lines.select(*keys, "slope", "intercept")), list(keys))
+    return joined.withColumn(name, y_pred).drop("slope", "intercept")
+
+
 def linear_folds(
     df: DataFrame,
     *,
@@ -115,18 +145,8 @@ def linear_folds(
     The line follows from running totals of the training months. Rows without
     predictor or target must have been removed.
     """
-    x, y = F.col(predictor), F.col(target)
-    folds = fold_table(
-        df, n_folds, ts=ts, keys=keys, sums={"_sx": x, "_sy": y, "_sxx": x * x, "_sxy": x * y}, **fold_options
-    )
-    n, sx, sy, sxx, sxy = (F.col(c).cast("double") for c in ("n_train", "_sx", "_sy", "_sxx", "_sxy"))
-    spread = n * sxx - sx * sx
-    slope = F.when(spread != 0, (n * sxy - sx * sy) / spread).otherwise(F.lit(0.0))
-    return (
-        folds.withColumn("slope", slope)
-        .withColumn("intercept", (sy - F.col("slope") * sx) / n)
-        .drop("_sx", "_sy", "_sxx", "_sxy")
-    )
+    folds = fold_table(df, n_folds, ts=ts, keys=keys, sums=_moments(target, predictor), **fold_options)
+    return _with_line(folds, "n_train")
 
 
 def linear_fold_predictions(

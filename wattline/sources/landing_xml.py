@@ -21,6 +21,8 @@ TIME_SERIES = (
 )
 REASON = "code string, text string, doc_type string, psr_type string, zone string"
 
+START_FORMAT = "yyyy-MM-dd'T'HH:mm[:ss]XXX"
+
 # Minutes per resolution code; other codes mean one hour.
 RESOLUTION_MINUTES = {"PT60M": 60, "PT30M": 30, "PT15M": 15}
 
@@ -66,7 +68,7 @@ def scan_documents(
         "psr_type",
         ZONE,
         "chunk_no",
-        F.to_timestamp(F.col("_p.timeInterval.start")).cast("timestamp_ntz").alias("_start"),
+        F.try_to_timestamp(F.col("_p.timeInterval.start"), F.lit(START_FORMAT)).cast("timestamp_ntz").alias("_start"),
         F.col("_p.resolution").alias("_resolution"),
         F.explode("_p.Point").alias("_point"),
     )
