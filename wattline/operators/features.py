@@ -80,14 +80,38 @@ def lay_out(
 
 
 def price_features(laid: BlockedSeries, spec: FeatureSpec) -> BlockedSeries:
-    p, name, short, long = spec.price, spec.price_prefix, spec.short_window, spec.long_window
-    columns = {f"{name}_lag_{k}{spec.unit}": laid.lag(p, k) for k in spec.lags}
-    columns[f"{name}_roll_{short}{spec.unit}_mean"] = laid.full(F.avg(p), p, short, spec.min_lag)
-    columns[f"{name}_roll_{long}{spec.unit}_mean"] = laid.full(F.avg(p), p, long, spec.min_lag)
-    columns[f"{name}_roll_{long}{spec.unit}_std"] = laid.full(F.stddev_samp(p), p, long, spec.min_lag)
-    columns[f"{name}_roll_{short}{spec.unit}_max"] = laid.full(F.max(p), p, short, spec.min_lag)
-    columns[f"{name}_roll_{short}{spec.unit}_min"] = laid.full(F.min(p), p, short, spec.min_lag)
-    return laid.with_columns(columns)
+    """Lags of the price, and rolling statistics that end ``min_lag`` steps back.
+
+    A sliding frame costs its length per row. Only the short frame slides; the
+    long one is put together from consecutive short ones, which lie a fixed
+    number of steps apart: sums add up, and squared deviations add up with those
+    of the short means around the long mean.
+    """
+    p, name, unit = spec.price, spec.price_prefix, spec.unit
+    short, long, shift = spec.short_window, spec.long_window, spec.min_lag
+    parts, rest = divmod(long, short)
+    if rest:
+        raise ValueError(f"the long window ({long}) must be a multiple of the short one ({short})")
+    columns = {f"{name}_lag_{k}{unit}": laid.lag(p, k) for k in spec.lags}
+    columns["_sum0"] = laid.full(F.sum(p), p, short, shift)
+    columns["_var0"] = laid.full(F.var_pop(p), p, short, shift)
+    columns[f"{name}_roll_{short}{unit}_max"] = laid.full(F.max(p), p, short, shift)
+    columns[f"{name}_roll_{short}{unit}_min"] = laid.full(F.min(p), p, short, shift)
+    laid = laid.with_columns(columns)
+    earlier = range(1, parts)
+    laid = laid.with_columns({f"{c}{i}": laid.lag(f"{c}0", i * short) for c in ("_sum", "_var") for i in earlier})
+    sums, variances = ([F.col(f"{c}{i}") for i in range(parts)] for c in ("_sum", "_var"))
+    mean = sum(sums[1:], sums[0]) / long
+    gaps = [(s / short - mean) * (s / short - mean) for s in sums]
+    squares = (sum(variances[1:], variances[0]) + sum(gaps[1:], gaps[0])) * short
+    laid = laid.with_columns(
+        {
+            f"{name}_roll_{short}{unit}_mean": sums[0] / short,
+            f"{name}_roll_{long}{unit}_mean": mean,
+            f"{name}_roll_{long}{unit}_std": F.sqrt(squares / (long - 1)),
+        }
+    )
+    return laid.drop(*[f"{c}{i}" for c in ("_sum", "_var") for i in range(parts)])
 
 
 def fundamental_features(laid: BlockedSeries, spec: FeatureSpec) -> BlockedSeries:
@@ -114,7 +138,7 @@ def renewables_features(laid: BlockedSeries, spec: FeatureSpec) -> BlockedSeries
     if "_renewables" in totals:
         columns[f"renewables_total_lag{near}"] = laid.lag("_renewables", near)
     done = laid.with_columns(columns)
-    return BlockedSeries(done.df.drop("_renewables"), done.keys, done.mode, done.step)
+    return done.drop("_renewables")
 
 
 def feature_columns(columns: Sequence[str], spec: FeatureSpec, keys: Sequence[str] = (ZONE,), ts: str = TS) -> list[str]:

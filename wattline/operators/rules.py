@@ -233,9 +233,22 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
     )
     look_back = max([1, *[int(args[0 if kind == "flatline" else 1]) - 1 for _, _, kind, args in sequence_rules if kind != "jump"]])
     laid = block_series(long, [zone, "_column"], ts, look_back=look_back, block_steps=block_steps)
+    laid = laid.with_columns({"_previous": laid.lag("_value", 1)})
+    # Counts over the last n rows are differences of running counts, so the cost
+    # per row does not grow with n.
+    running = {"_changes": laid.running(F.count_if(F.col("_value") != F.col("_previous")))}
+    for n, _, kind, args in sequence_rules:
+        if kind == "spike":
+            running[f"_high{n}"] = laid.running(F.count_if(F.col("_value") > args[0]))
+    laid = laid.with_columns(running)
     oks: dict[str, Column] = {}
     for n, _, kind, args in sequence_rules:
-        oks[f"ok{n}"] = _SEQUENCE_CHECKS[kind](laid, first_row_passes, *args)
+        if kind == "jump":
+            oks[f"ok{n}"] = _jump_ok(first_row_passes, *args)
+        elif kind == "flatline":
+            oks[f"ok{n}"] = _flatline_ok(laid, first_row_passes, *args)
+        else:
+            oks[f"ok{n}"] = _spike_ok(laid, f"_high{n}", *args)
     judged = laid.with_columns(oks).own_rows()
     aggregates = []
     for n, column, _, _ in sequence_rules:
@@ -244,25 +257,23 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
     return _long_counts(judged.groupBy(zone).agg(*aggregates), [n for n, *_ in sequence_rules], zone)
 
 
-def _jump_ok(laid, first_row_passes: bool, limit: float) -> Column:
+def _jump_ok(first_row_passes: bool, limit: float) -> Column:
     """Without a previous value there is no change to compare: a violation by default."""
-    return F.coalesce(F.abs(F.col("_value") - laid.lag("_value", 1)) <= limit, F.lit(first_row_passes))
+    return F.coalesce(F.abs(F.col("_value") - F.col("_previous")) <= limit, F.lit(first_row_passes))
 
 
 def _flatline_ok(laid, first_row_passes: bool, size: float) -> Column:
-    """A spread above zero, which a single value does not have."""
-    varied = laid.over(F.max("_value"), int(size)) > laid.over(F.min("_value"), int(size))
-    if not first_row_passes:
-        return varied
-    return varied | (laid.over(F.count("_value"), int(size)) == 1)
-
-
-def _spike_ok(laid, _first_row_passes: bool, threshold: float, size: float, allowed: float) -> Column:
-    high = F.col("_value") > threshold
-    return ~high | (laid.over(F.count_if(high), int(size)) <= int(allowed))
+    """Some change among the last ``size`` values, which a single value does not have."""
+    steps = int(size) - 1
+    if steps < 1:
+        return F.lit(False) if not first_row_passes else F.col("_previous").isNull()
+    varied = F.col("_changes") > F.coalesce(laid.lag("_changes", steps), F.lit(0))
+    return varied | F.col("_previous").isNull() if first_row_passes else varied
 
 
-_SEQUENCE_CHECKS = {"jump": _jump_ok, "flatline": _flatline_ok, "spike": _spike_ok}
+def _spike_ok(laid, running: str, threshold: float, size: float, allowed: float) -> Column:
+    recent = F.col(running) - F.coalesce(laid.lag(running, int(size)), F.lit(0))
+    return (F.col("_value") <= threshold) | (recent <= int(allowed))
 
 
 def rule_summary(results: DataFrame, zone: str = ZONE) -> DataFrame:

@@ -96,6 +96,13 @@ class BlockedSeries:
         """As ``over``, but null unless all ``size`` values are present."""
         return F.when(self.over(F.count(col), size, shift) == size, self.over(aggregate, size, shift))
 
+    def running(self, aggregate: Column) -> Column:
+        """``aggregate`` from the start of the block's halo to each row."""
+        return aggregate.over(self._window().rowsBetween(Window.unboundedPreceding, 0))
+
+    def drop(self, *columns: str) -> BlockedSeries:
+        return BlockedSeries(self.df.drop(*columns), self.keys, self.mode, self.step)
+
     def with_columns(self, columns: dict[str, Column]) -> BlockedSeries:
         return BlockedSeries(self.df.withColumns(columns), self.keys, self.mode, self.step)
 
