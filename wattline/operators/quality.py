@@ -98,12 +98,23 @@ def profile(stats: DataFrame, zone: str = ZONE) -> DataFrame:
     return stats.select(zone, "column", "dtype", "non_null", "min", "max", "mean", "std")
 
 
-def range_stats(df: DataFrame, columns: Sequence[str], *, zone: str = ZONE, accuracy: int = 10_000) -> DataFrame:
-    """Minimum, maximum and exact 1 % / 99 % quantiles per zone and column."""
+def range_stats(df: DataFrame, columns: Sequence[str], *, zone: str = ZONE, **options) -> DataFrame:
+    """Minimum, maximum and exact 1 % / 99 % quantiles per zone and column.
+
+    A column without values in a zone has no row.
+    """
     doubles = [F.col(c).cast("double").alias(c) for c in columns]
     long = df.select(zone, *doubles).unpivot([zone], list(columns), "column", "value")
-    wanted = {"min": 0.0, "p01": 0.01, "p99": 0.99, "max": 1.0}
-    return grouped_quantiles(long, [zone, "column"], "value", wanted, accuracy=accuracy).drop("n")
+    quantiles = grouped_quantiles(long, [zone, "column"], "value", {"p01": 0.01, "p99": 0.99}, **options)
+    ends = [
+        F.struct(F.lit(c).alias("column"), F.col(f"{c}#min").alias("min"), F.col(f"{c}#max").alias("max"))
+        for c in columns
+    ]
+    extremes = df.groupBy(zone).agg(
+        *[a for c in columns for a in (F.min(F.col(c).cast("double")).alias(f"{c}#min"), F.max(F.col(c).cast("double")).alias(f"{c}#max"))]
+    )
+    # One row per zone and column on both sides.
+    return extremes.select(zone, F.inline(F.array(*ends))).join(quantiles.drop("n"), [zone, "column"])
 
 
 def _repeats(df: DataFrame, ts: str, zone: str) -> DataFrame:

@@ -60,7 +60,7 @@ def row_positions(
     )
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(ts, *tiebreak)
     return (
-        bucketed.join(before, [*keys, _BUCKET])
+        bucketed.join(before.hint("shuffle_hash"), [*keys, _BUCKET])
         .withColumn(_POS, F.col(_BEFORE) + F.row_number().over(inside) - 1)
         .drop(_BUCKET, _BEFORE)
     )
