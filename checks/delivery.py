@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
-from checks.fixtures import forecast_hourly, local_sql, market_dense, with_views
+from checks.fixtures import forecast_from, forecast_hourly, local_sql, market_dense, with_views
 from checks.registry import query
 from wattline.operators import delivery, reports, signal, validation
+from wattline.session import scratch_path, settle
 from wattline.sources import tables
 
 _L = local_sql("utc_timestamp")
@@ -104,9 +105,14 @@ refs AS (
   FROM starts s LEFT JOIN prior p ON p.zone = s.zone AND rn <= {{n}} GROUP BY 1)"""
 
 
-def _reference(spark, sf_dir, n=N_REF):
-    prices = market_dense(spark, sf_dir)
-    reference = signal.prompt_reference(prices, forecast_hourly(spark, sf_dir), n_ref=n, price="price_c")
+def _stored(spark, sf_dir):
+    """Prices and forecast; several steps read them, so they are stored first."""
+    prices = settle(spark, market_dense(spark, sf_dir).select("zone", "utc_timestamp", "price_c"), "market-dense")
+    return prices, settle(spark, forecast_from(prices), "forecast")
+
+
+def _reference(prices, forecast):
+    reference = signal.prompt_reference(prices, forecast, n_ref=N_REF, price="price_c")
     return reference.withColumn("reference_price", F.col("reference_price") / 100.0)
 
 
@@ -114,7 +120,7 @@ def _reference(spark, sf_dir, n=N_REF):
     "SELECT zone, round(reference_price, 6) AS reference_price, n_reference FROM refs",
     "forecast_hourly", steps=_REFERENCE.format(n=N_REF)))
 def prompt_reference_hourly(spark, sf_dir):
-    return _reference(spark, sf_dir).withColumn("reference_price", F.round("reference_price", 6))
+    return _reference(*_stored(spark, sf_dir)).withColumn("reference_price", F.round("reference_price", 6))
 
 
 _SIGNAL = f"""{_REFERENCE.format(n=N_REF).strip()},
@@ -131,12 +137,12 @@ signals AS (
 
 
 def _signal(spark, sf_dir):
-    forecast = forecast_hourly(spark, sf_dir)
+    prices, forecast = _stored(spark, sf_dir)
     views = delivery.all_views(forecast)
     views = views.withColumns({c: F.col(c) / 100.0 for c in _VIEW})
     mae = forecast.groupBy("zone").agg((F.avg(F.abs(F.col("y_true") - F.col("y_pred"))) / 100.0).alias("mae"))
     mae = mae.withColumn("train_mae", F.col("mae") * 0.4)
-    return signal.trading_signal(views, _reference(spark, sf_dir), mae)
+    return signal.trading_signal(views, _reference(prices, forecast), mae)
 
 
 @query("trading_signal", with_views(
@@ -210,8 +216,6 @@ def price_heatmap(spark, sf_dir):
       y_pred_p90 / 100.0 AS y_pred_p90 FROM forecast_hourly""", "forecast_hourly"))
 def csv_roundtrip(spark, sf_dir):
     """Forecast written as CSV in the shared folder and read back."""
-    from wattline.session import scratch_path
-
     path = scratch_path(spark, "forecast-csv")
     tables.write_csv(forecast_output(spark, sf_dir), path)
     return tables.read_forecast(spark, path)

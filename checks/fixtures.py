@@ -66,8 +66,12 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_from(market_dense(spark, sf_dir))
+
+
+def forecast_from(market: DataFrame) -> DataFrame:
     """Last week's price as forecast, with a band that widens with the local hour."""
-    naive = seasonal_naive(market_dense(spark, sf_dir), target="price_c", name="y_pred")
+    naive = seasonal_naive(market, target="price_c", name="y_pred")
     hour = F.hour(local_time("utc_timestamp"))
     half = F.lit(1000) + F.lit(10) * hour
     return naive.filter(F.col("y_pred").isNotNull()).select(

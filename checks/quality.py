@@ -4,6 +4,7 @@ from checks.fixtures import BOUNDS_C, COLUMNS, market_dense, market_sparse, poin
 from checks.registry import query
 from wattline.operators import quality, rules
 from wattline.operators.rules import Rule
+from wattline.session import settle
 from wattline.sources.tables import report_json
 
 
@@ -14,6 +15,11 @@ def _per_column(body: str) -> str:
     )
 
 
+def _market(spark, sf_dir):
+    """Stored first, where several checks read it."""
+    return settle(spark, market_sparse(spark, sf_dir), "market-sparse")
+
+
 def _stats(spark, sf_dir):
     return quality.column_stats(market_sparse(spark, sf_dir), COLUMNS, bounds=BOUNDS_C)
 
@@ -100,14 +106,14 @@ _RANGES = _per_column(
     FROM market_sparse GROUP BY 1""")
 
 
-def _ranges(spark, sf_dir):
-    ranges = quality.range_stats(market_sparse(spark, sf_dir), COLUMNS)
+def _ranges(market):
+    ranges = quality.range_stats(market, COLUMNS)
     return ranges.withColumns({c: F.round(c, 6) for c in ("p01", "p99")})
 
 
 @query("qa_range_stats", with_views(_RANGES, "market_sparse"))
 def qa_range_stats(spark, sf_dir):
-    return _ranges(spark, sf_dir)
+    return _ranges(_market(spark, sf_dir))
 
 
 @query("qa_monthly_coverage", with_views(
@@ -146,14 +152,14 @@ issues AS (
   UNION ALL SELECT * FROM holes WHERE magnitude > 24)"""
 
 
-def _issues(spark, sf_dir):
-    market, stats = market_sparse(spark, sf_dir), _stats(spark, sf_dir)
+def _issues(market):
+    stats = quality.column_stats(market, COLUMNS, bounds=BOUNDS_C)
     return stats, quality.issues(stats, quality.duplicate_counts(market), quality.gap_counts(market))
 
 
 @query("qa_issues", with_views('SELECT zone, kind, "column", magnitude FROM issues', "market_sparse", steps=_ISSUES))
 def qa_issues(spark, sf_dir):
-    return _issues(spark, sf_dir)[1].drop("message")
+    return _issues(_market(spark, sf_dir))[1].drop("message")
 
 
 @query("qa_verdict", with_views(
@@ -161,7 +167,7 @@ def qa_issues(spark, sf_dir):
     FROM (SELECT DISTINCT zone FROM market_sparse) z LEFT JOIN issues i ON i.zone = z.zone GROUP BY 1""",
     "market_sparse", steps=_ISSUES))
 def qa_verdict(spark, sf_dir):
-    return quality.verdict(*_issues(spark, sf_dir))
+    return quality.verdict(*_issues(_market(spark, sf_dir)))
 
 
 @query("column_profile", with_views(_per_column(
@@ -179,7 +185,8 @@ def column_profile(spark, sf_dir):
       round(quantile_cont({c}, 0.01), 6) AS p01, round(quantile_cont({c}, 0.99), 6) AS p99
     FROM market_sparse GROUP BY 1"""), "market_sparse"))
 def qa_column_report(spark, sf_dir):
-    report = quality.column_report(_stats(spark, sf_dir), _ranges(spark, sf_dir))
+    market = _market(spark, sf_dir)
+    report = quality.column_report(quality.column_stats(market, COLUMNS, bounds=BOUNDS_C), _ranges(market))
     return report.withColumn("missing_pct", F.round("missing_pct", 6))
 
 
@@ -311,7 +318,7 @@ results AS (SELECT zone, name, col AS "column", severity, status, violations, fr
 
 
 def _results(spark, sf_dir):
-    return rules.run_rules(market_sparse(spark, sf_dir), ALL_RULES)
+    return rules.run_rules(_market(spark, sf_dir), ALL_RULES)
 
 
 @query("rule_results", with_views("SELECT * FROM results", "market_sparse", steps=_RESULTS))
@@ -371,7 +378,8 @@ def parse_rules(spark, sf_dir):
 
 @query("report_json")
 def quality_report(spark, sf_dir):
-    market, (stats, found) = market_sparse(spark, sf_dir), _issues(spark, sf_dir)
+    market = _market(spark, sf_dir)
+    stats, found = _issues(market)
     return report_json({
         "overview": quality.overview(market, COLUMNS),
         "missing": quality.missing(stats),

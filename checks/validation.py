@@ -75,7 +75,8 @@ def _base(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return validation.holdout_split(_base(spark, sf_dir), MONTHS)
+    """Stored first: the split, the folds and the final line all read it."""
+    return validation.holdout_split(settle(spark, _base(spark, sf_dir), "daily-base"), MONTHS)
 
 
 def _part(split, part):
@@ -86,15 +87,15 @@ def _folds(train):
     return validation.linear_folds(train, target="y", predictor="x", n_folds=FOLDS)
 
 
-def _cv(spark, sf_dir):
-    train = _part(_split(spark, sf_dir), "train")
+def _cv(spark, sf_dir, split=None):
+    train = _part(split or _split(spark, sf_dir), "train")
     folds = _folds(train)
     return folds, validation.linear_fold_predictions(train, folds, target="y", predictor="x", scale=100.0)
 
 
 def _scored(spark, sf_dir):
     split = _split(spark, sf_dir)
-    _, cv = _cv(spark, sf_dir)
+    _, cv = _cv(spark, sf_dir, split)
     naive = validation.seasonal_naive(split, target="y", season=SEASON, step_micros=DAY_MICROS, train_only=True)
     lines = validation.linear_fit(_part(split, "train"), target="y", predictor="x")
     point = validation.linear_predict(_part(naive, "test"), lines, predictor="x")

@@ -21,7 +21,7 @@ def test_empty_hour_is_null_for_prices_and_zero_for_energy(spark):
         ("DE", "load_mwh", "2024-01-01 01:00", 1.0), ("DE", "load_mwh", "2024-01-01 01:15", 2.0),
         ("DE", "load_mwh", "2024-01-01 03:00", 4.0), ("DE", "solar_mwh", "2024-01-01 03:00", None),
     ])
-    got = {(r["series"], r["utc_timestamp"].hour): r["value"] for r in shaping.resample_by_rule(raw).collect()}
+    got = {(r["series"], r["utc_timestamp"].hour): r["value"] for r in shaping.resample_hourly(raw, how="rule").collect()}
     assert got == {
         ("price_da_eur_mwh", 0): 15.0, ("price_da_eur_mwh", 1): None, ("price_da_eur_mwh", 2): 5.0,
         ("load_mwh", 1): 3.0, ("load_mwh", 2): 0.0, ("load_mwh", 3): 4.0,

@@ -34,18 +34,24 @@ def daily_blocks(
     )
 
 
-def _period(horizon: str, ts: str) -> tuple[Column, Column]:
-    """Grouping value and label of a delivery period; unknown horizons mean week."""
-    if horizon == "month":
-        return utc_floor("month", ts), F.date_format("_period", "yyyy-MM")
-    if horizon == "day":
-        return utc_floor("day", ts), F.date_format("_period", "yyyy-MM-dd")
-    return delivery_week_end(ts), delivery_week_label(F.col("_period"))
+def _period(horizon: str, ts: str) -> Column:
+    """Grouping value of a delivery period; unknown horizons mean week."""
+    if horizon in ("month", "day"):
+        return utc_floor(horizon, ts)
+    return delivery_week_end(ts)
 
 
-def delivery_views(
+def _label(horizon: str, period: str) -> Column:
+    return (
+        F.when(F.col(horizon) == "month", F.date_format(period, "yyyy-MM"))
+        .when(F.col(horizon) == "day", F.date_format(period, "yyyy-MM-dd"))
+        .otherwise(delivery_week_label(F.col(period)))
+    )
+
+
+def all_views(
     forecast: DataFrame,
-    horizon: str = "week",
+    horizons: Sequence[str] = ("week", "month"),
     *,
     value: str = "y_pred",
     bounds: tuple[str, str] | None = ("y_pred_p10", "y_pred_p90"),
@@ -54,23 +60,33 @@ def delivery_views(
     tz: str = MARKET_TZ,
     keys: Sequence[str] = (ZONE,),
 ) -> DataFrame:
-    """One row per UTC period and product with at least two hours.
+    """One row per horizon, UTC period and product with at least two hours.
 
-    Each hour belongs to base and to one of peak or off-peak, so it is doubled,
-    grouped once, and combined on the map side. With ``bounds`` the band is the
-    mean of the hourly bounds; without, it is the 10 % / 90 % quantile of the
-    hourly values (a group has at most the hours of one period).
+    Each hour belongs to base and to one of peak or off-peak in every horizon.
+    It is multiplied accordingly, grouped once for all horizons, and combined on
+    the map side. With ``bounds`` the band is the mean of the hourly bounds;
+    without, it is the 10 % / 90 % quantile of the hourly values (a group has at
+    most the hours of one period).
     """
-    period, label = _period(horizon, ts)
-    products = F.explode(F.array(F.lit("base"), F.when(is_peak(ts, tz), "peak").otherwise("offpeak")))
-    band = bounds or ()
-    hours = forecast.select(*keys, ts, value, *band, period.alias("_period"), products.alias("product_type"))
+    shaped = F.when(is_peak(ts, tz), "peak").otherwise("offpeak")
+    places = F.array(
+        *[
+            F.struct(
+                F.lit(horizon if horizon in _HORIZON_RANK else "week").alias("horizon"),
+                _period(horizon, ts).alias("_period"),
+                product.alias("product_type"),
+            )
+            for horizon in horizons
+            for product in (F.lit("base"), shaped)
+        ]
+    )
+    hours = forecast.select(*keys, ts, value, *(bounds or ()), F.inline(places))
     if bounds:
         low, high = F.avg(bounds[0]), F.avg(bounds[1])
     else:
         quantiles = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
         low, high = quantiles[0], quantiles[1]
-    grouped = hours.groupBy(*keys, "_period", "product_type").agg(
+    grouped = hours.groupBy(*keys, "horizon", "_period", "product_type").agg(
         F.min(ts).alias("start"),
         F.max(ts).alias("end"),
         F.avg(value).alias("forecast_mean_eur_mwh"),
@@ -80,8 +96,8 @@ def delivery_views(
     )
     views = grouped.filter(F.col("n_hours") >= MIN_HOURS).select(
         *keys,
-        F.lit(horizon if horizon in _HORIZON_RANK else "week").alias("horizon"),
-        F.concat_ws("-", label, "product_type").alias("period_label"),
+        "horizon",
+        F.concat_ws("-", _label("horizon", "_period"), "product_type").alias("period_label"),
         "start",
         "end",
         "product_type",
@@ -93,19 +109,16 @@ def delivery_views(
     return views if digits is None else round_views(views, digits)
 
 
+def delivery_views(forecast: DataFrame, horizon: str = "week", **options) -> DataFrame:
+    """Views of one horizon; see :func:`all_views`."""
+    return all_views(forecast, (horizon,), **options)
+
+
 def round_views(views: DataFrame, digits: int = 2) -> DataFrame:
     measures = ("forecast_mean_eur_mwh", "forecast_p10", "forecast_p90")
     return views.withColumns({c: F.round(c, digits) for c in measures})
 
 
-def all_views(forecast: DataFrame, horizons: Sequence[str] = ("week", "month"), **options) -> DataFrame:
-    """Views of several horizons in one table."""
-    views = delivery_views(forecast, horizons[0], **options)
-    for horizon in horizons[1:]:
-        views = views.unionByName(delivery_views(forecast, horizon, **options))
-    return views
-
-
 def horizon_rank(column: str = "horizon") -> Column:
     """Weekly views come before monthly ones."""
     ranks = F.create_map(*[F.lit(v) for pair in _HORIZON_RANK.items() for v in pair])

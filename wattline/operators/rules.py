@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wattline.config import TS, ZONE
 from wattline.plans.blocks import BLOCK_STEPS, block_series
@@ -85,9 +85,8 @@ def _template(rule: Rule) -> tuple[str, list[float]] | None:
     return None
 
 
-def _classify(spark: SparkSession, rule: Rule, value_type: str) -> tuple[str, str | None]:
-    """Kind of a predicate rule, found by analysing it on an empty table."""
-    empty = spark.createDataFrame([], f"s {value_type}")
+def _classify(empty: DataFrame, rule: Rule) -> tuple[str, str | None]:
+    """Kind of a predicate rule, found by analysing it on an empty one-column table."""
     try:
         empty.select("s", F.expr(rule.expression).cast("boolean")).schema
         return "row", None
@@ -117,6 +116,7 @@ def run_rules(
     """
     spark = df.sparkSession
     row_rules, scalar_rules, sequence_rules, unusable = [], [], [], []
+    empty = {}
     for number, rule in enumerate(rules):
         column = ts if rule.column == "index" else rule.column
         if column not in df.columns:
@@ -129,7 +129,10 @@ def run_rules(
         if template:
             sequence_rules.append((number, column, *template))
             continue
-        kind, error = _classify(spark, rule, df.schema[column].dataType.simpleString())
+        if column not in empty:
+            blank = F.lit(None).cast(df.schema[column].dataType)
+            empty[column] = spark.range(0).select(blank.alias("s"))
+        kind, error = _classify(empty[column], rule)
         if kind == "row":
             row_rules.append((number, column, rule))
         elif kind == "scalar":

@@ -13,10 +13,8 @@ from wattline.plans.blocks import edge_rows
 
 SERIES = "series"
 
-
-def aggregation_rule(series: str) -> str:
-    """Prices are averaged over the hour, energy is added up."""
-    return "mean" if "eur" in series else "sum"
+# Fixed value: series whose name contains this are prices.
+PRICE_MARK = "eur"
 
 
 def hour_spine(bounds: DataFrame, keys: Sequence[str], first: str, last: str, ts: str = TS) -> DataFrame:
@@ -46,15 +44,21 @@ def resample_hourly(
 ) -> DataFrame:
     """Hourly mean or sum on a dense grid between a series' first and last hour.
 
-    An empty hour is null for a mean and 0 for a sum (``empty_sum_zero=False``
-    keeps it null). A series without any value yields no rows.
+    ``how="rule"`` averages prices and adds up energy, in one pass. An empty hour
+    is null for a mean and 0 for a sum (``empty_sum_zero=False`` keeps it null).
+    A series without any value yields no rows.
     """
-    if how not in ("mean", "sum"):
-        raise ValueError(f"how must be 'mean' or 'sum', not {how!r}")
+    averaged = {"mean": F.lit(True), "sum": F.lit(False), "rule": F.col(SERIES).contains(PRICE_MARK)}
+    if how not in averaged:
+        raise ValueError(f"how must be one of {sorted(averaged)}, not {how!r}")
     measured = points.select(*keys, utc_floor("hour", ts).alias(ts), value)
     for column in (*keys, ts, value):
         measured = measured.filter(F.col(column).isNotNull())
-    aggregate = (F.avg if how == "mean" else F.sum)(value)
+    aggregate = {
+        "mean": F.avg(value),
+        "sum": F.sum(value),
+        "rule": F.when(averaged["rule"], F.avg(value)).otherwise(F.sum(value)),
+    }[how]
     hourly = measured.groupBy(*keys, ts).agg(aggregate.alias(value))
     # The bounds read the hourly values too, and nulls are gone before grouping,
     # so both branches plan the same aggregation and Spark runs it once.
@@ -64,19 +68,12 @@ def resample_hourly(
         .filter(F.col("_n") > 0)
     )
     filled = hour_spine(bounds, keys, "_first", "_last", ts).join(hourly, [*keys, ts], "left")
-    if how == "sum" and empty_sum_zero:
-        filled = filled.withColumn(value, F.coalesce(F.col(value), F.lit(0).cast(filled.schema[value].dataType)))
+    if how != "mean" and empty_sum_zero:
+        zero = F.when(~averaged[how], F.lit(0).cast(filled.schema[value].dataType))
+        filled = filled.withColumn(value, F.coalesce(F.col(value), zero))
     return filled
 
 
-def resample_by_rule(points: DataFrame, value: str = "value", ts: str = TS) -> DataFrame:
-    """Long points of many series: mean for prices, sum for energy."""
-    is_price = F.col(SERIES).contains("eur")
-    prices = resample_hourly(points.filter(is_price), how="mean", value=value, ts=ts)
-    energy = resample_hourly(points.filter(~is_price), how="sum", value=value, ts=ts)
-    return prices.unionByName(energy)
-
-
 def union_keep_first(
     parts: Sequence[DataFrame],
     *,
