@@ -43,9 +43,13 @@ def market_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hourly = _hourly(points_long(spark, sf_dir).withColumn("zone", F.lit("ALL")), ["zone"])
+    points = points_long(spark, sf_dir).withColumn("zone", F.lit("ALL")).filter(F.col("utc_timestamp").isNotNull())
+    hourly = _hourly(points, ["zone"])
+    # The ends read all measures, so the events are aggregated once for both uses.
     ends = hourly.groupBy("zone").agg(
-        F.min("utc_timestamp").alias("first"), F.max("utc_timestamp").alias("last"), F.count("price_c").alias("n")
+        F.min("utc_timestamp").alias("first"),
+        F.max("utc_timestamp").alias("last"),
+        F.count(F.coalesce(*COLUMNS)).alias("n"),
     )
     spine = hour_spine(ends.filter("n > 0"), ["zone"], "first", "last")
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ENERGY}

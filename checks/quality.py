@@ -152,14 +152,13 @@ issues AS (
   UNION ALL SELECT * FROM holes WHERE magnitude > 24)"""
 
 
-def _issues(market):
-    stats = quality.column_stats(market, COLUMNS, bounds=BOUNDS_C)
-    return stats, quality.issues(stats, quality.duplicate_counts(market), quality.gap_counts(market))
+def _checks(market):
+    return quality.judge(quality.column_stats(market, COLUMNS, bounds=BOUNDS_C), quality.timestamp_stats(market))
 
 
 @query("qa_issues", with_views('SELECT zone, kind, "column", magnitude FROM issues', "market_sparse", steps=_ISSUES))
 def qa_issues(spark, sf_dir):
-    return _issues(_market(spark, sf_dir))[1].drop("message")
+    return quality.issues(_checks(_market(spark, sf_dir))).drop("message")
 
 
 @query("qa_verdict", with_views(
@@ -167,7 +166,7 @@ def qa_issues(spark, sf_dir):
     FROM (SELECT DISTINCT zone FROM market_sparse) z LEFT JOIN issues i ON i.zone = z.zone GROUP BY 1""",
     "market_sparse", steps=_ISSUES))
 def qa_verdict(spark, sf_dir):
-    return quality.verdict(*_issues(_market(spark, sf_dir)))
+    return quality.verdict(_checks(_market(spark, sf_dir)))
 
 
 @query("column_profile", with_views(_per_column(
@@ -379,11 +378,12 @@ def parse_rules(spark, sf_dir):
 @query("report_json")
 def quality_report(spark, sf_dir):
     market = _market(spark, sf_dir)
-    stats, found = _issues(market)
+    stats = settle(spark, quality.column_stats(market, COLUMNS, bounds=BOUNDS_C), "column-stats")
+    checks = quality.judge(stats, settle(spark, quality.timestamp_stats(market), "timestamp-stats"))
     return report_json({
         "overview": quality.overview(market, COLUMNS),
         "missing": quality.missing(stats),
         "outliers": quality.bound_violations(stats),
-        "issues": found,
-        "verdict": quality.verdict(stats, found),
+        "issues": quality.issues(checks),
+        "verdict": quality.verdict(checks),
     })

@@ -33,19 +33,19 @@ def test_checks_on_a_damaged_table(hourly):
     assert quality.gap_hours(df).count() == 30
     over = quality.overview(df, columns).first()
     assert (over["n_rows"], over["n_cols"], over["expected_hourly_rows"]) == (73, 2, 100)
-    found = quality.issues(stats, duplicates, gaps)
+    checks = quality.judge(stats, quality.timestamp_stats(df))
+    found = quality.issues(checks)
     assert {(r["kind"], r["column"]) for r in found.collect()} == {
         ("missing", "load_mwh"), ("duplicates", "utc_timestamp"), ("gaps", "utc_timestamp"), ("bounds", "price_da_eur_mwh")}
     assert {r["message"] for r in found.collect()} >= {"load_mwh: 13.7% missing", "30 hourly gaps"}
-    verdict = quality.verdict(stats, found).first()
+    verdict = quality.verdict(checks).first()
     assert verdict["n_issues"] == 4 and not verdict["passed"]
 
 
 def test_clean_table_passes(hourly):
     df = hourly(market())
     stats = quality.column_stats(df, ["price_da_eur_mwh", "load_mwh"], bounds=DOMAIN_BOUNDS)
-    found = quality.issues(stats, quality.duplicate_counts(df), quality.gap_counts(df))
-    assert quality.verdict(stats, found).first()["passed"]
+    assert quality.verdict(quality.judge(stats, quality.timestamp_stats(df))).first()["passed"]
 
 
 def test_off_grid_rows_do_not_fill_gaps(spark):

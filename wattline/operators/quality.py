@@ -121,9 +121,42 @@ def _repeats(df: DataFrame, ts: str, zone: str) -> DataFrame:
     return df.groupBy(zone, ts).agg((F.count(F.lit(1)) - 1).alias("_extra"))
 
 
+def timestamp_stats(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
+    """Repeated rows and missing grid hours per zone, in one pass and without a grid.
+
+    The hourly grid starts at the first timestamp, so the hours on it share that
+    timestamp's offset within the hour.
+    """
+    by_offset = (
+        _repeats(df, ts, zone)
+        .groupBy(zone, F.pmod(micros(ts), F.lit(HOUR_MICROS)).alias("_offset"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum("_extra").alias("_extra"),
+            F.min(ts).alias("_first"),
+            F.max(ts).alias("_last"),
+        )
+    )
+    return (
+        by_offset.groupBy(zone)
+        .agg(
+            F.sum("_extra").alias("duplicate_count"),
+            F.min("_first").alias("_first"),
+            F.max("_last").alias("_last"),
+            F.min_by("_n", "_first").alias("_on_grid"),
+        )
+        .select(zone, "duplicate_count", (_hours_between("_first", "_last") + 1 - F.col("_on_grid")).alias("gap_count"))
+    )
+
+
 def duplicate_counts(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
     """Rows whose timestamp already occurred in the zone."""
-    return _repeats(df, ts, zone).groupBy(zone).agg(F.sum("_extra").alias("duplicate_count"))
+    return timestamp_stats(df, ts=ts, zone=zone).select(zone, "duplicate_count")
+
+
+def gap_counts(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
+    """Number of missing hours between first and last timestamp."""
+    return timestamp_stats(df, ts=ts, zone=zone).select(zone, "gap_count")
 
 
 def duplicate_examples(df: DataFrame, n: int = EXAMPLES, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
@@ -148,29 +181,6 @@ def gap_hours(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
     return hour_spine(ends, [zone], "_first", "_last", ts).join(present, [zone, ts], "left_anti")
 
 
-def gap_counts(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
-    """Number of missing grid hours, without building the grid.
-
-    The grid starts at the first timestamp, so the hours on it share that
-    timestamp's offset within the hour.
-    """
-    by_offset = (
-        df.select(zone, ts)
-        .distinct()
-        .groupBy(zone, F.pmod(micros(ts), F.lit(HOUR_MICROS)).alias("_offset"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    )
-    return (
-        by_offset.groupBy(zone)
-        .agg(
-            F.min("_first").alias("_first"),
-            F.max("_last").alias("_last"),
-            F.min_by("_n", "_first").alias("_on_grid"),
-        )
-        .select(zone, (_hours_between("_first", "_last") + 1 - F.col("_on_grid")).alias("gap_count"))
-    )
-
-
 def gap_examples(df: DataFrame, n: int = EXAMPLES, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
     return _first(gap_hours(df, ts=ts, zone=zone), n, [ts], zone).select(zone, "example_no", ts)
 
@@ -199,66 +209,63 @@ def monthly_coverage(df: DataFrame, columns: Sequence[str], *, ts: str = TS, zon
     return spread.select(zone, F.last_day("_month").alias("month_end"), F.inline(cells))
 
 
-def issues(
+def judge(
     stats: DataFrame,
-    duplicates: DataFrame,
-    gaps: DataFrame,
+    stamps: DataFrame,
     *,
     missing_limit: float = MISSING_LIMIT,
     gap_limit: int = GAP_LIMIT,
     zone: str = ZONE,
 ) -> DataFrame:
-    """Findings that break a threshold: zone, kind, column, magnitude, message."""
-    share_missing = F.round("missing_fraction", 4)
-    sparse = (
-        missing(stats, zone)
-        .filter(share_missing > missing_limit)
-        .select(
-            zone,
-            F.lit("missing").alias("kind"),
-            "column",
-            share_missing.alias("magnitude"),
-            F.format_string("%s: %.1f%% missing", "column", share_missing * 100).alias("message"),
+    """Every threshold check per zone with its magnitude, message and outcome.
+
+    ``stats`` comes from :func:`column_stats`, ``stamps`` from
+    :func:`timestamp_stats`.
+    """
+
+    def check(kind, column, magnitude, message, broken):
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            column.alias("column"),
+            magnitude.cast("double").alias("magnitude"),
+            message.alias("message"),
+            F.coalesce(broken, F.lit(False)).alias("is_issue"),
         )
-    )
-    repeated = duplicates.filter(F.col("duplicate_count") > 0).select(
+
+    column, stamp = F.col("column"), F.lit(TS)
+    absent = F.round((F.col("n_rows") - F.col("non_null")) / F.col("n_rows"), 4)
+    outside = F.col("below_count") + F.col("above_count")
+    per_column = stats.select(
         zone,
-        F.lit("duplicates").alias("kind"),
-        F.lit(TS).alias("column"),
-        F.col("duplicate_count").cast("double").alias("magnitude"),
-        F.format_string("%d duplicate timestamps", "duplicate_count").alias("message"),
+        F.inline(
+            F.array(
+                check("missing", column, absent, F.format_string("%s: %.1f%% missing", column, absent * 100), absent > missing_limit),
+                check("bounds", column, outside, F.format_string("%s: %d domain-bound violations", column, outside), outside > 0),
+            )
+        ),
     )
-    holes = gaps.filter(F.col("gap_count") > gap_limit).select(
+    repeats, gaps = F.col("duplicate_count"), F.col("gap_count")
+    per_zone = stamps.select(
         zone,
-        F.lit("gaps").alias("kind"),
-        F.lit(TS).alias("column"),
-        F.col("gap_count").cast("double").alias("magnitude"),
-        F.format_string("%d hourly gaps", "gap_count").alias("message"),
+        F.inline(
+            F.array(
+                check("duplicates", stamp, repeats, F.format_string("%d duplicate timestamps", repeats), repeats > 0),
+                check("gaps", stamp, gaps, F.format_string("%d hourly gaps", gaps), gaps > gap_limit),
+            )
+        ),
     )
-    total = F.col("below_count") + F.col("above_count")
-    outside = (
-        bound_violations(stats, zone)
-        .filter(total > 0)
-        .select(
-            zone,
-            F.lit("bounds").alias("kind"),
-            "column",
-            total.cast("double").alias("magnitude"),
-            F.format_string("%s: %d domain-bound violations", F.col("column"), total).alias("message"),
-        )
-    )
-    return sparse.unionByName(repeated).unionByName(holes).unionByName(outside)
+    return per_column.unionByName(per_zone)
+
 
+def issues(checks: DataFrame) -> DataFrame:
+    """The checks of :func:`judge` that broke their threshold."""
+    return checks.filter("is_issue").drop("is_issue")
 
-def verdict(stats: DataFrame, found: DataFrame, zone: str = ZONE) -> DataFrame:
+
+def verdict(checks: DataFrame, zone: str = ZONE) -> DataFrame:
     """One row per zone: number of issues and whether there is none."""
-    counted = found.groupBy(zone).agg(F.count(F.lit(1)).alias("n_issues"))
-    zones = stats.select(zone).distinct()
-    return (
-        zones.join(counted, zone, "left")
-        .withColumn("n_issues", F.coalesce(F.col("n_issues"), F.lit(0)).cast("bigint"))
-        .withColumn("passed", F.col("n_issues") == 0)
-    )
+    counted = checks.groupBy(zone).agg(F.count_if("is_issue").alias("n_issues"))
+    return counted.withColumn("passed", F.col("n_issues") == 0)
 
 
 def column_report(stats: DataFrame, ranges: DataFrame, zone: str = ZONE) -> DataFrame:

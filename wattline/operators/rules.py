@@ -109,7 +109,7 @@ def run_rules(
 ) -> DataFrame:
     """Evaluate every rule per zone.
 
-    All row predicates share one aggregate pass over ``df``. Rules that look at
+    All row predicates share one aggregate pass over ``df``, which also finds the zones. Rules that look at
     neighbouring values share one blocked pass over the non-null values of
     their columns. A rule on an unknown column is ``skipped``, one that does not
     resolve is ``error``; neither stops the others.
@@ -140,22 +140,21 @@ def run_rules(
         else:
             unusable.append((number, "error", error))
 
-    counted = []
-    if row_rules:
-        counted.append(_count_rows(df, row_rules, zone))
-    counted.extend(_count_scalar(df, column, [r for r in scalar_rules if r[1] == column], zone)
-                   for column in sorted({c for _, c, _ in scalar_rules}))
+    results = _rule_rows(_count_rows(df, row_rules, zone), rules, unusable, {n for n, _, _ in row_rules}, zone)
+    others = [
+        _count_scalar(df, column, [r for r in scalar_rules if r[1] == column], zone)
+        for column in sorted({c for _, c, _ in scalar_rules})
+    ]
     if sequence_rules:
-        counted.append(_count_sequences(df, sequence_rules, ts, zone, first_row_passes, block_steps))
-    results = _rule_rows(df.select(zone).distinct(), rules, unusable)
-    if counted:
-        counts = counted[0]
-        for part in counted[1:]:
+        others.append(_count_sequences(df, sequence_rules, ts, zone, first_row_passes, block_steps))
+    if others:
+        counts = others[0]
+        for part in others[1:]:
             counts = counts.unionByName(part)
-        results = results.join(counts, [zone, "_number"], "left")
-    else:
-        nothing = F.lit(0).cast("bigint")
-        results = results.withColumns({"violations": nothing, "judged": nothing})
+        more = counts.select(zone, "_number", F.col("violations").alias("_more_violations"), F.col("judged").alias("_more_judged"))
+        results = results.join(more, [zone, "_number"], "left").withColumns(
+            {"violations": F.coalesce("_more_violations", "violations"), "judged": F.coalesce("_more_judged", "judged")}
+        )
     violations = F.coalesce("violations", F.lit(0)).cast("bigint")
     judged = F.greatest(F.coalesce("judged", F.lit(0)), F.lit(1))
     status = F.coalesce("_status", F.when(violations == 0, "pass").otherwise("fail"))
@@ -168,9 +167,11 @@ def run_rules(
     )
 
 
-def _rule_rows(zones: DataFrame, rules: Sequence[Rule], unusable) -> DataFrame:
-    """Every rule once per zone, with the status of those that cannot run."""
+def _rule_rows(counted: DataFrame, rules: Sequence[Rule], unusable, row_numbers: set[int], zone: str) -> DataFrame:
+    """Every rule once per zone, with the counts of row rules and the status of
+    those that cannot run."""
     verdicts = {number: (status, error) for number, status, error in unusable}
+    unknown = F.lit(None).cast("bigint")
     cells = []
     for n, r in enumerate(rules):
         status, error = verdicts.get(n, (None, None))
@@ -184,9 +185,11 @@ def _rule_rows(zones: DataFrame, rules: Sequence[Rule], unusable) -> DataFrame:
                 F.lit(r.expression).alias("expression"),
                 F.lit(status).cast("string").alias("_status"),
                 F.lit(error).cast("string").alias("error"),
+                (F.col(f"v{n}") if n in row_numbers else unknown).alias("violations"),
+                (F.col(f"n{n}") if n in row_numbers else unknown).alias("judged"),
             )
         )
-    return zones.select("*", F.inline(F.array(*cells)))
+    return counted.select(zone, F.inline(F.array(*cells)))
 
 
 def _long_counts(aggregated: DataFrame, numbers: Sequence[int], zone: str) -> DataFrame:
@@ -198,6 +201,7 @@ def _long_counts(aggregated: DataFrame, numbers: Sequence[int], zone: str) -> Da
 
 
 def _count_rows(df: DataFrame, row_rules, zone: str) -> DataFrame:
+    """Violations and judged rows of all row rules, one row per zone."""
     # Each column is named ``s`` in turn while its predicates are resolved;
     # the optimizer folds the projections into one.
     columns = sorted({c for _, c, _ in row_rules})
@@ -210,11 +214,11 @@ def _count_rows(df: DataFrame, row_rules, zone: str) -> DataFrame:
             if c == column
         ]
         judged = judged.withColumn("s", F.col(held[column])).select("*", *checks).drop("s")
-    aggregates = []
+    aggregates = [F.count(F.lit(1)).alias("_rows")]
     for n, column, _ in row_rules:
         present = F.col(held[column]).isNotNull()
         aggregates += [F.count_if(present & ~F.col(f"ok{n}")).alias(f"v{n}"), F.count_if(present).alias(f"n{n}")]
-    return _long_counts(judged.groupBy(F.col("_zone").alias(zone)).agg(*aggregates), [n for n, _, _ in row_rules], zone)
+    return judged.groupBy(F.col("_zone").alias(zone)).agg(*aggregates)
 
 
 def _count_scalar(df: DataFrame, column: str, rules, zone: str) -> DataFrame:

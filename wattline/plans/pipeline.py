@@ -32,21 +32,23 @@ class Run:
 
 
 def quality_tables(market: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    stats = quality.column_stats(market, columns, bounds=DOMAIN_BOUNDS)
-    duplicates, gaps = quality.duplicate_counts(market), quality.gap_counts(market)
-    found = quality.issues(stats, duplicates, gaps)
+    """One small table per check. Column and timestamp statistics feed several
+    of them and are stored after their single pass."""
+    spark = market.sparkSession
+    stats = settle(spark, quality.column_stats(market, columns, bounds=DOMAIN_BOUNDS), "column-stats")
+    stamps = settle(spark, quality.timestamp_stats(market), "timestamp-stats")
+    checks = quality.judge(stats, stamps)
     return {
         "overview": quality.overview(market, columns),
         "missing": quality.missing(stats),
-        "duplicates": duplicates,
+        "timestamps": stamps,
         "duplicate_examples": quality.duplicate_examples(market),
-        "hourly_gaps": gaps,
         "gap_examples": quality.gap_examples(market),
         "outliers": quality.bound_violations(stats),
         "range_stats": quality.range_stats(market, columns),
         "monthly_coverage": quality.monthly_coverage(market, columns),
-        "issues": found,
-        "verdict": quality.verdict(stats, found),
+        "issues": quality.issues(checks),
+        "verdict": quality.verdict(checks),
     }
 
 

@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattline.config import SERIES_IDS, TS, ZONE
-from wattline.operators.shaping import align_wide, resample_hourly, time_slice
+from wattline.operators.shaping import align_wide, resample_hourly
 
 PAYLOAD = "series array<array<double>>"
 WEEK_MS = 7 * 24 * 3600 * 1000
@@ -84,6 +84,4 @@ def scan_chunks(
 def market_table(spark: SparkSession, path: str, start_date: str, end_date: str, **options) -> DataFrame:
     """Hourly wide table of all landed series in the window."""
     points = scan_chunks(spark, path, start_date, end_date, **options)
-    hourly = resample_hourly(points, how="rule")
-    wide = align_wide(hourly, list(options.get("ids", SERIES_IDS)))
-    return time_slice(wide, f"{start_date} 00:00:00", f"{end_date} 23:59:00")
+    return align_wide(resample_hourly(points, how="rule"), list(options.get("ids", SERIES_IDS)))

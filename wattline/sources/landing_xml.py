@@ -92,12 +92,12 @@ def scan_rejections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def market_table(spark: SparkSession, path: str, start_date: str, end_date: str, **options) -> DataFrame:
-    """Hourly wide table: every series is averaged over the hour.
+    """Hourly wide table of all landed series from the first to the last day.
 
-    Repeated hours of overlapping documents keep the first document's value.
+    Every series is averaged over the hour; repeated hours of overlapping
+    documents keep the first document's value. Points outside the window are
+    left out before they are shuffled.
     """
-    points = scan_documents(spark, path, **options)
-    hourly = resample_hourly(points, how="mean", keys=(ZONE, "series", "chunk_no"))
-    unique = union_keep_first([hourly])
-    columns = list(dict.fromkeys(options.get("types", DOCUMENT_TYPES).values()))
-    return time_slice(align_wide(unique, columns), f"{start_date} 00:00:00", f"{end_date} 23:00:00")
+    points = time_slice(scan_documents(spark, path, **options), f"{start_date} 00:00:00", f"{end_date} 23:59:59.999999")
+    unique = union_keep_first([resample_hourly(points, how="mean", keys=(ZONE, "series", "chunk_no"))])
+    return align_wide(unique, list(dict.fromkeys(options.get("types", DOCUMENT_TYPES).values())))
