@@ -168,9 +168,30 @@ def peak_spread_signal(spark, sf_dir):
     return found.withColumn("peak_vs_base_spread_eur_mwh", F.round("peak_vs_base_spread_eur_mwh", 6))
 
 
-@query("signal_record")
+_REASON = """CASE WHEN ref IS NULL THEN 'No current prompt price provided; cannot compute directional signal'
+  WHEN base - ref > mae THEN printf('Fair value %.1f exceeds prompt %.1f by %.1f EUR/MWh (>%.1f MAE threshold) → buy prompt base', base, ref, base - ref, mae)
+  WHEN base - ref < -mae THEN printf('Fair value %.1f below prompt %.1f by %.1f EUR/MWh → sell prompt base', base, ref, ref - base)
+  ELSE printf('Forecast %.1f within ±MAE of prompt %.1f → no directional edge', base, ref) END"""
+
+
+@query("signal_record", with_views(
+    f"""SELECT zone, period, {_REASON} AS reason,
+      CASE WHEN spread IS NOT NULL THEN printf('Peak/base spread forecast: %.1f EUR/MWh → %s', spread,
+        CASE WHEN spread > 5 THEN 'buy peak vs base' WHEN spread < 2 THEN 'flatten shape' ELSE 'hold' END) END AS shape,
+      printf('Model out-of-sample MAE > 2× training MAE (%.0f EUR/MWh) → reduce position to 0', 2 * mae) AS drift,
+      8::bigint AS n_texts
+    FROM signals""", "forecast_hourly", steps=_SIGNAL))
 def signal_record(spark, sf_dir):
-    return signal.signal_record(_signal(spark, sf_dir))
+    record = signal.signal_record(_signal(spark, sf_dir))
+    texts = F.size("invalidation_conditions") + F.size("desk_actions")
+    return record.select(
+        "zone",
+        "period",
+        F.col("reasoning")[0].alias("reason"),
+        F.try_element_at("reasoning", F.lit(2)).alias("shape"),
+        F.element_at("invalidation_conditions", -1).alias("drift"),
+        texts.cast("bigint").alias("n_texts"),
+    )
 
 
 @query("forecast_output", with_views(

@@ -375,15 +375,36 @@ def parse_rules(spark, sf_dir):
                          F.col("parse_error").isNotNull().alias("unreadable"))
 
 
-@query("report_json")
+@query("report_json", with_views(
+    f"""SELECT m.zone, m.n_rows, m.first_row, m.expected_hourly_rows, m.load_missing, i.n_issues, i.n_issues = 0 AS passed
+    FROM (SELECT zone, count(*) AS n_rows, strftime(min(utc_timestamp), '%Y-%m-%dT%H:%M:%S.000') AS first_row,
+            {_EXPECTED} AS expected_hourly_rows, count(*) - count(load_c) AS load_missing
+          FROM market_sparse GROUP BY 1) m
+    JOIN (SELECT z.zone, count(i.zone) AS n_issues FROM (SELECT DISTINCT zone FROM market_sparse) z
+          LEFT JOIN issues i ON i.zone = z.zone GROUP BY 1) i USING (zone)""", "market_sparse", steps=_ISSUES))
 def quality_report(spark, sf_dir):
+    """Report documents written to JSON, with some of their fields read back."""
     market = _market(spark, sf_dir)
     stats = settle(spark, quality.column_stats(market, COLUMNS, bounds=BOUNDS_C), "column-stats")
     checks = quality.judge(stats, settle(spark, quality.timestamp_stats(market), "timestamp-stats"))
-    return report_json({
+    report = report_json({
         "overview": quality.overview(market, COLUMNS),
         "missing": quality.missing(stats),
         "outliers": quality.bound_violations(stats),
         "issues": quality.issues(checks),
         "verdict": quality.verdict(checks),
     })
+    parsed = report.select("zone", F.from_json("report", """
+        overview array<struct<n_rows:bigint,start:string,expected_hourly_rows:bigint>>,
+        missing array<struct<column:string,missing_count:bigint>>, issues array<struct<kind:string>>,
+        verdict array<struct<n_issues:bigint,passed:boolean>>""").alias("r"))
+    load = F.filter("r.missing", lambda m: m["column"] == "load_c")[0]["missing_count"]
+    return parsed.select(
+        "zone",
+        F.col("r.overview")[0]["n_rows"].alias("n_rows"),
+        F.col("r.overview")[0]["start"].alias("first_row"),
+        F.col("r.overview")[0]["expected_hourly_rows"].alias("expected_hourly_rows"),
+        load.alias("load_missing"),
+        F.size("r.issues").cast("bigint").alias("n_issues"),
+        F.col("r.verdict")[0]["passed"].alias("passed"),
+    )

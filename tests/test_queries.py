@@ -7,7 +7,7 @@ from checks.compare import compare, connect
 
 SF = "/root/testdata/sf0.01"
 ORACLE = entry.oracle_sql()
-ROWS_ONLY = {"report_json", "signal_record", "gbt_forecast", "feature_importance"}
+ROWS_ONLY = {"gbt_forecast", "feature_importance"}
 
 
 @pytest.fixture(scope="module")

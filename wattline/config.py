@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 ZONE = "zone"
@@ -59,3 +61,14 @@ class JobConfig:
     parallel_fits: int = 4
     rules_last_n: int | None = None
     lag_mode: str = "row"
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ, **overrides) -> JobConfig:
+        """Market, dates and the refetch flag from the environment."""
+        found = {
+            "market": env.get("MARKET", cls.market),
+            "start_date": env.get("START_DATE", cls.start_date),
+            "end_date": env.get("END_DATE", cls.end_date),
+            "force_refetch": env.get("FORCE_REFETCH", "false").lower() == "true",
+        }
+        return cls(**{**found, **overrides})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wattline.config import FUNDAMENTALS, PRICE, TS, ZONE
+from wattline.functions.numbers import share
 from wattline.plans.blocks import BLOCK_STEPS, BlockedSeries, block_series
 
 PRICE_RANGE = (-500.0, 3000.0)
@@ -23,7 +24,7 @@ def sparse_columns(df: DataFrame, columns: Sequence[str] = FUNDAMENTALS, *, limi
     """Null share of each present column over the whole table and whether it is dropped."""
     present = [c for c in columns if c in df.columns]
     cells = [
-        F.struct(F.lit(c).alias("column"), ((F.col("_n") - F.col(f"_{c}")) / F.col("_n")).alias("missing_fraction"))
+        F.struct(F.lit(c).alias("column"), share(F.col("_n") - F.col(f"_{c}"), F.col("_n")).alias("missing_fraction"))
         for c in present
     ]
     counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_{c}") for c in present])

@@ -1,8 +1,8 @@
 """Declarative validation rules evaluated as Spark SQL predicates.
 
 A rule names one column and a predicate on ``s``, that column's value. Rows in
-which the column is null are not judged; a row that is not true is a violation.
-Four forms exist:
+which the column is null are not judged; a row that is not true is a violation,
+also where the predicate fails on its value. These forms exist:
 
 ``<predicate>``            a row predicate, e.g. ``s between 0 and 65000``
 ``<aggregate predicate>``  one truth value for the whole zone, e.g. ``avg(s) > 0``
@@ -14,11 +14,12 @@ Four forms exist:
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattline.config import TS, ZONE
 from wattline.plans.blocks import BLOCK_STEPS, block_series
@@ -85,6 +86,19 @@ def _template(rule: Rule) -> tuple[str, list[float]] | None:
     return None
 
 
+@contextmanager
+def _lenient(spark: SparkSession) -> Iterator[None]:
+    """Predicates resolved here give NULL where they would fail on a value
+    (division by zero, unreadable cast), so one rule cannot stop the others."""
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _classify(empty: DataFrame, rule: Rule) -> tuple[str, str | None]:
     """Kind of a predicate rule, found by analysing it on an empty one-column table."""
     try:
@@ -132,7 +146,8 @@ def run_rules(
         if column not in empty:
             blank = F.lit(None).cast(df.schema[column].dataType)
             empty[column] = spark.range(0).select(blank.alias("s"))
-        kind, error = _classify(empty[column], rule)
+        with _lenient(spark):
+            kind, error = _classify(empty[column], rule)
         if kind == "row":
             row_rules.append((number, column, rule))
         elif kind == "scalar":
@@ -213,7 +228,8 @@ def _count_rows(df: DataFrame, row_rules, zone: str) -> DataFrame:
             for n, c, rule in row_rules
             if c == column
         ]
-        judged = judged.withColumn("s", F.col(held[column])).select("*", *checks).drop("s")
+        with _lenient(df.sparkSession):
+            judged = judged.withColumn("s", F.col(held[column])).select("*", *checks).drop("s")
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for n, column, _ in row_rules:
         present = F.col(held[column]).isNotNull()
@@ -227,7 +243,9 @@ def _count_scalar(df: DataFrame, column: str, rules, zone: str) -> DataFrame:
     for n, _, rule in rules:
         holds = F.coalesce(F.expr(rule.expression).cast("boolean"), F.lit(False))
         aggregates += [F.when(holds, F.lit(0)).otherwise(F.count("s")).alias(f"v{n}"), F.count("s").alias(f"n{n}")]
-    return _long_counts(values.groupBy(zone).agg(*aggregates), [n for n, _, _ in rules], zone)
+    with _lenient(df.sparkSession):
+        counted = values.groupBy(zone).agg(*aggregates)
+    return _long_counts(counted, [n for n, _, _ in rules], zone)
 
 
 def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: bool, block_steps: int) -> DataFrame:

@@ -111,7 +111,7 @@ def _with_line(sums: DataFrame, count: str) -> DataFrame:
     slope = F.when(spread != 0, (n * sxy - sx * sy) / spread).otherwise(F.lit(0.0))
     return (
         sums.withColumn("slope", slope)
-        .withColumn("intercept", (sy - F.col("slope") * sx) / n)
+        .withColumn("intercept", F.try_divide(sy - F.col("slope") * sx, n))
         .drop("_sx", "_sy", "_sxx", "_sxy")
     )
 
@@ -279,7 +279,7 @@ def compare_models(
     """Test errors of model and baseline with the rows each is scored on.
 
     Each mean skips its own nulls. ``common_improvement_pct`` uses only rows
-    that both forecast.
+    that both forecast. Improvement over a faultless baseline is null.
     """
     model_error = F.col(actual) - F.col(model)
     base_error = F.col(actual) - F.col(baseline)
@@ -295,8 +295,8 @@ def compare_models(
             F.avg(F.when(both, F.abs(base_error))).alias("_common_base"),
             F.avg(F.when(both, F.abs(model_error))).alias("_common_model"),
         )
-        .withColumn("improvement_pct", (1 - F.col("model_mae") / F.col("baseline_mae")) * 100)
-        .withColumn("common_improvement_pct", (1 - F.col("_common_model") / F.col("_common_base")) * 100)
+        .withColumn("improvement_pct", (1 - F.try_divide("model_mae", "baseline_mae")) * 100)
+        .withColumn("common_improvement_pct", (1 - F.try_divide("_common_model", "_common_base")) * 100)
         .drop("_common_base", "_common_model")
     )
 

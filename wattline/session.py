@@ -34,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="wattline-")
         spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

@@ -60,7 +60,8 @@ def scan_chunks(
     """Points in long form: zone, series, utc_timestamp, value.
 
     Chunks that start more than a week before the window, or after it, are
-    skipped. Points outside the window (ends included) and null values go.
+    skipped. Points outside the window (ends included), null values and incomplete
+    pairs go.
     """
     start_ms, end_ms = window_millis(start_date, end_date)
     chunks = (
@@ -72,8 +73,8 @@ def scan_chunks(
         "series_id",
         ZONE,
         "chunk_ms",
-        F.col("_p")[0].cast("bigint").alias("_ms"),
-        F.nanvl(F.col("_p")[1], F.lit(None).cast("double")).alias("value"),
+        F.get("_p", 0).cast("bigint").alias("_ms"),
+        F.nanvl(F.get("_p", 1), F.lit(None).cast("double")).alias("value"),
     )
     kept = points.filter(F.col("_ms").between(start_ms, end_ms) & F.col("value").isNotNull())
     return kept.join(series_registry(spark, ids), "series_id").select(
