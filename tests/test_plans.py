@@ -84,3 +84,13 @@ def test_naive_needs_one_shuffle_and_no_join(stored):
 def test_folds_copy_no_training_rows(stored):
     text = plan(validation.fold_table(stored, 2))
     assert "Join" not in text and "partial_count" in text
+
+
+def test_folds_open_only_their_months(spark, stored):
+    from wattline.operators.learners import month_of
+    from wattline.session import settle
+
+    months = settle(spark, stored.withColumn("m", month_of("utc_timestamp")), "plan-months", partition_by=["m"])
+    split = validation.holdout_split(months, 1).filter("part = 'train'")
+    text = plan(split.filter(F.col("m") < F.lit("1970-02-01").cast("date")))
+    assert re.search(r"PartitionFilters: \[isnotnull\(m#\d+\), \(m#\d+ < ", text)

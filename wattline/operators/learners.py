@@ -13,10 +13,9 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattline.config import PRICE, TS, ZONE
-from wattline.functions.calendar import utc_floor
 from wattline.operators.validation import MIN_TRAIN_ROWS
 from wattline.session import shared_folder
 
@@ -108,6 +107,11 @@ def _apply(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).drop("_features", "_zone_code")
 
 
+def month_of(ts: str) -> Column:
+    """First day of the month: folds are cut by it, and tables may be stored by it."""
+    return F.to_date(F.trunc(ts, "month"))
+
+
 def walk_forward(
     rows: DataFrame,
     forecaster: PriceForecaster,
@@ -115,15 +119,18 @@ def walk_forward(
     *,
     min_train_rows: int = MIN_TRAIN_ROWS,
     parallel_fits: int = 4,
+    month: str | None = None,
 ) -> DataFrame:
     """Validation rows of every fold: zone, fold, time, actual and forecast.
 
     Folds are calendar months of the whole table. Each fit reads its training
-    months through a filter on time, so stored rows are pruned and never copied;
-    several fits are submitted at once.
+    months through a filter and no row is copied into folds. ``month`` names a
+    column holding :func:`month_of`; for a table stored by that column, a fit
+    opens only the folders of its months. Several fits are submitted at once.
     """
     ts = forecaster.ts
-    counts = rows.groupBy(utc_floor("month", ts).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    held = F.col(month) if month else month_of(ts)
+    counts = rows.groupBy(held.alias("month")).agg(F.count(F.lit(1)).alias("n"))
     months = [(r["month"], r["n"]) for r in counts.orderBy("month").collect()]
     if len(months) < n_folds + 2:
         raise ValueError(f"{len(months)} months are too few for {n_folds} folds")
@@ -136,11 +143,9 @@ def walk_forward(
         raise ValueError("no fold has enough training rows")
 
     def one(fold_month) -> DataFrame:
-        fold, month = fold_month
-        start = F.lit(month).cast("timestamp_ntz")
-        model = forecaster.train(rows.filter(F.col(ts) < start))
-        next_month = start + F.make_ym_interval(months=F.lit(1))
-        held_out = rows.filter((F.col(ts) >= start) & (F.col(ts) < next_month))
+        fold, first_day = fold_month
+        model = forecaster.train(rows.filter(held < F.lit(first_day)))
+        held_out = rows.filter(held == F.lit(first_day))
         return _apply(model, held_out).select(
             forecaster.zone,
             F.lit(fold).cast("bigint").alias("fold"),

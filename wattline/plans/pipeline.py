@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattline.config import DOMAIN_BOUNDS, FUNDAMENTALS, PRICE, TS, ZONE, JobConfig
 from wattline.operators import cleaning, delivery, features, quality, reports, rules, signal, validation
-from wattline.operators.learners import GbtSettings, PriceForecaster, walk_forward
+from wattline.operators.learners import GbtSettings, PriceForecaster, month_of, walk_forward
 from wattline.operators.shaping import tail_rows
 from wattline.session import prepare_session, settle
 from wattline.sources import tables
 
+MONTH = "feature_month"
+
 
 @dataclass
 class Run:
@@ -86,9 +88,10 @@ def run(
         report_parts["rule_summary"] = rules.rule_summary(rule_results)
 
     kept, decisions = clean(market)
-    # Every fold and the final fit read the features: they are stored once.
-    matrix = settle(spark, features.feature_matrix(kept, spec, lag_mode=config.lag_mode), "features")
-    inputs = [c for c in matrix.columns if c not in (ZONE, TS, PRICE)]
+    # Every fold and the final fit read the features: they are stored once, by month.
+    built = features.feature_matrix(kept, spec, lag_mode=config.lag_mode)
+    inputs = [c for c in built.columns if c not in (ZONE, TS, PRICE)]
+    matrix = settle(spark, built.withColumn(MONTH, month_of(TS)), "features", partition_by=[MONTH])
 
     split = validation.holdout_split(matrix, config.test_months)
     train = split.filter(F.col("part") == "train").drop("part", "split_ts")
@@ -101,7 +104,7 @@ def run(
     forecaster = PriceForecaster(tuple(inputs), learner=gbt.estimator)
     folds = settle(
         spark,
-        walk_forward(train, forecaster, config.cv_folds, parallel_fits=config.parallel_fits),
+        walk_forward(train, forecaster, config.cv_folds, parallel_fits=config.parallel_fits, month=MONTH),
         "fold-predictions",
     )
     forecaster.fit(train)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wattline", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,9 +44,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(spark: SparkSession, df, label: str):
+def settle(spark: SparkSession, df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages restart
-    from the files when an executor is lost, and nothing is computed twice."""
+    from the files when an executor is lost, and nothing is computed twice.
+
+    With ``partition_by`` later filters on those columns skip whole folders; the
+    rebalance hint lets AQE even out the files.
+    """
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
