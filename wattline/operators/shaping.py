@@ -13,6 +13,8 @@ from wattline.plans.blocks import edge_rows
 
 SERIES = "series"
 
+SPAN_HOURS = 1024
+
 # Fixed value: series whose name contains this are prices.
 PRICE_MARK = "eur"
 
@@ -20,14 +22,19 @@ PRICE_MARK = "eur"
 def hour_spine(bounds: DataFrame, keys: Sequence[str], first: str, last: str, ts: str = TS) -> DataFrame:
     """Every hour from ``first``, in steps of one hour, up to ``last`` per key.
 
-    Whole days are generated first and the hours of each day next, so the arrays
-    stay short.
+    The few bounds would be expanded in one task. They are cut into spans first;
+    the spans are spread over all shuffle partitions (a fixed number, which AQE
+    does not merge) and expanded to hours there.
     """
-    days = F.sequence(F.col(first), F.col(last), F.expr("interval 1 day"))
-    hours = F.sequence(F.col("_day"), F.col("_day") + F.expr("interval 23 hours"), F.expr("interval 1 hour"))
+    spans = F.sequence(F.col(first), F.col(last), F.expr(f"interval {SPAN_HOURS} hours"))
+    hours = F.sequence(
+        F.col("_span"), F.col("_span") + F.expr(f"interval {SPAN_HOURS - 1} hours"), F.expr("interval 1 hour")
+    )
+    tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        bounds.select(*keys, first, last, F.explode(days).alias("_day"))
-        .select(*keys, first, last, F.explode(hours).alias(ts))
+        bounds.select(*keys, last, F.explode(spans).alias("_span"))
+        .repartition(tasks, *keys, "_span")
+        .select(*keys, last, F.explode(hours).alias(ts))
         .filter(F.col(ts) <= F.col(last))
         .select(*keys, ts)
     )
