@@ -22,7 +22,7 @@ def peak_flag(spark, sf_dir):
 
 
 @query("daily_blocks", with_views(
-    f"""SELECT zone, cast({_L} AS date) AS date, round(avg(y_pred) / 100.0, 6) AS base_avg,
+    f"""SELECT zone, cast(cast({_L} AS date) AS varchar) AS date, round(avg(y_pred) / 100.0, 6) AS base_avg,
       round(avg(y_pred) FILTER ({_PEAK}) / 100.0, 6) AS peak_avg,
       round(avg(y_pred) FILTER (NOT {_PEAK}) / 100.0, 6) AS offpeak_avg,
       round((avg(y_pred) FILTER ({_PEAK}) - avg(y_pred) FILTER (NOT {_PEAK})) / 100.0, 6) AS peak_spread

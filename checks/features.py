@@ -54,7 +54,7 @@ CALENDAR_SQL = {
 }
 HOLIDAY_SQL = {"is_holiday": f"cast(strftime({_L}, '%m-%d') IN ('01-01', '05-01', '10-03', '12-25', '12-26') AS int)"}
 CYCLIC_SQL = {
-    f"{name}_{fn}": f"round({fn}(({value}) * 2.0 * pi() / {period}.0), 6)"
+    f"{name}_{fn}": f"round({fn}(({value}) * 2.0 * pi() / {period}.0), 6) + 0.0::double"
     for name, value, period in (
         ("hour", f"hour({_L})", 24), ("dow", f"isodow({_L}) - 1", 7), ("month", f"month({_L})", 12))
     for fn in ("sin", "cos")

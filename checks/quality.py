@@ -118,14 +118,14 @@ def qa_range_stats(spark, sf_dir):
 
 @query("qa_monthly_coverage", with_views(
     _per_column(
-        """SELECT zone, last_day(utc_timestamp) AS month_end, '{c}' AS "column",
+        """SELECT zone, cast(last_day(utc_timestamp) AS varchar) AS month_end, '{c}' AS "column",
           round(count({c}) / count(*), 6) AS coverage FROM market_sparse GROUP BY 1, 2""")
     + """
     UNION ALL
-    SELECT zone, last_day(utc_timestamp) AS month_end, 'y_c' AS "column", round(count(y_c) / count(*), 6) AS coverage
+    SELECT zone, cast(last_day(utc_timestamp) AS varchar) AS month_end, 'y_c' AS "column", round(count(y_c) / count(*), 6) AS coverage
     FROM daily_gappy GROUP BY 1, 2
     UNION ALL
-    SELECT zone, last_day(m) AS month_end, 'y_c' AS "column", NULL AS coverage
+    SELECT zone, cast(last_day(m) AS varchar) AS month_end, 'y_c' AS "column", NULL AS coverage
     FROM (SELECT zone, unnest(generate_series(date_trunc('month', min(utc_timestamp)), max(utc_timestamp),
                                               interval 1 month)) AS m FROM daily_gappy GROUP BY 1)
     WHERE month(m) = 7""",

@@ -145,7 +145,7 @@ def head_n(spark, sf_dir):
 
 
 @query("local_time_fields", with_views(
-    f"""SELECT zone, utc_timestamp, l AS local_ts, cast(l AS date) AS local_date, cast(hour(l) AS int) AS local_hour,
+    f"""SELECT zone, utc_timestamp, l AS local_ts, cast(cast(l AS date) AS varchar) AS local_date, cast(hour(l) AS int) AS local_hour,
       cast(isodow(l) - 1 AS int) AS local_weekday, cast(month(l) AS int) AS local_month, cast(day(l) AS int) AS local_day
     FROM (SELECT zone, utc_timestamp, {local_sql('utc_timestamp')} AS l FROM market_sparse)""", "market_sparse"))
 def local_time_fields(spark, sf_dir):

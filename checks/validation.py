@@ -23,8 +23,8 @@ months AS (
   FROM train GROUP BY 1, 2),
 running AS (
   SELECT zone, {FOLDS} - row_number() OVER (PARTITION BY zone ORDER BY val_month DESC) AS fold, val_month,
-    cast(min(f) OVER w AS date) AS train_start, cast(max(l) OVER w AS date) AS train_end, cast(f AS date) AS val_start,
-    cast(l AS date) AS val_end, cast(sum(n_val) OVER w AS bigint) AS n_train, n_val,
+    cast(cast(min(f) OVER w AS date) AS varchar) AS train_start, cast(cast(max(l) OVER w AS date) AS varchar) AS train_end, cast(cast(f AS date) AS varchar) AS val_start,
+    cast(cast(l AS date) AS varchar) AS val_end, cast(sum(n_val) OVER w AS bigint) AS n_train, n_val,
     cast(sum(n_val) OVER w AS double) AS n, cast(sum(sx) OVER w AS double) AS sx, cast(sum(sy) OVER w AS double) AS sy,
     cast(sum(sxx) OVER w AS double) AS sxx, cast(sum(sxy) OVER w AS double) AS sxy
   FROM months WINDOW w AS (PARTITION BY zone ORDER BY val_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -128,13 +128,13 @@ def seasonal_naive_rolling(spark, sf_dir):
 
 
 @query("seasonal_naive_train_only", with_views(
-    """SELECT t.zone, t.utc_timestamp, t.y, n.y AS y_naive FROM test t
+    """SELECT t.zone, t.utc_timestamp, t.y, cast(n.y AS double) AS y_naive FROM test t
     LEFT JOIN train n ON n.zone = t.zone AND n.utc_timestamp = t.utc_timestamp - interval 7 day""",
     "daily_series", steps=_BASE))
 def seasonal_naive_train_only(spark, sf_dir):
     naive = validation.seasonal_naive(
         _split(spark, sf_dir), target="y", season=SEASON, step_micros=DAY_MICROS, train_only=True)
-    return _part(naive, "test").drop("x")
+    return _part(naive, "test").drop("x").withColumn("y_naive", F.col("y_naive").cast("double"))
 
 
 @query("cv_folds", with_views(_sql(
@@ -209,8 +209,8 @@ def model_comparison_metrics(spark, sf_dir):
 
 
 @query("performance_record", with_views(
-    f"""SELECT zone, {_COMPARED_COLUMNS}, round(cover, 6) AS coverage, hours AS n_hours, cast(f AS date) AS test_start,
-      cast(l AS date) AS test_end, s.* EXCLUDE (zone) FROM compared JOIN (
+    f"""SELECT zone, {_COMPARED_COLUMNS}, round(cover, 6) AS coverage, hours AS n_hours, cast(cast(f AS date) AS varchar) AS test_start,
+      cast(cast(l AS date) AS varchar) AS test_end, s.* EXCLUDE (zone) FROM compared JOIN (
         SELECT zone, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std,
           round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std,
           round(avg(pinball_10), 6) AS pinball_10_mean, round(avg(pinball_90), 6) AS pinball_90_mean,
