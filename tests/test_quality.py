@@ -78,11 +78,14 @@ def test_rule_forms(hourly):
         Rule("absent", "q", "s > 0"),
         Rule("bad", "p", "s >"),
         Rule("stranger", "p", "zone = 'DE'"),
+        Rule("window", "p", "s > lag(s) over (order by s)"),
+        Rule("text", "zone", "jump(1)"),
     ]
     got = {r["name"]: (r["status"], r["violations"]) for r in rules.run_rules(hourly(frame), list_, block_steps=3).collect()}
     assert got == {
         "low": ("fail", 1), "jump": ("fail", 3), "flat": ("fail", 3), "spike": ("fail", 1), "hours": ("pass", 0),
-        "mean": ("pass", 0), "scalar": ("fail", 8), "absent": ("skipped", 0), "bad": ("error", 0), "stranger": ("error", 0)}
+        "mean": ("pass", 0), "scalar": ("fail", 8), "absent": ("skipped", 0), "bad": ("error", 0), "stranger": ("error", 0),
+        "window": ("error", 0), "text": ("error", 0)}
     relaxed = rules.run_rules(hourly(frame), list_[1:3], first_row_passes=True)
     assert {r["name"]: r["violations"] for r in relaxed.collect()} == {"jump": 2, "flat": 2}
 

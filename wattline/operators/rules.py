@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import NumericType
 
 from wattline.config import TS, ZONE
 from wattline.plans.blocks import BLOCK_STEPS, block_series
@@ -31,6 +32,8 @@ _TEMPLATES = {
     "spike": re.compile(rf"spike\({_NUMBER},{_NUMBER},{_NUMBER}\)"),
 }
 
+_WINDOW = re.compile(r"\bover\s*[(\w]", re.IGNORECASE)
+
 RULE_SCHEMA = "name string, description string, column string, severity string, expression string"
 
 
@@ -123,10 +126,10 @@ def run_rules(
 ) -> DataFrame:
     """Evaluate every rule per zone.
 
-    All row predicates share one aggregate pass over ``df``, which also finds the zones. Rules that look at
-    neighbouring values share one blocked pass over the non-null values of
-    their columns. A rule on an unknown column is ``skipped``, one that does not
-    resolve is ``error``; neither stops the others.
+    All row predicates share one aggregate pass over ``df``, which also finds the
+    zones. Rules that look at neighbouring values share one blocked pass over the
+    non-null values of their columns. A rule on an unknown column is ``skipped``,
+    one that does not resolve is ``error``; neither stops the others.
     """
     spark = df.sparkSession
     row_rules, scalar_rules, sequence_rules, unusable = [], [], [], []
@@ -137,9 +140,12 @@ def run_rules(
             unusable.append((number, "skipped", f"Column '{rule.column}' not in dataset"))
             continue
         template = _template(rule)
-        if template and column == ts:
+        if template and not isinstance(df.schema[column].dataType, NumericType):
             unusable.append((number, "error", "sequence rules need a numeric column"))
             continue
+        if _WINDOW.search(rule.expression):
+            unusable.append((number, "error", "window functions are not allowed; use jump, flatline or spike"))
+            continue
         if template:
             sequence_rules.append((number, column, *template))
             continue
