@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from wattline.llm import queries_encoding, queries_language, queries_near, queries_selection  # noqa: F401
+from wattline.llm import queries_encoding, queries_language, queries_licenses, queries_near, queries_selection  # noqa: F401
 from wattline.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
