@@ -1,6 +1,14 @@
 """All queries of this package."""
 
-from wattline.llm import queries_encoding, queries_language, queries_licenses, queries_near, queries_selection  # noqa: F401
+from wattline.llm import (  # noqa: F401
+    queries_chat,
+    queries_encoding,
+    queries_language,
+    queries_licenses,
+    queries_near,
+    queries_selection,
+    queries_winnowing,
+)
 from wattline.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
