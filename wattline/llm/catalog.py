@@ -5,6 +5,7 @@ from wattline.llm import (  # noqa: F401
     queries_encoding,
     queries_language,
     queries_licenses,
+    queries_lines,
     queries_near,
     queries_selection,
     queries_winnowing,

@@ -35,14 +35,21 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(factors), np.multiply.accumulate(inverse)
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and inverse powers: ``(sums[j] - sums[i]) * inverse[i]`` is a hash of ``data[i:j]`` wherever it stands."""
+    size = PIECE if len(data) < PIECE else 1 << (len(data) + 1).bit_length()
+    powers, inverse = _powers(size)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    return sums, inverse
+
+
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start offsets of the words of ``data``, with A-Z read as a-z."""
     blank = _BLANK[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
-    powers, inverse = _powers(max(PIECE, 1 << (len(data) + 1).bit_length()) if len(data) >= PIECE else PIECE)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    sums, inverse = prefix_sums(_LOWER[data])
     words = (sums[ends] - sums[starts]) * inverse[starts]
     return mix64(words + (ends - starts).astype(np.uint64)), starts
 
