@@ -1,0 +1,163 @@
+"""A model of token spellings: bit predictors of hashed contexts, mixed in the logistic domain.
+
+A token is spelt by its bytes and a blank, most significant bit first. For each order 1 to ``ORDERS`` the
+bytes before (within the token) and the bits of the byte so far are hashed to a slot that counts zeros
+and ones. The predictions, stretched to logits, are summed with weights of the set that a gate chooses by
+how often some of the slots were seen; the sum, squashed, is refined by a table over the
+last byte and the quantised logit. Weights and table are trained online, on a sample, in one pass.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+from wattline.llm.hashing import mix64
+
+ORDERS = 5
+SLOT_BITS = 18
+SLOTS = ORDERS << SLOT_BITS
+GATES = 4**3
+LOGITS = 24
+#: Bit events that one online step sees together.
+STEP = 512
+
+
+def spelt(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens, each with its blank; the packed bytes before each within its token; starts of tokens."""
+    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
+    lengths = np.array([len(t) + 1 for t in tokens], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    before = np.zeros(len(data), np.uint64)
+    for k in range(1, ORDERS + 1):
+        known = place >= k
+        before[known] |= data[np.flatnonzero(known) - k].astype(np.uint64) << np.uint64(8 * (k - 1))
+    return data, before, starts
+
+
+def _contexts(before: np.ndarray) -> list[np.ndarray]:
+    return [
+        mix64((before & np.uint64((1 << 8 * k) - 1)) * np.uint64(8) + np.uint64(k)) for k in range(1, ORDERS + 1)
+    ]
+
+
+def _slots(contexts: list[np.ndarray], partial: np.ndarray) -> np.ndarray:
+    """Slot of each order for the bits ``partial`` (with a leading one) of the byte so far."""
+    step = partial.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.stack(
+        [
+            ((((c ^ step) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+            + (k << SLOT_BITS)
+            for k, c in enumerate(contexts)
+        ]
+    )
+
+
+def _bits(data: np.ndarray):
+    """For each bit of the bytes, from the highest: the bits before it and the bit."""
+    whole = data.astype(np.int64)
+    for shift in range(7, -1, -1):
+        yield (1 << (7 - shift)) | (whole >> (shift + 1)), whole >> shift & 1
+
+
+def counts(tokens: list[bytes]) -> np.ndarray:
+    """How often each slot saw a zero (row 0) and a one (row 1) in the spellings."""
+    found = np.zeros((2, SLOTS), np.int64)
+    if tokens:
+        data, before, _ = spelt(tokens)
+        contexts = _contexts(before)
+        for partial, bit in _bits(data):
+            slots = _slots(contexts, partial)
+            one = bit == 1
+            found[1] += np.bincount(slots[:, one].ravel(), minlength=SLOTS)
+            found[0] += np.bincount(slots[:, ~one].ravel(), minlength=SLOTS)
+    return found
+
+
+def _logit(zeros, ones):
+    return np.log((ones + 0.4) / (zeros + 0.4))
+
+
+def _level(seen):
+    return (seen > 0).astype(np.int64) + (seen > 2) + (seen > 15)
+
+
+def _gate(levels) -> np.ndarray:
+    return levels[1] * 16 + levels[2] * 4 + levels[4]
+
+
+def _squash(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+@dataclass
+class BitModel:
+    """Logits and levels of all slots, weights of each gate, and the refining table."""
+
+    logits: np.ndarray
+    levels: np.ndarray
+    weights: np.ndarray
+    refine: np.ndarray
+
+    def _refined(self, dot: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = last * LOGITS + np.clip(((dot + 12) * (LOGITS / 24)).astype(np.int64), 0, LOGITS - 1)
+        return (_squash(dot) + self.refine[cell]) / 2, cell
+
+    def bits(self, tokens: list[bytes]) -> np.ndarray:
+        """Code length of each token in bits."""
+        if not tokens:
+            return np.zeros(0)
+        data, before, starts = spelt(tokens)
+        contexts, last = _contexts(before), (before & np.uint64(255)).astype(np.int64)
+        total = np.zeros(len(data))
+        for partial, bit in _bits(data):
+            slots = _slots(contexts, partial)
+            gate = _gate([self.levels[s] for s in slots])
+            dot = self.weights[gate, ORDERS].copy()
+            for k in range(ORDERS):
+                dot += self.weights[gate, k] * self.logits[slots[k]]
+            p, _ = self._refined(dot, last)
+            total -= np.log2(np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1))
+        return np.add.reduceat(total, starts)
+
+
+def train(table: np.ndarray, sample: list[bytes], rate: float = 0.02) -> BitModel:
+    """A model from the counts of all training spellings, with weights trained on ``sample``, some of them.
+
+    Each sampled spelling is taken out of the counts while it is learnt from, so that the
+    weights are those for spellings that have not been seen.
+    """
+    zeros, ones = table
+    model = BitModel(
+        _logit(zeros, ones).astype(np.float32),
+        _level(zeros + ones).astype(np.uint8),
+        np.full((GATES, ORDERS + 1), 0.3),
+        np.tile(_squash((np.arange(LOGITS) + 0.5) * (24 / LOGITS) - 12), 256),
+    )
+    model.weights[:, ORDERS] = 0
+    if not sample:
+        return model
+    data, before, _ = spelt(sample)
+    contexts, last = _contexts(before), (before & np.uint64(255)).astype(np.int64)
+    slots, bits = [], []
+    for partial, bit in _bits(data):
+        slots.append(_slots(contexts, partial))
+        bits.append(bit)
+    slots = np.stack(slots, axis=2).reshape(ORDERS, -1)  # events in the order of bytes, then bits
+    bits = np.stack(bits, axis=1).ravel()
+    last = np.repeat(last, 8)
+    less_zero = zeros[slots] - (bits == 0)
+    less_one = ones[slots] - (bits == 1)
+    inputs = np.vstack([_logit(np.maximum(less_zero, 0), np.maximum(less_one, 0)), np.ones(len(bits))])
+    gates = _gate(_level(np.maximum(less_zero + less_one, 0)))
+    for at in range(0, len(bits), STEP):
+        part = slice(at, at + STEP)
+        x, gate, bit = inputs[:, part], gates[part], bits[part]
+        dot = (model.weights[gate].T * x).sum(axis=0)
+        np.add.at(model.weights, gate, (rate * (bit - _squash(dot)) * x).T)
+        _, cell = model._refined(dot, last[part])
+        np.add.at(model.refine, cell, 0.01 * (bit - model.refine[cell]))
+    model.refine = np.clip(model.refine, 1e-4, 1 - 1e-4)
+    return model

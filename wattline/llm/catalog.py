@@ -6,6 +6,7 @@ from wattline.llm import (  # noqa: F401
     queries_language,
     queries_licenses,
     queries_lines,
+    queries_lm,
     queries_near,
     queries_selection,
     queries_winnowing,
