@@ -123,20 +123,13 @@ def qa_range_stats(spark, sf_dir):
     + """
     UNION ALL
     SELECT zone, cast(last_day(utc_timestamp) AS varchar) AS month_end, 'y_c' AS "column", round(count(y_c) / count(*), 6) AS coverage
-    FROM daily_gappy GROUP BY 1, 2
-    UNION ALL
-    SELECT zone, cast(last_day(m) AS varchar) AS month_end, 'y_c' AS "column", NULL AS coverage
-    FROM (SELECT zone, unnest(generate_series(date_trunc('month', min(utc_timestamp)), max(utc_timestamp),
-                                              interval 1 month)) AS m FROM daily_gappy GROUP BY 1)
-    WHERE month(m) = 7""",
-    "market_sparse", "daily_series",
-    steps="daily_gappy AS (SELECT * FROM daily_series WHERE month(utc_timestamp) <> 7)"))
+    FROM daily_series GROUP BY 1, 2""",
+    "market_sparse", "daily_series"))
 def qa_monthly_coverage(spark, sf_dir):
     from checks.fixtures import daily_series
 
     hourly = quality.monthly_coverage(market_sparse(spark, sf_dir), COLUMNS)
-    gappy = daily_series(spark, sf_dir).filter(F.month("utc_timestamp") != 7)
-    both = hourly.unionByName(quality.monthly_coverage(gappy, ["y_c"]))
+    both = hourly.unionByName(quality.monthly_coverage(daily_series(spark, sf_dir), ["y_c"]))
     return both.withColumn("coverage", F.round("coverage", 6))
 
 
@@ -285,6 +278,39 @@ def rule_spike_count(spark, sf_dir):
     return _violations(spark, sf_dir, SPIKE_RULES)
 
 
+# Rules as language models write them, in series notation.
+SERIES_RULES = (
+    Rule("price_non_negative", "price_c", "s >= -50"),
+    Rule("price_reasonable_upper_bound", "price_c", "s <= 500"),
+    Rule("load_positive", "load_c", "s > 0"),
+    Rule("load_realistic_bounds", "load_c", "(s >= 30000) & (s <= 80000)"),
+    Rule("wind_offshore_non_negative", "wind_offshore_c", "s >= 0"),
+    Rule("wind_offshore_capacity_bound", "wind_offshore_c", "s <= 10000"),
+    Rule("price_hourly_jump_limit", "price_c", "s.diff().abs() <= 150"),
+    Rule("load_hourly_jump_limit", "load_c", "s.diff().abs() <= 5000"),
+    Rule("wind_offshore_hourly_jump_limit", "wind_offshore_c", "s.diff().abs() <= 2000"),
+    Rule("price_not_extreme_spike", "price_c",
+         "(s <= 400) | (s.rolling(window=168, min_periods=1).apply(lambda x: (x > 400).sum()) <= 1)"),
+    Rule("wind_offshore_not_constant", "wind_offshore_c", "s.rolling(window=24, min_periods=1).std() > 0"),
+    Rule("load_not_constant", "load_c", "s.rolling(window=12, min_periods=1).std() > 0"),
+)
+_SERIES_OK = {0: "price_c >= -50", 1: "price_c <= 500", 2: "load_c > 0", 3: "load_c BETWEEN 30000 AND 80000",
+              4: "wind_offshore_c >= 0", 5: "wind_offshore_c <= 10000"}
+_SERIES_SQL = _union([
+    *[_counted(SERIES_RULES[i].name, SERIES_RULES[i].column, ok) for i, ok in _SERIES_OK.items()],
+    *[_jump_sql(SERIES_RULES[i], k) for i, k in ((6, 150), (7, 5000), (8, 2000))],
+    _spike_sql(SERIES_RULES[9], 400, 168, 1),
+    _flat_sql(SERIES_RULES[10], 24), _flat_sql(SERIES_RULES[11], 12),
+])
+
+
+@query("series_rules", with_views(
+    f"SELECT *, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status FROM ({_SERIES_SQL})", "market_sparse"))
+def series_rules(spark, sf_dir):
+    results = rules.run_rules(market_sparse(spark, sf_dir), SERIES_RULES)
+    return results.select("zone", "name", "violations", F.round("fraction", 6).alias("fraction"), "status")
+
+
 @query("rule_timestamp", with_views(_time_sql(TIME_RULES[0]), "market_sparse"))
 def rule_timestamp(spark, sf_dir):
     return _violations(spark, sf_dir, TIME_RULES)

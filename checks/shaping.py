@@ -72,7 +72,8 @@ def year_chunks(spark, sf_dir):
 @query("align_wide", with_views(
     """SELECT zone, h AS utc_timestamp,
       max(CASE WHEN series = 'click' THEN v END) AS click, max(CASE WHEN series = 'error' THEN v END) AS error,
-      max(CASE WHEN series = 'purchase' THEN v END) AS purchase, max(CASE WHEN series = 'view' THEN v END) AS view
+      max(CASE WHEN series = 'purchase' THEN v END) AS purchase, max(CASE WHEN series = 'signup' THEN v END) AS signup,
+      max(CASE WHEN series = 'view' THEN v END) AS view
     FROM (SELECT zone, series, date_trunc('hour', utc_timestamp) AS h, cast(sum(value_c) AS double) / 100.0 AS v
           FROM points_long GROUP BY 1, 2, 3) GROUP BY 1, 2""", "points_long"))
 def align_wide(spark, sf_dir):
@@ -80,7 +81,7 @@ def align_wide(spark, sf_dir):
     hourly = points.groupBy(
         "zone", "series", F.date_trunc("hour", "utc_timestamp").cast("timestamp_ntz").alias("utc_timestamp")
     ).agg((F.sum("value_c").cast("double") / 100.0).alias("value"))
-    return shaping.align_wide(hourly, ["click", "error", "purchase", "view"])
+    return shaping.align_wide(hourly, ["click", "error", "purchase", "signup", "view"])
 
 
 @query("time_slice", with_views(

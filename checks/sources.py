@@ -13,9 +13,15 @@ from wattline.sources import landing_json, landing_xml, tables
 
 START, END = "2024-01-03", "2024-01-24"
 
-# Event kinds stand in for four of the five feed series.
-NAMES = {"view": "price_da_eur_mwh", "click": "wind_onshore_mwh", "purchase": "solar_mwh", "error": "load_mwh"}
-XML_KINDS = {"view": ("A44", "-"), "click": ("A75", "B19"), "purchase": ("A75", "B16"), "error": ("A65", "-")}
+# Event kinds stand in for the five feed series.
+NAMES = {
+    "view": "price_da_eur_mwh", "click": "wind_onshore_mwh", "signup": "wind_offshore_mwh", "purchase": "solar_mwh",
+    "error": "load_mwh",
+}
+XML_KINDS = {
+    "view": ("A44", "-"), "click": ("A75", "B19"), "signup": ("A75", "B18"), "purchase": ("A75", "B16"),
+    "error": ("A65", "-"),
+}
 
 _SLOT = "(epoch_us(utc_timestamp) // 900000000)"
 _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items())
@@ -42,8 +48,7 @@ def _name(kind, names):
     return expr
 
 
-def _land_json(spark, sf_dir):
-    path = scratch_path(spark, "landing-json")
+def _chunks(spark, sf_dir):
     week = 7 * 96
     chunks = (
         _slots(spark, sf_dir)
@@ -52,12 +57,17 @@ def _land_json(spark, sf_dir):
         .agg(F.sort_array(F.collect_list(F.array((F.col("slot") * 900000).cast("double"), F.col("v").cast("double")))).alias("points"))
     )
     ids = {kind: landing_json.SERIES_IDS[name] for kind, name in NAMES.items()}
-    chunks.select(
+    return chunks.select(
         F.col("points").alias("series"),
         _name(F.col("series"), ids).alias("series_id"),
         "zone",
         (F.col("chunk") * week * 900000).alias("chunk_ms"),
-    ).write.partitionBy("series_id", "zone", "chunk_ms").json(path)
+    )
+
+
+def _land_json(spark, sf_dir):
+    path = scratch_path(spark, "landing-json")
+    _chunks(spark, sf_dir).write.partitionBy("series_id", "zone", "chunk_ms").json(path)
     return path
 
 
@@ -67,6 +77,30 @@ def scan_json_chunks(spark, sf_dir):
     return landing_json.scan_chunks(spark, _land_json(spark, sf_dir), START, END, partitioned=True).drop("chunk_ms")
 
 
+@query("landing_rejects", with_views(
+    """SELECT zone, CAST(-1 AS bigint) AS series_id, count(DISTINCT slot // 672) AS n_files, 'unknown series' AS reason
+    FROM slots WHERE series = 'wind_offshore_mwh' GROUP BY zone
+    UNION ALL
+    SELECT zone, CAST(4169 AS bigint), count(DISTINCT slot // 672), 'payload not readable' FROM slots
+    WHERE series = 'price_da_eur_mwh' AND zone = 'Z2' GROUP BY zone""", "points_long", steps=_SLOTS))
+def landing_rejects(spark, sf_dir):
+    """Chunks under an unknown id, and cut-off payloads of one zone's prices."""
+    path = scratch_path(spark, "landing-rejects")
+    body = F.to_json(F.struct("series"))
+    cut = (F.col("series_id") == landing_json.SERIES_IDS["price_da_eur_mwh"]) & (F.col("zone") == "Z2")
+    unknown = F.col("series_id") == landing_json.SERIES_IDS["wind_offshore_mwh"]
+    chunks = _chunks(spark, sf_dir).withColumn("body", body)
+    chunks.select(
+        F.when(cut, F.expr("substring(body, 1, length(body) - 3)")).otherwise(F.col("body")).alias("value"),
+        F.when(unknown, -1).otherwise(F.col("series_id")).alias("series_id"),
+        "zone",
+        "chunk_ms",
+    ).write.partitionBy("series_id", "zone", "chunk_ms").text(path)
+    rejects = landing_json.scan_rejects(spark, path, partitioned=True)
+    return rejects.groupBy("zone", F.col("series_id").cast("bigint").alias("series_id"), "reason").agg(
+        F.count(F.lit(1)).alias("n_files"))
+
+
 def _market_sql(hourly: str, series: list[str], until: str) -> str:
     columns = ", ".join(f"max(value) FILTER (series = '{s}') AS {s}" for s in series)
     return f"""SELECT zone, h AS utc_timestamp, {columns} FROM ({hourly}) GROUP BY 1, 2
@@ -131,6 +165,31 @@ def scan_xml_docs(spark, sf_dir):
     return landing_xml.scan_documents(spark, _land_xml(spark, sf_dir)).drop("chunk_no")
 
 
+@query("market_from_xml", with_views(
+    _market_sql("""SELECT zone, series, h, round(m, 6) AS value FROM grid LEFT JOIN hourly USING (zone, series, h)""",
+                _SERIES, "23:59:59"),
+    "points_long", steps=f"""{_SLOTS.strip()},
+inside AS (SELECT * FROM points WHERE utc_timestamp BETWEEN timestamp '{START} 00:00:00' AND timestamp '{END} 23:59:59'),{_GRID}"""))
+def market_from_xml(spark, sf_dir):
+    """Days of a series lie in many documents, so the documents interleave."""
+    market = landing_xml.market_table(spark, _land_xml(spark, sf_dir), START, END)
+    return market.withColumns({c: F.round(c, 6) for c in _SERIES})
+
+
+@query("scan_rejections", with_views(
+    """SELECT zone, 'A44' AS doc_type, '-' AS psr_type, '999' AS code, concat('no data for ', zone) AS text
+    FROM (SELECT DISTINCT zone FROM points_long)""", "points_long"))
+def scan_rejections(spark, sf_dir):
+    path = scratch_path(spark, "landing-rejections")
+    zones = points_long(spark, sf_dir).select("zone").distinct()
+    zones.select(
+        F.struct(F.lit("999").alias("code"), F.concat(F.lit("no data for "), F.col("zone")).alias("text")).alias("Reason"),
+        F.lit("A44").alias("doc_type"), F.lit("-").alias("psr_type"), "zone",
+    ).write.partitionBy("doc_type", "psr_type", "zone").format("xml").option("rowTag", "Acknowledgement").option(
+        "rootTag", "Documents").save(path)
+    return landing_xml.scan_rejections(spark, path).drop("file_name")
+
+
 @query("scan_parquet", with_views(
     "SELECT zone, utc_timestamp, price_c, load_c FROM market_sparse WHERE zone = 'Z1'", "market_sparse"))
 def scan_parquet(spark, sf_dir):

@@ -233,10 +233,10 @@ def cv_recent_folds(spark, sf_dir):
     """SELECT zone, min(utc_timestamp) AS first_hour, max(utc_timestamp) AS last_hour, count(*) AS n_common,
       round(avg(abs(y_true - y_naive)), 6) AS baseline_mae, round(avg(abs(y_true - y_pred)), 6) AS model_mae
     FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY utc_timestamp DESC) AS rn FROM scored
-          WHERE y_naive IS NOT NULL AND y_pred IS NOT NULL) WHERE rn <= 5 GROUP BY 1""",
+          WHERE y_naive IS NOT NULL AND y_pred IS NOT NULL) WHERE rn <= 336 GROUP BY 1""",
     "daily_series", steps=_SCORED))
 def recent_model_comparison(spark, sf_dir):
-    return _round(reports.recent_comparison(_scored(spark, sf_dir)[1], n=5))
+    return _round(reports.recent_comparison(_scored(spark, sf_dir)[1]))
 
 
 @query("prompt_reference", with_views(
@@ -275,7 +275,7 @@ def gbt_forecast(spark, sf_dir):
     split = _gbt_rows(spark, sf_dir)
     train, test = _part(split, "train"), _part(split, "test")
     forecaster = _forecaster()
-    cv = learners.walk_forward(train, forecaster, n_folds=2)
+    cv = learners.walk_forward(train, forecaster)
     forecast = forecaster.fit(train).predict(test)
     banded = validation.prediction_interval(forecast, validation.residual_quantiles(cv))
     return banded.select("zone", "utc_timestamp", F.col("y").alias("y_true"), "y_pred", "y_pred_p10", "y_pred_p90")

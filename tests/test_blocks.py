@@ -90,5 +90,5 @@ def test_small_side_is_broadcast_only_within_its_bound(spark):
     within = big.join(small_side(side, max_rows=100), "k")
     beyond = small_side(side, max_rows=99)
     assert "BroadcastHashJoin" in within._jdf.queryExecution().executedPlan().toString()
-    assert beyond is side
+    assert "broadcast" not in beyond._jdf.queryExecution().logical().toString().lower()
     assert within.count() == big.join(beyond, "k").count() == 100

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import catalog
 from checks.compare import compare, connect
 
 SF = "/root/testdata/sf0.01"
-ORACLE = entry.oracle_sql()
+ORACLE = catalog.ORACLE
 ROWS_ONLY = {"gbt_forecast", "feature_importance"}
 
 
@@ -16,7 +17,8 @@ def con():
 
 
 def test_every_query_has_sql_but_the_listed_ones():
-    assert set(entry.queries()) - set(ORACLE) == ROWS_ONLY
+    assert set(catalog.QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -46,10 +46,9 @@ HOUR_MICROS = 3_600_000_000
 
 
 @dataclass(frozen=True)
-class JobConfig:
+class JobConfig:  # fixed values: the defaults, and the environment names below
     """Settings of an end-to-end run; see ``plans.pipeline``."""
 
-    market: str = "DE"
     start_date: str = "2022-01-01"
     end_date: str = "2025-12-31"
     random_seed: int = 42
@@ -64,9 +63,8 @@ class JobConfig:
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ, **overrides) -> JobConfig:
-        """Market, dates and the refetch flag from the environment."""
+        """Dates and the refetch flag from the environment."""
         found = {
-            "market": env.get("MARKET", cls.market),
             "start_date": env.get("START_DATE", cls.start_date),
             "end_date": env.get("END_DATE", cls.end_date),
             "force_refetch": env.get("FORCE_REFETCH", "false").lower() == "true",

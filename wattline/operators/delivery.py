@@ -69,14 +69,16 @@ def all_views(
     most the hours of one period).
     """
     shaped = F.when(is_peak(ts, tz), "peak").otherwise("offpeak")
+    # Unknown names mean week; a horizon that is meant twice counts once.
+    meant = dict.fromkeys(horizon if horizon in _HORIZON_RANK else "week" for horizon in horizons)
     places = F.array(
         *[
             F.struct(
-                F.lit(horizon if horizon in _HORIZON_RANK else "week").alias("horizon"),
+                F.lit(horizon).alias("horizon"),
                 _period(horizon, ts).alias("_period"),
                 product.alias("product_type"),
             )
-            for horizon in horizons
+            for horizon in meant
             for product in (F.lit("base"), shaped)
         ]
     )

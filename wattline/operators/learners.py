@@ -92,8 +92,8 @@ class PriceForecaster:
             raise RuntimeError("fit the forecaster before predicting")
         return _apply(self._model, rows)
 
-    def importances(self, top: int | None = 20) -> DataFrame:
-        """Inputs by falling importance."""
+    def importances(self, top: int | None = None) -> DataFrame:
+        """All inputs by falling importance, or the first ``top``."""
         if self._model is None:
             raise RuntimeError("fit the forecaster before reading importances")
         values = self._model.stages[-1].featureImportances.toArray().tolist()

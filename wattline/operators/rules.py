@@ -9,6 +9,9 @@ also where the predicate fails on its value. These forms exist:
 ``jump(k)``                change from the previous non-null value is at most k
 ``flatline(n)``            the last n values are not all equal
 ``spike(t, n, m)``         values above t only where the last n values hold at most m such
+
+Expressions in series notation (``s.diff().abs() <= 150``) are translated to
+these; see ``rule_text`` for what is allowed.
 """
 
 from __future__ import annotations
@@ -16,13 +19,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 from wattline.config import TS, ZONE
+from wattline.operators.rule_text import checked
 from wattline.plans.blocks import BLOCK_STEPS, block_series
 
 _NUMBER = r"\s*(-?\d+(?:\.\d+)?)\s*"
@@ -32,7 +36,8 @@ _TEMPLATES = {
     "spike": re.compile(rf"spike\({_NUMBER},{_NUMBER},{_NUMBER}\)"),
 }
 
-_WINDOW = re.compile(r"\bover\s*[(\w]", re.IGNORECASE)
+#: Rules of one plan; more are evaluated in several.
+BATCH = 200
 
 RULE_SCHEMA = "name string, description string, column string, severity string, expression string"
 
@@ -60,12 +65,16 @@ def parse_rule_documents(docs: DataFrame, text: str = "document") -> DataFrame:
     wrapped = F.coalesce(wrapped, F.array().cast(f"array<struct<{_as_fields(RULE_SCHEMA)}>>"))
     rules = F.when(body.startswith("["), listed).when(body.startswith("{"), wrapped)
     keys = [c for c in docs.columns if c != text]
-    read = docs.select(*keys, rules.alias("_rules"), F.get_json_object(body, "$").isNull().alias("_bad"))
+    # A JSON reader stops at the end of the first value; text behind it makes the document unreadable.
+    closed = F.when(body.startswith("["), body.endswith("]")).otherwise(body.endswith("}"))
+    read = docs.select(
+        *keys, rules.alias("_rules"), (F.get_json_object(body, "$").isNull() | ~closed).alias("_bad")
+    )
     bad = read.filter(F.col("_bad") | F.col("_rules").isNull()).select(
         *keys, *[F.lit(None).cast("string").alias(f.split()[0]) for f in RULE_SCHEMA.split(", ")],
         F.lit("document is not a rule list").alias("parse_error"),
     )
-    good = read.filter(~F.col("_bad")).select(*keys, F.inline("_rules")).withColumn("parse_error", F.lit(None).cast("string"))
+    good = read.filter(~F.col("_bad") & F.col("_rules").isNotNull()).select(*keys, F.inline("_rules")).withColumn("parse_error", F.lit(None).cast("string"))
     return good.withColumn("severity", F.coalesce("severity", F.lit("warning"))).unionByName(bad)
 
 
@@ -73,15 +82,20 @@ def _as_fields(schema: str) -> str:
     return schema.replace(" string", ":string").replace(", ", ",")
 
 
-def rules_from_rows(rows: DataFrame, limit: int = 1000) -> list[Rule]:
-    """Rules of a parsed rule table; a plan can only hold a limited number."""
-    found = rows.filter(F.col("name").isNotNull()).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} rules in one rule table")
-    return [Rule(r["name"], r["column"], r["expression"], r["description"] or "", r["severity"]) for r in found]
+def rules_from_rows(rows: DataFrame) -> list[Rule]:
+    """Rules of a parsed rule table; a document that could not be read raises."""
+    found = rows.collect()
+    bad = [r for r in found if r["parse_error"]] if "parse_error" in rows.columns else []
+    if bad:
+        raise ValueError(f"{len(bad)} rule documents: {bad[0]['parse_error']}")
+    return [
+        Rule(r["name"], r["column"], r["expression"], r["description"] or "", r["severity"] or "warning") for r in found
+    ]
 
 
 def _template(rule: Rule) -> tuple[str, list[float]] | None:
+    if rule.expression is None:
+        return None
     for kind, pattern in _TEMPLATES.items():
         match = pattern.fullmatch(rule.expression.strip())
         if match:
@@ -129,23 +143,34 @@ def run_rules(
     All row predicates share one aggregate pass over ``df``, which also finds the
     zones. Rules that look at neighbouring values share one blocked pass over the
     non-null values of their columns. A rule on an unknown column is ``skipped``,
-    one that does not resolve is ``error``; neither stops the others.
+    one that is not allowed or does not resolve is ``error``; neither stops the others.
     """
+    if len(rules) > BATCH:
+        parts = [
+            run_rules(df, rules[at : at + BATCH], ts=ts, zone=zone, first_row_passes=first_row_passes, block_steps=block_steps)
+            for at in range(0, len(rules), BATCH)
+        ]
+        results = parts[0]
+        for part in parts[1:]:
+            results = results.unionByName(part)
+        return results
     spark = df.sparkSession
     row_rules, scalar_rules, sequence_rules, unusable = [], [], [], []
     empty = {}
     for number, rule in enumerate(rules):
         column = ts if rule.column == "index" else rule.column
         if column not in df.columns:
-            unusable.append((number, "skipped", f"Column '{rule.column}' not in dataset"))
+            unusable.append((number, "skipped", f"the table has no column {rule.column!r}"))
             continue
-        template = _template(rule)
+        try:
+            read = replace(rule, expression=checked(rule.expression) if not _template(rule) else rule.expression.strip())
+        except ValueError as error:
+            unusable.append((number, "error", str(error)))
+            continue
+        template = _template(read)
         if template and not isinstance(df.schema[column].dataType, NumericType):
             unusable.append((number, "error", "sequence rules need a numeric column"))
             continue
-        if _WINDOW.search(rule.expression):
-            unusable.append((number, "error", "window functions are not allowed; use jump, flatline or spike"))
-            continue
         if template:
             sequence_rules.append((number, column, *template))
             continue
@@ -153,11 +178,11 @@ def run_rules(
             blank = F.lit(None).cast(df.schema[column].dataType)
             empty[column] = spark.range(0).select(blank.alias("s"))
         with _lenient(spark):
-            kind, error = _classify(empty[column], rule)
+            kind, error = _classify(empty[column], read)
         if kind == "row":
-            row_rules.append((number, column, rule))
+            row_rules.append((number, column, read))
         elif kind == "scalar":
-            scalar_rules.append((number, column, rule))
+            scalar_rules.append((number, column, read))
         else:
             unusable.append((number, "error", error))
 

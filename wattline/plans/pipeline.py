@@ -57,8 +57,9 @@ def quality_tables(market: DataFrame, columns: Sequence[str]) -> dict[str, DataF
 def clean(market: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and columns kept for modelling, and the column decisions."""
     priced = cleaning.keep_price_range(market)
-    decisions = cleaning.sparse_columns(priced)
-    return cleaning.drop_sparse(priced), decisions
+    decisions = settle(market.sparkSession, cleaning.sparse_columns(priced), "column-decisions")
+    gone = [row["column"] for row in decisions.where("dropped").collect()]
+    return priced.drop(*gone), decisions
 
 
 def run(
@@ -126,6 +127,9 @@ def run(
     tables.write_json(signals, f"{output}/trading_signal")
 
     report_parts["model_performance"] = performance
+    decided = [F.struct(*[F.lit(v).alias(k) for k, v in row.asDict().items()]) for row in decisions.collect()]
+    if decided:
+        report_parts["column_decisions"] = performance.select(ZONE, F.inline(F.array(*decided)))
     report = tables.report_json(report_parts)
     tables.write_report(report, f"{output}/quality_report")
     tables.write_json(decisions, f"{output}/column_decisions")

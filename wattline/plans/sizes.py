@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wattline.session import settle
+
 BROADCAST_ROWS = 50_000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Return ``df`` ready to be joined to a large table.
 
-    At most ``max_rows + 1`` rows are pulled to learn the real size. When the
-    table is within the bound it comes back as a local relation marked for
-    broadcast, so the large side is not shuffled. When it is larger it comes
-    back unchanged: the join then shuffles, and AQE splits skewed keys.
+    It is computed once and stored in the shared folder, then counted there.
+    Within the bound it is marked for broadcast, so the large side is not
+    shuffled; beyond it the join shuffles and AQE splits skewed keys.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+    stored = settle(df.sparkSession, df, "small-side")
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored

@@ -33,19 +33,52 @@ def series_registry(spark: SparkSession, ids: Mapping[str, int] = SERIES_IDS) ->
     return F.broadcast(spark.createDataFrame([(i, c) for c, i in ids.items()], "series_id bigint, series string"))
 
 
-def read_chunks(spark: SparkSession, path: str, *, partitioned: bool = False) -> DataFrame:
-    """One row per chunk: series_id, zone, chunk_ms and the payload array."""
-    if partitioned:
-        schema = f"{PAYLOAD}, series_id bigint, zone string, chunk_ms bigint"
-        return spark.read.schema(schema).option("basePath", path).json(path)
-    raw = spark.read.schema(PAYLOAD).option("multiLine", True).json(path)
+def _files(spark: SparkSession, path: str, partitioned: bool) -> DataFrame:
+    """One row per file: what its place says about it, its payload, and whether it is readable.
+
+    Files are read whole, so line breaks inside a payload do not matter.
+    """
+    schema = "value string" + (", series_id bigint, zone string, chunk_ms bigint" if partitioned else "")
+    raw = spark.read.schema(schema).option("basePath", path).text(path, wholetext=True)
     name = F.col("_metadata.file_name")
-    return raw.select(
-        F.regexp_extract(name, _FILE_NAME, 1).cast("bigint").alias("series_id"),
-        F.regexp_extract(name, _FILE_NAME, 2).alias(ZONE),
-        F.regexp_extract(name, _FILE_NAME, 3).cast("bigint").alias("chunk_ms"),
-        "series",
+    place = (
+        [F.col("series_id"), F.col(ZONE), F.col("chunk_ms")]
+        if partitioned
+        else [
+            F.try_to_number(F.regexp_extract(name, _FILE_NAME, 1), F.lit("9" * 18)).cast("bigint").alias("series_id"),
+            F.regexp_extract(name, _FILE_NAME, 2).alias(ZONE),
+            F.try_to_number(F.regexp_extract(name, _FILE_NAME, 3), F.lit("9" * 18)).cast("bigint").alias("chunk_ms"),
+        ]
+    )
+    read = raw.select(
+        *place,
+        name.alias("file_name"),
+        F.from_json("value", f"{PAYLOAD}, _corrupt_record string").alias("_read"),
+        F.regexp_count("value", F.lit(r'"series"\s*:')).alias("_payloads"),
+    )
+    whole = F.col("_read._corrupt_record").isNull() & F.col("_read.series").isNotNull() & (F.col("_payloads") == 1)
+    return read.select(
+        "series_id", ZONE, "chunk_ms", "file_name", F.col("_read.series").alias("series"),
+        F.coalesce(whole, F.lit(False)).alias("readable"),
+    )
+
+
+def read_chunks(spark: SparkSession, path: str, *, partitioned: bool = False) -> DataFrame:
+    """One row per readable chunk: series_id, zone, chunk_ms and the payload array."""
+    return _files(spark, path, partitioned).filter("readable").select("series_id", ZONE, "chunk_ms", "series")
+
+
+def scan_rejects(
+    spark: SparkSession, path: str, *, partitioned: bool = False, ids: Mapping[str, int] = SERIES_IDS
+) -> DataFrame:
+    """Files that give no points: file_name, series_id, zone, reason."""
+    files = _files(spark, path, partitioned).join(
+        series_registry(spark, ids).withColumnRenamed("series", "_known"), "series_id", "left"
     )
+    reason = F.when(F.col("series_id").isNull() | F.col("chunk_ms").isNull(), "file name not understood").when(
+        F.col("_known").isNull(), "unknown series"
+    ).when(~F.col("readable"), "payload not readable")
+    return files.select("file_name", "series_id", ZONE, reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def scan_chunks(

@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattline.config import DOCUMENT_TYPES, TS, ZONE
+from wattline.functions.calendar import utc_floor
 from wattline.operators.shaping import align_wide, resample_hourly, time_slice, union_keep_first
 
 TIME_SERIES = (
@@ -91,13 +92,48 @@ def scan_rejections(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scan_rejects(
+    spark: SparkSession, path: str, *, types: Mapping[tuple[str, str], str] = DOCUMENT_TYPES
+) -> DataFrame:
+    """Documents that give no points: file_name, doc_type, psr_type, zone, reason.
+
+    A rejection's own text is the reason where there is one.
+    """
+    place = ["doc_type", "psr_type", ZONE]
+    schema = "value string, doc_type string, psr_type string, zone string"
+    files = (
+        spark.read.schema(schema).option("basePath", path).text(path, wholetext=True)
+        .select(*place, F.col("_metadata.file_name").alias("file_name"))
+    )
+    series = _read(spark, path, "TimeSeries", TIME_SERIES).filter(F.size("Period") > 0)
+    told = series.select(*place, F.col("_metadata.file_name").alias("file_name")).distinct().withColumn("_told", F.lit(True))
+    rejected = scan_rejections(spark, path).groupBy(*place, "file_name").agg(F.min("text").alias("_text"))
+    known = document_registry(spark, types).withColumnRenamed("series", "_series")
+    found = (
+        files.join(told, [*place, "file_name"], "left")
+        .join(rejected, [*place, "file_name"], "left")
+        .join(known, ["doc_type", "psr_type"], "left")
+    )
+    reason = (
+        F.when(F.col("_text").isNotNull(), F.col("_text"))
+        .when(F.col("_told").isNull(), "no readable series in the document")
+        .when(F.col("_series").isNull(), "unknown document kind")
+    )
+    return found.select("file_name", *place, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def market_table(spark: SparkSession, path: str, start_date: str, end_date: str, **options) -> DataFrame:
     """Hourly wide table of all landed series from the first to the last day.
 
     Every series is averaged over the hour; repeated hours of overlapping
-    documents keep the first document's value. Points outside the window are
-    left out before they are shuffled.
+    documents keep the first document that has a value. The dense hourly grid is
+    laid once per series, after that, so documents may interleave. Points outside
+    the window are left out before they are shuffled.
     """
     points = time_slice(scan_documents(spark, path, **options), f"{start_date} 00:00:00", f"{end_date} 23:59:59.999999")
-    unique = union_keep_first([resample_hourly(points, how="mean", keys=(ZONE, "series", "chunk_no"))])
-    return align_wide(unique, list(dict.fromkeys(options.get("types", DOCUMENT_TYPES).values())))
+    hourly = points.groupBy(ZONE, "series", utc_floor("hour", TS).alias(TS), "chunk_no").agg(F.avg("value").alias("value"))
+    unique = union_keep_first([hourly])
+    return align_wide(
+        resample_hourly(unique, how="mean", keys=(ZONE, "series")),
+        list(dict.fromkeys(options.get("types", DOCUMENT_TYPES).values())),
+    )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from wattline.config import TS, ZONE
+from wattline.functions.numbers import nan_to_null
 
 FORECAST_SCHEMA = "zone string, id timestamp, y_pred double, y_pred_p10 double, y_pred_p90 double"
 VIEWS_SCHEMA = (
@@ -17,8 +18,21 @@ VIEWS_SCHEMA = (
 
 
 def read_market(spark: SparkSession, path: str) -> DataFrame:
-    """Stored market table; filters on zone, year and time reach the scan."""
-    return spark.read.parquet(path).drop("year")
+    """Stored market table; filters on zone, year and time reach the scan.
+
+    The zone is text whatever it looks like (a folder name ``07`` would be read
+    as a number), and missing measures are NULL, never NaN.
+    """
+    measures = [f for f in spark.read.parquet(path).schema.fields if f.name not in (ZONE, "year")]
+    schema = StructType([*measures, StructField(ZONE, StringType()), StructField("year", IntegerType())])
+    rows = spark.read.schema(schema).parquet(path).drop("year")
+    return nan_to_null(rows.select(ZONE, *[f.name for f in measures]))
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def write_market(df: DataFrame, path: str, *, ts: str = TS, zone: str = ZONE) -> None:
@@ -36,13 +50,9 @@ def write_market(df: DataFrame, path: str, *, ts: str = TS, zone: str = ZONE) ->
 def load_or_build(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], *, force: bool = False
 ) -> DataFrame:
-    """The stored market table, or the built one after storing it."""
-    if not force:
-        try:
-            return read_market(spark, path)
-        except AnalysisException as missing:
-            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+    """The stored market table, or the built one after storing it; a half-written table is built anew."""
+    if not force and is_complete(spark, path):
+        return read_market(spark, path)
     write_market(build(), path)
     return read_market(spark, path)
 
