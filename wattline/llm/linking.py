@@ -10,17 +10,64 @@ from wattline.llm.graphs import components
 from wattline.session import settle
 
 
-def linked_components(shared: DataFrame, alike: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def prefix_pairs(elements: DataFrame, early: str, allowed: str) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share an early element.
+
+    ``elements`` holds (node, component, n, element), each element once for a node. With the elements
+    of all nodes in one order, rarest first, the first common element of a link stands early in both:
+    ``early`` says how early by n, place ``at`` and ``smallest``, the least n of the element's nodes, and ``allowed`` what a pair
+    meets (n, at, other_n, other_at). Nodes around a common original differ from it by rare elements, which come
+    first: a node too far from the original has no frequent element so early, and meets only those that share its
+    own changes. The component that has an element most often is not compared with itself.
+    """
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"), F.min("n").alias("smallest"))
+    ordered = (
+        elements.join(often, "element")
+        .groupBy("node", "component", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("often", "element", "smallest"))).alias("elements"))
+        .select("node", "component", "n", F.posexplode("elements").alias("at", "e"))
+        .select("node", "component", "n", "at", "e.*")
+    )
+    prefixes = settle(
+        elements.sparkSession,
+        ordered.where("often > 1").where(early).select("element", "node", "component", "n", "at"),
+        "prefixes",
+    )
+    main = (
+        prefixes.groupBy("element", "component")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("element")
+        .agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
+        .where("components > 1")
+        .select("element", F.col("main.component").alias("main"))
+    )
+    minor = prefixes.join(main, "element").where("component != main").drop("main")
+    others = prefixes.toDF("element", "other", "other_component", "other_n", "other_at")
+    return (
+        minor.join(others, "element")
+        .where("component != other_component")
+        .where(allowed)
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        .distinct()
+    )
+
+
+def linked_components(
+    shared: DataFrame,
+    alike: str,
+    verify: Callable[[DataFrame], DataFrame],
+    apart: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     """node, component for every node that is linked with another; component is the smallest node it reaches.
 
     ``shared`` holds (key, node, n) of the keys that several nodes have. ``alike`` is a condition on the
     sizes ``n`` and ``other_n`` that every link meets, and ``verify`` returns those of the pairs
     (a, b), a < b, that are links.
 
-    First every key's nodes are compared with the smallest of them. Then, for the keys whose nodes
-    are not yet in one component, pairs of nodes in different components are. Every pair that
-    shares a key is thus compared or known to be connected, and a key with thousands of
-    nodes that are all linked costs one comparison for each.
+    First every key's nodes are compared with the smallest of them. For the keys whose nodes are not yet in
+    one component, ``apart`` gets (node, component, n) of these nodes and returns all pairs of different components that can be
+    links. Every pair that shares a key is thus compared, known to be connected or excluded, and a key with thousands of nodes
+    costs about one comparison for each.
     """
     spark = shared.sparkSession
     leaders = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
@@ -49,16 +96,11 @@ def linked_components(shared: DataFrame, alike: str, verify: Callable[[DataFrame
     )
     rest = settle(
         spark,
-        labelled.join(open_keys, "key", "left_semi").where("node != leader").select("key", "node", "n", "component"),
+        labelled.join(open_keys, "key", "left_semi")
+        .where("node != leader")
+        .select("node", "component", "n")
+        .distinct(),
         "open",
     )
-    others = rest.toDF("key", "other", "other_n", "other_component")
-    crossing = (
-        rest.join(others, "key")
-        .where("component < other_component")
-        .where(alike)
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-    more = verify(crossing)
+    more = verify(apart(rest))
     return components(links.union(more)) if more.limit(1).count() else labels

@@ -10,10 +10,10 @@ concentration as for independent hashes.
 Bands of ``rows`` coordinates are the candidate keys: a pair at 0.75 shares none of 32 bands
 of 4 with probability 5e-6, a pair at 0.8 with 5e-8. Documents with equal sets are one class.
 A key's classes are first compared with the smallest of them only; linked classes get the
-label of their component; afterwards only pairs of one key that are still in different
-components are compared. So a group of thousands of near copies costs a few comparisons per
-member, while every pair that shares a key is either compared or known to be connected.
-Comparisons use the whole sets.
+label of their component. Classes of keys that then still have several components are compared
+across components, where the prefixes of their sets allow a link. So a group of thousands of near copies
+costs a few comparisons per member, while every pair that shares a key is compared, known to be
+connected, or proven to be no link. Comparisons use the whole sets.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 from wattline.llm.batches import map_batches
 from wattline.llm.graphs import components
 from wattline.llm.hashing import mix64, shingles, word_hashes
+from wattline.llm.linking import prefix_pairs
 from wattline.session import settle
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 #: Ids of 8 bytes that may be broadcast; a larger side is shuffled.
 BROADCAST_IDS = 500_000
+#: What sizes of linked sets meet.
+ALIKE = "100 * least(n, other_n) >= 75 * greatest(n, other_n)"
 
 
 def sketch(elements: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
@@ -105,26 +108,27 @@ def by_ids(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _verified(docs: DataFrame, kind: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets have 100 x intersection >= 75 x union."""
-    spark = docs.sparkSession
-    pairs = settle(spark, pairs, "pairs")
-    ids = settle(spark, pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "pair-ids")
-    wanted = docs.join(by_ids(ids), "doc_id", "left_semi")
-    sets = settle(
-        spark,
-        _with_sets(wanted, kind)
-        .join(classes.select(F.col("class_id").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"])
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "shingles"),
-        "pair-sets",
-    )
-    both = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets (class_id, n, shingles) have 100 x intersection >= 75 x union."""
+    spark = sets.sparkSession
+    sides = sets.select("class_id", "shingles")
+    both = pairs.join(sides.toDF("b", "set_b"), "b").join(sides.toDF("a", "set_a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     counted = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
-    return settle(
-        spark, counted.where("100 * common >= 75 * (total - common)").select("a", "b"), "links"
+    return settle(spark, counted.where("100 * common >= 75 * (total - common)").select("a", "b"), "links")
+
+
+def _apart(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes (class_id, component) in different components that can be links.
+
+    A link of sets of n and m elements has at least 3 (n + m) / 7 in common, so as many stand in both
+    from the first common element on.
+    """
+    elements = rest.join(sets, "class_id").select(
+        F.col("class_id").alias("node"), "component", "n", F.explode("shingles").alias("element")
     )
+    early = "28 * (n - at) >= 12 * n + 3 * greatest(4 * smallest, 3 * n)"
+    return prefix_pairs(elements, early, f"{ALIKE} and 7 * least(n - at, other_n - other_at) >= 3 * (n + other_n)")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,17 +163,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = settle(
         spark, keyed.join(buckets.where("leader != last"), "key").select("key", "class_id", "n", "leader"), "shared"
     )
-    sizes = classes.select(F.col("class_id").alias("leader"), F.col("n_shingles").alias("leader_n"))
-    alike = "100 * least(n, leader_n) >= 75 * greatest(n, leader_n)"
+    nodes = settle(spark, shared.select("class_id").distinct(), "candidates")
+    wanted = rows.join(by_ids(nodes.toDF("doc_id")), "doc_id", "left_semi")
+    sets = settle(
+        spark,
+        _with_sets(wanted, kind)
+        .withColumnRenamed("doc_id", "class_id")
+        .join(classes, ["class_id", "hi", "lo"])
+        .dropDuplicates(["class_id"])
+        .select("class_id", F.col("n_shingles").alias("n"), "shingles"),
+        "sets",
+    )
+    sizes = classes.select(F.col("class_id").alias("leader"), F.col("n_shingles").alias("other_n"))
     stars = (
         shared.where("class_id != leader")
         .select("leader", "class_id", "n")
         .distinct()
         .join(sizes, "leader")
-        .where(alike)
+        .where(ALIKE)
         .select(F.col("leader").alias("a"), F.col("class_id").alias("b"))
     )
-    links = _verified(rows, kind, classes, stars)
+    links = _verified(sets, stars)
     labels = components(links)
     labelled = settle(
         spark,
@@ -184,18 +198,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("low != high")
         .select("key")
     )
-    rest = settle(spark, labelled.join(open_keys, "key", "left_semi").where("class_id != leader"), "open")
-    other = rest.select(
-        "key", F.col("class_id").alias("other"), F.col("n").alias("leader_n"), F.col("component").alias("other_component")
-    )
-    crossing = (
-        rest.join(other, "key")
-        .where("component < other_component")
-        .where(alike)
-        .select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b"))
-        .distinct()
+    rest = settle(
+        spark,
+        labelled.join(open_keys, "key", "left_semi")
+        .where("class_id != leader")
+        .select("class_id", "component")
+        .distinct(),
+        "open",
     )
-    more = _verified(rows, kind, classes, crossing)
+    more = _verified(sets, settle(spark, _apart(rest, sets), "pairs"))
     final = components(links.union(more)) if more.limit(1).count() else labels
     joined = members.join(final.toDF("class_id", "component"), "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
