@@ -22,6 +22,8 @@ GATES = 4**3
 LOGITS = 24
 #: Bit events that one online step sees together.
 STEP = 512
+#: Sampled tokens that are prepared together.
+PART = 1000
 
 
 def spelt(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ class BitModel:
         return np.add.reduceat(total, starts)
 
 
-def train(table: np.ndarray, sample: list[bytes], rate: float = 0.02) -> BitModel:
+def train(table: np.ndarray, sample: list[bytes], rate: float = 0.001) -> BitModel:
     """A model from the counts of all training spellings, with weights trained on ``sample``, some of them.
 
     Each sampled spelling is taken out of the counts while it is learnt from, so that the
@@ -137,27 +139,26 @@ def train(table: np.ndarray, sample: list[bytes], rate: float = 0.02) -> BitMode
         np.tile(_squash((np.arange(LOGITS) + 0.5) * (24 / LOGITS) - 12), 256),
     )
     model.weights[:, ORDERS] = 0
-    if not sample:
-        return model
-    data, before, _ = spelt(sample)
-    contexts, last = _contexts(before), (before & np.uint64(255)).astype(np.int64)
-    slots, bits = [], []
-    for partial, bit in _bits(data):
-        slots.append(_slots(contexts, partial))
-        bits.append(bit)
-    slots = np.stack(slots, axis=2).reshape(ORDERS, -1)  # events in the order of bytes, then bits
-    bits = np.stack(bits, axis=1).ravel()
-    last = np.repeat(last, 8)
-    less_zero = zeros[slots] - (bits == 0)
-    less_one = ones[slots] - (bits == 1)
-    inputs = np.vstack([_logit(np.maximum(less_zero, 0), np.maximum(less_one, 0)), np.ones(len(bits))])
-    gates = _gate(_level(np.maximum(less_zero + less_one, 0)))
-    for at in range(0, len(bits), STEP):
-        part = slice(at, at + STEP)
-        x, gate, bit = inputs[:, part], gates[part], bits[part]
-        dot = (model.weights[gate].T * x).sum(axis=0)
-        np.add.at(model.weights, gate, (rate * (bit - _squash(dot)) * x).T)
-        _, cell = model._refined(dot, last[part])
-        np.add.at(model.refine, cell, 0.01 * (bit - model.refine[cell]))
+    for first in range(0, len(sample), PART):
+        data, before, _ = spelt(sample[first : first + PART])
+        contexts, last = _contexts(before), (before & np.uint64(255)).astype(np.int64)
+        slots, bits = [], []
+        for partial, bit in _bits(data):
+            slots.append(_slots(contexts, partial))
+            bits.append(bit)
+        slots = np.stack(slots, axis=2).reshape(ORDERS, -1)  # events in the order of bytes, then bits
+        bits = np.stack(bits, axis=1).ravel()
+        last = np.repeat(last, 8)
+        less_zero = np.maximum(zeros[slots] - (bits == 0), 0)
+        less_one = np.maximum(ones[slots] - (bits == 1), 0)
+        inputs = np.vstack([_logit(less_zero, less_one), np.ones(len(bits))])
+        gates = _gate(_level(less_zero + less_one))
+        for at in range(0, len(bits), STEP):
+            part = slice(at, at + STEP)
+            x, gate, bit = inputs[:, part], gates[part], bits[part]
+            dot = (model.weights[gate].T * x).sum(axis=0)
+            np.add.at(model.weights, gate, (rate * (bit - _squash(dot)) * x).T)
+            _, cell = model._refined(dot, last[part])
+            np.add.at(model.refine, cell, 0.01 * (bit - model.refine[cell]))
     model.refine = np.clip(model.refine, 1e-4, 1 - 1e-4)
     return model
