@@ -6,24 +6,31 @@ near its own place. Every line is a probe and an entry of the index: its segment
 (length, number, content), and for its own and each smaller length it probes the substrings that can be
 a segment of a line of that length, at the few places that the numbers of edits on either side allow.
 Lines that meet under a key are verified by edit distance, in a band of 2 x ``DISTANCE`` + 1
-rows held in one machine word, for thousands of pairs at a time.
+rows held in one machine word, for thousands of pairs at a time: first every line with the smallest of its
+key, then those that are still apart where their rarest grams allow a link.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from wattline.llm.batches import map_batches
 from wattline.llm.hashing import PIECE, mix64, prefix_sums
-from wattline.llm.linking import linked_components
-from wattline.llm.near_dedup import by_ids
+from wattline.llm.joins import by_ids
+from wattline.llm.linking import linked_components, pairs_apart
 from wattline.session import settle
 
 DISTANCE = 2
+#: Bytes of a gram. An edit changes at most so many grams, and a line has more of them than ``DISTANCE`` edits change.
+GRAM = 4
+#: Grams are counted in so many cells (a power of two), a table of 4 MB; the order need not be exact.
+CELL_BITS = 20
 #: Shorter lines, in bytes, are copies only if equal: two edits turn many short lines into others.
 LEAST = 20
 
@@ -201,6 +208,76 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
     return lines.select(node, "content").join(by_ids(wanted), "node", "left_semi").dropDuplicates(["node"])
 
 
+def _gram_hashes(line: bytes) -> np.ndarray:
+    """Hashes of the grams of a line; repeated grams are numbered, so the hashes differ."""
+    data = np.frombuffer(line, np.uint8).astype(np.uint64)
+    hashes = np.zeros(len(line) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        hashes = hashes * np.uint64(257) + data[k : k + len(hashes)]
+    hashes.sort()
+    fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(hashes)), 0))
+    return mix64(hashes + mix64((np.arange(len(hashes)) - first).astype(np.uint64)))
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _gram_counts(texts: DataFrame) -> np.ndarray:
+    """How many grams of the lines ``texts`` (node, content) fall into each of a fixed number of cells."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                np.add.at(total, _cells(_gram_hashes(line)), 1)
+        if total.any():
+            packed = [zstandard.compress(part.tobytes(), 1) for part in total.reshape(16, -1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(16), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"]
+            )
+
+    def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for packed in batch.column(1).to_pylist():
+                total = total + np.frombuffer(zstandard.decompress(packed), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())],
+            names=["block", "counts"],
+        )
+
+    schema = "block int, counts binary"
+    blocks = texts.select("content").mapInArrow(partial, schema).groupBy("block").applyInArrow(summed, schema).collect()
+    counts = np.zeros((16, (1 << CELL_BITS) // 16), np.int64)
+    for row in blocks:
+        counts[row.block] = np.frombuffer(zstandard.decompress(bytes(row.counts)), np.int64)
+    return np.minimum(counts.ravel(), 2**31 - 1).astype(np.int32)
+
+
+def _rare_grams(texts: DataFrame) -> DataFrame:
+    """node, element for the rarest grams of the lines ``texts`` (node, content), as many as make links share one.
+
+    An edit changes at most ``GRAM`` grams, so linked lines share one among the first ``GRAM`` x ``DISTANCE`` + 1 in any
+    common order: here by the count of the gram's cell, then by hash.
+    """
+    nodes = dict(texts.dtypes)["node"]
+    shared = texts.sparkSession.sparkContext.broadcast(_gram_counts(texts))
+
+    def work(batch: pa.RecordBatch):
+        rows, elements = [], []
+        for row, line in enumerate(batch.column(0).to_pylist()):
+            hashes = _gram_hashes(line)
+            chosen = hashes[np.lexsort((hashes, shared.value[_cells(hashes)]))[: GRAM * DISTANCE + 1]]
+            elements.append(chosen)
+            rows.append(np.full(len(chosen), row))
+        flat = np.concatenate(elements).view(np.int64)
+        return [batch.column(1).take(pa.array(np.concatenate(rows))), pa.array(flat)]
+
+    return map_batches(texts.select("content", "node"), work, f"node {nodes}, element long", 0)
+
+
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: doc_id, text_hash, line_no, n (bytes), first, class, kept, reason.
 
@@ -253,9 +330,14 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         of = f"struct<doc_id:{kind},text_hash:bigint,line_no:int>"
         return settle(spark, map_batches(both, work, f"a {of}, b {of}", 0), "line-links")
 
-    found = linked_components(
-        settle(spark, shared, "line-keys"), f"abs(n - other_n) <= {DISTANCE}", verify
-    )
+    alike = f"abs(n - other_n) <= {DISTANCE}"
+
+    def apart(rest: DataFrame) -> DataFrame:
+        texts = _texts_of(rows, settle(spark, rest.select("node"), "line-nodes"), kind)
+        prefixes = rest.join(_rare_grams(settle(spark, texts, "line-texts")), "node")
+        return pairs_apart(settle(spark, prefixes.select("element", "node", "component", "n"), "prefixes"), alike)
+
+    found = linked_components(settle(spark, shared, "line-keys"), alike, verify, apart)
     classes = firsts.join(found.toDF("first", "class"), "first", "left").select(
         "hi", "lo", "first", F.coalesce("class", "first").alias("class")
     )

@@ -33,6 +33,15 @@ def prefix_pairs(elements: DataFrame, early: str, allowed: str) -> DataFrame:
         ordered.where("often > 1").where(early).select("element", "node", "component", "n", "at"),
         "prefixes",
     )
+    return pairs_apart(prefixes, allowed)
+
+
+def pairs_apart(prefixes: DataFrame, allowed: str) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share an element of ``prefixes`` (element, node, component, n).
+
+    The component that has an element most often is not compared with itself; ``allowed`` is a condition on the
+    columns of one row and those of the other, which have ``other_`` in front.
+    """
     main = (
         prefixes.groupBy("element", "component")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -42,12 +51,12 @@ def prefix_pairs(elements: DataFrame, early: str, allowed: str) -> DataFrame:
         .select("element", F.col("main.component").alias("main"))
     )
     minor = prefixes.join(main, "element").where("component != main").drop("main")
-    others = prefixes.toDF("element", "other", "other_component", "other_n", "other_at")
+    others = prefixes.toDF(*["element" if c == "element" else f"other_{c}" for c in prefixes.columns])
     return (
         minor.join(others, "element")
         .where("component != other_component")
         .where(allowed)
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        .select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
         .distinct()
     )
 

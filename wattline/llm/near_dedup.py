@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 from wattline.llm.batches import map_batches
 from wattline.llm.graphs import components
 from wattline.llm.hashing import mix64, shingles, word_hashes
+from wattline.llm.joins import by_ids
 from wattline.llm.linking import prefix_pairs
 from wattline.session import settle
 
 WIDTH, BANDS, ROWS = 5, 32, 4
-#: Ids of 8 bytes that may be broadcast; a larger side is shuffled.
-BROADCAST_IDS = 500_000
 #: What sizes of linked sets meet.
 ALIKE = "100 * least(n, other_n) >= 75 * greatest(n, other_n)"
 
@@ -103,11 +102,6 @@ def _with_sets(docs: DataFrame, kind: str) -> DataFrame:
     return map_batches(docs, work, f"doc_id {kind}, hi long, lo long, shingles array<long>")
 
 
-def by_ids(ids: DataFrame) -> DataFrame:
-    """``ids`` for a semi or anti join: broadcast within ``BROADCAST_IDS``, which is counted, else shuffled."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets (class_id, n, shingles) have 100 x intersection >= 75 x union."""
     spark = sets.sparkSession
