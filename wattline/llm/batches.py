@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that a worker handles at once; a longer text comes alone.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, text_index: int, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:

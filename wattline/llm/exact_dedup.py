@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wattline.llm.joins import by_ids
 from wattline.llm.text import lower_ascii
+from wattline.session import settle
 
 
 def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,6 +58,19 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     )
 
 
+def _decisions(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """``exact_dedup`` with ``n_rows``, the number of rows of each document."""
+    rows = (
+        _digested(docs, id_col, text_col)
+        .select("doc_id", "text_sha256")
+        .groupBy("doc_id", "text_sha256")
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+    return rows.join(winners(docs, id_col, text_col, salts), "text_sha256").withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    )
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -64,25 +79,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat both give one row here, but count in ``group_size``. A null id stays only where
     its group has no other id. Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
-    rows = (
-        _digested(docs, id_col, text_col)
-        .select("doc_id", "text_sha256")
-        .groupBy("doc_id", "text_sha256")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
-    return rows.join(winners(docs, id_col, text_col, salts), "text_sha256").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    return _decisions(docs, id_col, text_col, salts).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact deduplication keeps, all columns unchanged; one row per kept document."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """The rows of ``docs`` that exact deduplication keeps, all columns unchanged; one row per kept document.
+
+    Only documents that lose a row are joined back: those dropped, and those whose row is repeated.
+    """
+    changed = settle(
+        docs.sparkSession,
+        _decisions(docs, id_col, text_col, salts)
+        .where("not kept or n_rows > 1")
+        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"), "kept"),
+        "exact-changed",
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn("__digest", F.sha2(lower_ascii(text), 256))
-    joined = rows.join(
-        kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
-    )
-    return joined.dropDuplicates(["__kept_id", "__kept_digest"]).select(*[docs[c] for c in docs.columns])
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha256"))
+    ids = [docs[c] for c in docs.columns]
+    untouched = rows.join(by_ids(changed.drop("kept")), same, "left_anti").select(*ids)
+    repeated = rows.join(by_ids(changed.where("kept").drop("kept")), same).dropDuplicates(["__id", "__sha256"]).select(*ids)
+    return untouched.union(repeated)

@@ -8,7 +8,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so every power has an inverse modulo 2**64
 #: Bytes that are hashed at once; a longer text is cut at blanks.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True

@@ -90,6 +90,9 @@ def _width(lead: int) -> int:
     return 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
 
+_WIDTHS = np.array([_width(b) for b in range(256)], np.int64)
+
+
 def _message(number: int, data: bytes) -> bytes:
     """A length-delimited protocol-buffer field."""
     size, head = len(data), bytearray([number << 3 | 2])
@@ -105,12 +108,12 @@ OFF = _message(3, b"\x18\0\x20\0\x28\0")
 
 class PieceModel:
     """A model with its normalizer. ``cache_parts`` bounds the table of parts already encoded, except that
-    the parts of one batch are always held.
+    the parts of one text are always held.
 
     User-defined and unused pieces and suffix spaces are not supported and raise.
     """
 
-    def __init__(self, path: str, cache_parts: int = 300_000):
+    def __init__(self, path: str, cache_parts: int = 200_000):
         with open(path, "rb") as file:
             data = file.read()
         self.pieces: list[str] = []
@@ -136,9 +139,13 @@ class PieceModel:
         self.charsmap = CharacterMap(charsmap) if charsmap else None
         self.unknown = self.types.index(UNKNOWN)
         self.begin, self.end = self.pieces.index("<s>"), self.pieces.index("</s>")
-        self._sizes = [len(p.encode()) if t == NORMAL else 0 for p, t in zip(self.pieces, self.types)]
+        kinds = list(zip(self.pieces, self.types))
+        self._sizes = np.array([len(p.encode()) if t == NORMAL else 0 for p, t in kinds], np.int64)
+        self._byte_values = np.array([int(p[3:5], 16) if t == BYTE else -1 for p, t in kinds], np.int16)
+        special = {CONTROL: "", UNKNOWN: " \u2047 "}
+        self._shown = [special.get(t, p.replace(SPACE, " ")) for p, t in kinds]
         self.cache_parts = cache_parts
-        self._parts: dict[str, tuple[bytes, bytes, str]] = {}
+        self._parts: dict[str, bytes] = {}
         longer = [p for p, t in zip(self.pieces, self.types) if t == NORMAL and len(p) > 1]
         # A part may end before a space symbol, or at a line break, only if no piece reaches across,
         # and if characters without a piece become bytes: runs of unknown ones are joined.
@@ -211,43 +218,28 @@ class PieceModel:
     # -- encoding ----------------------------------------------------------
 
     def _learn(self, parts: list[str]) -> None:
-        """Adds ids and normalised byte lengths of the pieces of ``parts``, and what the ids decode to, to the table."""
-        sizes, table = self._sizes, self._parts
+        """Adds the ids of ``parts`` to the table."""
         for part, numbers in zip(parts, self._merger.encode(parts, num_threads=1)):
-            lengths = [sizes[i] for i in numbers]
-            if 0 in lengths:
-                lengths = self._uneven(part, numbers)
-            plain = self.unknown not in numbers
-            table[part] = (
-                array("I", numbers).tobytes(),
-                array("I", lengths).tobytes(),
-                part.replace(SPACE, " ") if plain else self._surface(numbers).replace(SPACE, " "),
-            )
-
-    def _uneven(self, part: str, numbers: list[int]) -> list[int]:
-        """Lengths where byte pieces stand for a character, or an unknown piece for several.
-
-        As in the library, the last byte piece of a character carries the span of it all.
+            self._parts[part] = array("I", numbers).tobytes()
+
+    def _lengths(self, shown: str, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the normalised text that each id stands for.
+
+        As in the library, the last byte piece of a character carries all its bytes.
         """
-        raw, at, lengths = part.encode(), 0, []
-        due = 0
-        for place, number in enumerate(numbers):
-            kind = self.types[number]
-            if kind == BYTE:
-                if not due:
-                    due = _width(raw[at])
-                    at += due
-                    whole = due
-                due -= 1
-                lengths.append(0 if due else whole)
-            elif kind == UNKNOWN:
-                following = numbers[place + 1 :]
-                stop = len(raw) if not following else raw.find(self.pieces[following[0]].encode(), at + 1)
-                lengths.append(stop - at)
-                at = stop
-            else:
-                lengths.append(self._sizes[number])
-                at += self._sizes[number]
+        lengths = self._sizes[ids]
+        raw = self._byte_values[ids]
+        lead = np.flatnonzero((raw >= 0) & (raw & 0xC0 != 0x80))
+        width = _WIDTHS[raw[lead]]
+        lengths[lead + width - 1] = width
+        if self.unknown in ids:  # one unknown piece stands for all unknown characters in a row
+            data, at = shown.encode(), 0
+            for place, number in enumerate(ids.tolist()):
+                if number == self.unknown:
+                    following = ids[place + 1 :]
+                    stop = data.find(self.pieces[following[0]].encode(), at + 1) if len(following) else len(data)
+                    lengths[place] = stop - at
+                at += lengths[place]
         return lengths
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
@@ -255,57 +247,55 @@ class PieceModel:
 
         Begin and end have empty spans; the others tile the source that normalising kept, in order.
         """
-        shown = [self.normalise(text) for text in texts]
-        split = [self._split.findall(text) for text, _ in shown]
-        wanted = set().union(*split)
-        if len(self._parts) + len(wanted) > self.cache_parts:
-            self._parts.clear()
-        self._learn([part for part in wanted if part not in self._parts])
-        for (_, origin), parts in zip(shown, split):
-            made = [self._parts[part] for part in parts]
-            inner = np.frombuffer(b"".join([m[0] for m in made]), "<u4")
-            ends = np.cumsum(np.frombuffer(b"".join([m[1] for m in made]), "<u4"), dtype=np.int64)
+        for text in texts:
+            shown, origin = self.normalise(text)
+            parts, known = self._split.findall(shown), self._parts
+            missing = {part for part in parts if part not in known}
+            if missing:
+                if len(known) + len(missing) > self.cache_parts:
+                    known.clear()
+                    missing = set(parts)
+                self._learn(list(missing))
+            inner = np.frombuffer(b"".join([known[part] for part in parts]), "<u4")
+            ends = np.cumsum(self._lengths(shown, inner))
             ids = np.empty(len(inner) + 2, "<u4")
             ids[0], ids[1:-1], ids[-1] = self.begin, inner, self.end
             spans = np.empty((len(inner) + 2, 2), "<u4")
             spans[0], spans[-1] = 0, origin[-1]
             spans[1:-1, 1] = origin[ends]
             spans[1:-1, 0] = np.concatenate((origin[:1], origin[ends[:-1]])) if len(inner) else 0
-            yield ids, spans, self._trimmed("".join([m[2] for m in made]), inner)
+            yield ids, spans, self.decode(ids)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
         return next(self.encode_all([text]))
 
     # -- decoding ----------------------------------------------------------
 
-    def _surface(self, ids) -> str:
-        out: list[str] = []
-        raw = bytearray()
-        for number in ids:
-            kind = self.types[number]
-            if kind == BYTE:
-                raw.append(int(self.pieces[number][3:5], 16))
-                continue
-            if raw:
-                out.append(_lenient(bytes(raw)))
-                raw.clear()
-            if kind == UNKNOWN:
-                out.append(" ⁇ ")
-            elif kind != CONTROL:
-                out.append(self.pieces[number])
-        if raw:
-            out.append(_lenient(bytes(raw)))
+    def _surface(self, ids: np.ndarray) -> str:
+        shown = self._shown
+        raw = self._byte_values[ids]
+        found, out, at = np.flatnonzero(raw >= 0), [], 0
+        if len(found):
+            # Byte pieces in a row are decoded together.
+            breaks = np.flatnonzero(np.diff(found) > 1) + 1
+            for run in np.split(found, breaks):
+                first, last = int(run[0]), int(run[-1]) + 1
+                out += [shown[i] for i in ids[at:first].tolist()]
+                out.append(_lenient(raw[first:last].astype(np.uint8).tobytes()))
+                at = last
+        out += [shown[i] for i in ids[at:].tolist()]
         return "".join(out)
 
     def _trimmed(self, text: str, ids) -> str:
         """Without the space that the dummy prefix put in front (all of them, if the model trims spaces)."""
-        first = next((i for i in ids if self.types[i] != CONTROL), None)
+        first = next((int(i) for i in ids if self.types[i] != CONTROL), None)
         if first is None or not self.pieces[first].startswith(SPACE) or not (self.prefix or self.trim):
             return text
         return text.lstrip(" ") if self.trim else text[1:]
 
     def decode(self, ids) -> str:
-        return self._trimmed(self._surface(ids).replace(SPACE, " "), ids)
+        ids = np.asarray(ids, np.int64)
+        return self._trimmed(self._surface(ids), ids)
 
 
 def _lenient(raw: bytes) -> str:
