@@ -1,4 +1,4 @@
-"""A model of token spellings: bit predictors of hashed contexts, mixed in the logistic domain.
+"""A model of single token spellings, which no query uses (see ``running_mixing``): bit predictors of hashed contexts, mixed in the logistic domain.
 
 A token is spelt by its bytes and a blank, most significant bit first. For each order 1 to ``ORDERS`` the
 bytes before (within the token) and the bits of the byte so far are hashed to a slot that counts zeros
