@@ -91,3 +91,20 @@ def test_held_out_accuracy(spark, sf):
     truth = [(r.lang, got[r.doc_id]) for r in table(spark, folder, "documents").select("doc_id", "lang").collect()]
     held = [lang == g.lang_pred for lang, g in truth if g.held_out]
     assert len(got) == len(truth) and np.mean(held) > 0.98
+
+
+def test_rare_letters_have_classes_of_their_own():
+    """Two languages whose letters are beyond those of the table, in the same word lengths."""
+    r = random.Random(8)
+    words = {name: ["".join(chr(0x4E00 + side + r.randrange(600)) for _ in range(3)) for _ in range(200)] for side, name in ((0, "aa"), (600, "bb"))}
+    texts = {"en": TEXTS["en"] * 40, **{name: ["".join(r.choice(words[name]) for _ in range(10)) for _ in range(120)] for name in words}}
+    for size in (200, 20):
+        model = lid.fit(texts, size)
+        # Words of letters that are not among the most frequent of all.
+        rare = [[w for w in words[name] if all(model.classes[ord(c)] > model.pad for c in w)] for name in words]
+        asked = ["".join(r.choice(some) for _ in range(10)) for some in rare for _ in range(10)]
+        assert lid.decide(model, asked)[0] == ["aa"] * 10 + ["bb"] * 10
+        mixed = asked[:3] + [t[:15] + " the cat " + t[15:] for t in asked[:3] + texts["aa"][:3]] + texts["bb"][:3]
+        found, _ = lid.phrases(model, mixed)
+        for k, language in enumerate(model.languages):
+            assert found[:, k].tolist() == [phrases_by_hand(texts[language], t, model) for t in mixed]

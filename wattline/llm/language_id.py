@@ -33,8 +33,9 @@ class Model:
     """Languages in order, sample sizes, character classes and the joint transition table.
 
     ``table[state + class]`` is twice the next state, plus one where a new phrase begins;
-    states are multiples of the number of classes. Class 0 is a run of other characters
-    than letters, the last class is padding.
+    states are multiples of the table's width. Class 0 is a run of other characters
+    than letters; letters that no sample has share the last but one class of the table, and the last is padding. Classes from the
+    width on are rarer letters: their transitions are ``rare_moves`` at the place of state + class x ``rare_step`` in ``rare_keys``.
     """
 
     languages: list[str]
@@ -44,6 +45,32 @@ class Model:
     roots: np.ndarray
     table: np.ndarray
     pad: int
+    rare_keys: np.ndarray
+    rare_moves: np.ndarray
+    rare_step: int
+
+    def moves(self, root: int, state: np.ndarray, symbols: np.ndarray, rare: bool) -> np.ndarray:
+        """Twice the next state, plus one where a new phrase begins; without ``rare`` all symbols are in the table."""
+        if not rare:
+            return self.table[state + symbols]
+        found = np.empty(len(state), self.table.dtype)
+        common = symbols <= self.pad
+        found[common] = self.table[state[common] + symbols[common]]
+        state, symbols = state[~common].astype(np.int64), symbols[~common].astype(np.int64)
+        move = self._rare(state, symbols)
+        new = move < 0
+        move[new] = self._rare(np.full(new.sum(), root, np.int64), symbols[new])
+        move[move < 0] = root * 2 + 1
+        found[~common] = move
+        return found
+
+    def _rare(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Moves by rarer letters, -1 where there is none."""
+        if not len(self.rare_keys):
+            return np.full(len(state), -1, np.int64)
+        key = state + symbols * self.rare_step
+        at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == key, self.rare_moves[at], -1)
 
 
 def sample_rows(docs: DataFrame, rows_per_language: int, chars_per_row: int, salts: int = 64) -> DataFrame:
@@ -100,25 +127,26 @@ def _automaton(text: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def fit(texts: dict[str, list[str]], max_letters: int = 200) -> Model:
-    """The model of labelled texts; the ``max_letters`` most frequent letters get classes of their own."""
+def fit(texts: dict[str, list[str]], table_letters: int = 200) -> Model:
+    """The model of labelled texts; every letter has a class, and the ``table_letters`` most frequent ones lie in the table."""
     kinds = _letters()
     languages = sorted(texts)
     seen: Counter[str] = Counter()
     for rows in texts.values():
         for text in rows:
             seen.update(c for c in text.lower() if kinds[ord(c)])
-    kept = sorted(seen, key=lambda c: (-seen[c], c))[:max_letters]
-    number = {c: i + 1 for i, c in enumerate(kept)}
+    ordered = sorted(seen, key=lambda c: (-seen[c], c))
+    kept, rarer = ordered[:table_letters], ordered[table_letters:]
     other, pad = len(kept) + 1, len(kept) + 2
     width = pad + 1
-    classes = np.where(kinds > 0, other, 0).astype(np.uint8)
+    number = {c: i + 1 for i, c in enumerate(kept)} | {c: width + i for i, c in enumerate(rarer)}
+    classes = np.where(kinds > 0, other, 0).astype(np.min_scalar_type(width + len(rarer)))
     for c, i in number.items():
         classes[ord(c)] = i
         upper = c.upper()
         if len(upper) == 1:
             classes[ord(upper)] = i
-    tables, roots, sizes, offset = [], [], [], 0
+    tables, roots, sizes, rare, offset = [], [], [], [], 0
     for language in languages:
         symbols = [
             int(c)
@@ -129,12 +157,18 @@ def fit(texts: dict[str, list[str]], max_letters: int = 200) -> Model:
         root = offset * width
         first = np.full(width, root * 2 + 1, np.int64)
         for symbol, target in moves[0].items():
-            first[symbol] = (offset + target) * width * 2 + 1
+            if symbol < width:
+                first[symbol] = (offset + target) * width * 2 + 1
+            else:
+                rare.append((symbol, root, (offset + target) * width * 2 + 1))
         block = np.tile(first, (len(moves), 1))
         for state, known in enumerate(moves):
             if state:
                 for symbol, target in known.items():
-                    block[state, symbol] = (offset + target) * width * 2
+                    if symbol < width:
+                        block[state, symbol] = (offset + target) * width * 2
+                    else:
+                        rare.append((symbol, (offset + state) * width, (offset + target) * width * 2))
             block[state, pad] = (offset + state) * width * 2
         tables.append(block)
         roots.append(root)
@@ -143,7 +177,11 @@ def fit(texts: dict[str, list[str]], max_letters: int = 200) -> Model:
     table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
     if table.size and table.max() < 2**31:
         table = table.astype(np.int32)
-    return Model(languages, np.array(sizes), classes, kinds, np.array(roots, table.dtype), table, pad)
+    symbol, state, move = np.array(sorted(rare), np.int64).reshape(-1, 3).T
+    step = max(1, offset * width)
+    return Model(
+        languages, np.array(sizes), classes, kinds, np.array(roots, table.dtype), table, pad, state + symbol * step, move, step
+    )
 
 
 def _squeezed(symbols: np.ndarray) -> np.ndarray:
@@ -184,13 +222,14 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     row = np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size)
     grid[row, column] = symbols[np.repeat(begin, size) + row]
     active = np.searchsorted(-size, -np.arange(longest), side="left")
+    rare = [bool((grid[step, : active[step]] > model.pad).any()) for step in range(longest)]
     found = np.zeros((len(model.languages), len(size)), np.int64)
     for language, root in enumerate(model.roots):
         state = np.full(len(size), root, model.table.dtype)
         count = np.zeros(len(size), model.table.dtype)
         for step in range(longest):
             n = active[step]
-            move = model.table[state[:n] + grid[step, :n]]
+            move = model.moves(root, state[:n], grid[step, :n], rare[step])
             count[:n] += move & 1
             state[:n] = move >> 1
         found[language, order] = count
