@@ -108,3 +108,14 @@ def test_rare_letters_have_classes_of_their_own():
         found, _ = lid.phrases(model, mixed)
         for k, language in enumerate(model.languages):
             assert found[:, k].tolist() == [phrases_by_hand(texts[language], t, model) for t in mixed]
+
+
+def test_documents_stay_where_nothing_was_learnt(docs):
+    rows = [(i, f"clean text {i}", None) for i in range(20)] + [(30, "42 .", None), (31, None, None)]
+    assert sorted(r.doc_id for r in lid.known_language(docs(rows)).collect()) == list(range(20))
+
+
+def test_the_name_und_is_no_language(docs):
+    frame = docs([(i, "the cat and the dog", "und") for i in range(20)] + [(20 + i, "das Haus", "de") for i in range(20)], clash=False)
+    assert lid.learn(frame).languages == ["de"]
+    assert lid.known_language(frame).count() == 40

@@ -76,10 +76,10 @@ class Model:
 def sample_rows(docs: DataFrame, rows_per_language: int, chars_per_row: int, salts: int = 64) -> DataFrame:
     """At most ``rows_per_language`` texts of each language, those of the smallest hashes, cut to ``chars_per_row``.
 
-    Rows without text or lang are no examples. Ranks are taken in salted parts first, so a
+    Rows without text or lang are no examples, and neither are those whose lang is ``und``. Ranks are taken in salted parts first, so a
     language that holds most rows is not ordered in one task.
     """
-    rows = docs.where("text is not null and lang is not null").select(
+    rows = docs.where("text is not null and lang is not null").where(F.col("lang").cast("string") != UNDETERMINED).select(
         F.col("lang").cast("string").alias("lang"),
         F.substring(F.col("text").cast("string"), 1, chars_per_row).alias("text"),
         F.xxhash64("doc_id", "text").alias("place"),
@@ -240,17 +240,13 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return totals, has_letter
 
 
-def decide(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    """Language and score of each text.
-
-    The score compares the two best languages: 0 for a tie, 1 where the best needs a vanishing
-    share of the bits of the second, or where only one language was learnt. Ties go to the name that comes first.
-    """
+def _decided(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+    """Language and score of each text, and whether it has a letter."""
     if not texts:
-        return [], []
-    if not model.languages:
-        return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        return [], [], []
     totals, has_letter = phrases(model, texts)
+    if not model.languages:
+        return [UNDETERMINED] * len(texts), [0.0] * len(texts), has_letter.tolist()
     bits = totals * np.log2(model.sizes)
     best = bits.argmin(axis=1)
     if len(model.languages) > 1:
@@ -259,7 +255,17 @@ def decide(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     else:
         score = np.ones(len(texts))
     names = [model.languages[i] if ok else UNDETERMINED for i, ok in zip(best, has_letter)]
-    return names, np.where(has_letter, np.clip(score, 0, 1), 0.0).tolist()
+    return names, np.where(has_letter, np.clip(score, 0, 1), 0.0).tolist(), has_letter.tolist()
+
+
+def decide(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+    """Language and score of each text.
+
+    The score compares the two best languages: 0 for a tie, 1 where the best needs a vanishing
+    share of the bits of the second, or where only one language was learnt. Ties go to the name that comes first.
+    """
+    names, scores, _ = _decided(model, texts)
+    return names, scores
 
 
 def learn(docs: DataFrame, rows_per_language: int = 64, chars_per_row: int = 400) -> Model:
@@ -276,30 +282,33 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The columns of ``docs`` in their order, then lang_pred and score, for every row.
-
-    Learns from text and lang of rows that are not held out unless a model is given.
-    Predictions read the text alone, all of it. Null text, empty text and text
-    without a letter give ``und`` with score 0, and so does everything where nothing was
-    learnt. Repeated rows repeat; an empty table gives none.
-    """
+def _identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The columns of ``docs``, then lang_pred, score and whether the text has a letter."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or learn(docs.where(~held_out())))
     width, at = len(docs.columns), docs.columns.index("text")
 
     def work(batch: pa.RecordBatch):
         texts = [text or "" for text in batch.column(at).to_pylist()]
-        return [*batch.columns, *decide(shared.value, texts)]
+        return [*batch.columns, *_decided(shared.value, texts)]
 
-    # Names may repeat in docs; the worker's columns are numbered and named again afterwards.
+    # Names may repeat in docs; the worker's columns are numbered, and named again by the callers.
     numbered = docs.toDF(*[f"c{i}" for i in range(width)])
-    schema = ", ".join(f"{name} {kind}" for name, kind in numbered.dtypes) + ", lang_pred string, score double"
-    return map_batches(numbered, work, schema, at).toDF(*docs.columns, "lang_pred", "score")
+    schema = ", ".join(f"{name} {kind}" for name, kind in numbered.dtypes)
+    return map_batches(numbered, work, schema + ", lang_pred string, score double, lettered boolean", at)
+
+
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The columns of ``docs`` in their order, then lang_pred and score, for every row.
+
+    Learns from text and lang of rows that are not held out unless a model is given.
+    Predictions read the text alone, all of it. Null text, empty text and text
+    without a letter give ``und`` with score 0, and so does everything where nothing was
+    learnt. Repeated rows repeat; an empty table gives none.
+    """
+    return _identified(docs, model).drop("lettered").toDF(*docs.columns, "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that have a language; those without a letter go."""
-    width = len(docs.columns)
-    rows = identify(docs, model).toDF(*[f"c{i}" for i in range(width)], "lang_pred", "score")
-    return rows.where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score").toDF(*docs.columns)
+    """The rows of ``docs`` that have a letter, whatever was learnt."""
+    return _identified(docs, model).where("lettered").drop("lang_pred", "score", "lettered").toDF(*docs.columns)
