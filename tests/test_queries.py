@@ -33,3 +33,12 @@ def test_query_gives_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_importances_rank_the_whole_feature_matrix(spark):
+    from wattline.operators.features import CALENDAR
+
+    ranked = [r["feature"] for r in entry.queries()["feature_importance"](spark, SF).collect()]
+    lags = [f"y_lag_{k}d" for k in (7, 14, 21, 28, 56)]
+    rolls = ["y_roll_7d_max", "y_roll_7d_min", "y_roll_7d_mean", "y_roll_28d_mean", "y_roll_28d_std"]
+    assert sorted(ranked) == sorted([*CALENDAR, *lags, *rolls, "n_lag7", "n_lag28", "n_roll7_mean", "zone"])
