@@ -61,3 +61,25 @@ def test_documents_with_more_behind_them(spark):
     assert table.first()["parse_error"]
     with pytest.raises(ValueError, match="rule documents"):
         rules.rules_from_rows(table)
+
+
+def test_rules_on_other_rows_against_pandas(hourly):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    frame = pd.DataFrame({"p": r.integers(0, 300, 500).astype(float)}, index=pd.date_range("2024-01-01", periods=500, freq="h"))
+    frame.iloc[r.integers(0, 500, 40), 0] = np.nan
+    texts = [
+        "s.diff().abs() < 150", "(s.diff().abs() <= 150) & (s >= 20)", "s.diff() > 0", "s.diff(periods=3) != 0", "s.shift(2) <= s + 40",
+        "s - s.shift() < 100", "s.rolling(5).mean() > 120", "s.rolling(4, min_periods=1).sum() <= 900", "s.rolling(3).std() > 30",
+        "(s <= s.rolling(24, min_periods=2).max()) | (s.rolling(window=6).min() < 50)", "~(s.shift(1) == s)", "s.diff().between(-90, 90)", "s.shift(3).notna()",
+    ]
+    for block in (720, 7):
+        got = rules.run_rules(hourly(frame), [Rule(t, "p", t) for t in texts], block_steps=block).collect()
+        s = frame["p"].dropna()
+        wanted = {t: int((~eval(t, {"s": s})).sum()) for t in texts}
+        assert {r["name"]: r["violations"] for r in got} == wanted
+        assert all(r["status"] == ("fail" if wanted[r["name"]] else "pass") for r in got)
+    refused = ["s.shift(-1) > 0", "s.diff(0) > 0", "s.rolling(3, center=1).mean() > 0", "s.diff().rolling(3).mean() > 0", "s.rolling(3).median() > 0", "s.shift().isin(['a', 1])"]
+    got = rules.run_rules(hourly(frame), [Rule(t, "p", t) for t in refused]).collect()
+    assert {r["status"] for r in got} == {"error"}

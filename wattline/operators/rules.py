@@ -11,7 +11,7 @@ also where the predicate fails on its value. These forms exist:
 ``spike(t, n, m)``         values above t only where the last n values hold at most m such
 
 Expressions in series notation (``s.diff().abs() <= 150``) are translated to
-these; see ``rule_text`` for what is allowed.
+these, or, with ``diff``, ``shift`` and ``rolling``, to a predicate on lag and frame columns; see ``rule_text`` for what is allowed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 from wattline.config import TS, ZONE
-from wattline.operators.rule_text import checked
+from wattline.operators.rule_text import checked, neighbours
 from wattline.plans.blocks import BLOCK_STEPS, block_series
 
 _NUMBER = r"\s*(-?\d+(?:\.\d+)?)\s*"
@@ -164,10 +164,13 @@ def run_rules(
             continue
         try:
             read = replace(rule, expression=checked(rule.expression) if not _template(rule) else rule.expression.strip())
+            template = _template(read)
         except ValueError as error:
-            unusable.append((number, "error", str(error)))
-            continue
-        template = _template(read)
+            try:
+                read, template = rule, ("series", neighbours(rule.expression or "", f"_s{number}_"))
+            except ValueError:
+                unusable.append((number, "error", str(error)))
+                continue
         if template and not isinstance(df.schema[column].dataType, NumericType):
             unusable.append((number, "error", "sequence rules need a numeric column"))
             continue
@@ -287,7 +290,10 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
         .unpivot([zone, ts], columns, "_column", "_value")
         .filter(F.col("_value").isNotNull())
     )
-    look_back = max([1, *[int(args[0 if kind == "flatline" else 1]) - 1 for _, _, kind, args in sequence_rules if kind != "jump"]])
+    reach = [int(args[0 if kind == "flatline" else 1]) - 1 for _, _, kind, args in sequence_rules if kind in ("flatline", "spike")]
+    series = {name: what for _, _, kind, args in sequence_rules if kind == "series" for name, what in args[1].items()}
+    reach += [size[0] if kind in ("lag", "diff") else size[0] - 1 for kind, *size in series.values()]
+    look_back = max([1, *reach])
     laid = block_series(long, [zone, "_column"], ts, look_back=look_back, block_steps=block_steps)
     laid = laid.with_columns({"_previous": laid.lag("_value", 1)})
     # Counts over the last n rows are differences of running counts, so the cost
@@ -296,16 +302,19 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
     for n, _, kind, args in sequence_rules:
         if kind == "spike":
             running[f"_high{n}"] = laid.running(F.count_if(F.col("_value") > args[0]))
-    laid = laid.with_columns(running)
+    laid = laid.with_columns(running | {name: _series_column(laid, *what) for name, what in series.items()})
     oks: dict[str, Column] = {}
     for n, _, kind, args in sequence_rules:
         if kind == "jump":
             oks[f"ok{n}"] = _jump_ok(first_row_passes, *args)
         elif kind == "flatline":
             oks[f"ok{n}"] = _flatline_ok(laid, first_row_passes, *args)
+        elif kind == "series":
+            oks[f"ok{n}"] = F.expr(args[0])
         else:
             oks[f"ok{n}"] = _spike_ok(laid, f"_high{n}", *args)
-    judged = laid.with_columns(oks).own_rows()
+    with _lenient(df.sparkSession):
+        judged = laid.with_columns(oks).own_rows()
     aggregates = []
     for n, column, _, _ in sequence_rules:
         mine = F.col("_column") == column
@@ -313,6 +322,15 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
     return _long_counts(judged.groupBy(zone).agg(*aggregates), [n for n, *_ in sequence_rules], zone)
 
 
+def _series_column(laid, kind: str, size: int, least: int = 1) -> Column:
+    """A lag, a difference, or an aggregate of the last ``size`` values, null below ``least`` of them."""
+    if kind in ("lag", "diff"):
+        before = laid.lag("_value", size)
+        return before if kind == "lag" else F.col("_value") - before
+    aggregate = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}[kind]
+    return F.when(laid.over(F.count("_value"), size) >= least, laid.over(aggregate("_value"), size))
+
+
 def _jump_ok(first_row_passes: bool, limit: float) -> Column:
     """Without a previous value there is no change to compare: a violation by default."""
     return F.coalesce(F.abs(F.col("_value") - F.col("_previous")) <= limit, F.lit(first_row_passes))
