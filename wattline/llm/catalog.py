@@ -9,6 +9,8 @@ from wattline.llm import (  # noqa: F401
     queries_lm,
     queries_near,
     queries_selection,
+    queries_sharding,
+    queries_vectors,
     queries_winnowing,
 )
 from wattline.llm.registry import ORACLE, QUERIES
