@@ -137,3 +137,46 @@ def test_copies_around_an_original(docs):
     wanted = by_hand(rows)
     report = collected(ld.line_report(docs(rows)))
     assert {i: r.n_kept for i, r in report.items()} == {i: len(lines) for i, lines in wanted.items()}
+
+
+def test_many_lines_around_one_original_are_not_compared_in_pairs(docs, monkeypatch):
+    """5 000 lines made from one original, each by the removal or exchange of words: most are no links."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(4, 9))) for _ in range(400)]
+    base = [r.choice(words) for _ in range(40)]
+    rows = []
+    for i in range(5000):
+        line = list(base)
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(line))
+            if r.random() < 0.5:
+                line[at] = r.choice(words)
+            else:
+                del line[at]
+        text = " ".join(line)
+        rows.append((i, text))
+        if i % 50 == 0:
+            rows.append((100_000 + i, text[:30] + "#" + text[30:]))
+    compared = []
+    counted = ld.map_batches
+
+    def watched(frame, work, schema, *rest, **options):
+        if schema.startswith("a struct"):
+            compared.append(frame.count())
+        return counted(frame, work, schema, *rest, **options)
+
+    monkeypatch.setattr(ld, "map_batches", watched)
+    report = collected(ld.line_report(docs(rows, clash=False).repartition(8)))
+    assert sum(compared) < 20 * len(rows)  # of 13 million pairs
+    first = {}
+    for i, text in rows:
+        first.setdefault(text, i)
+    assert all(report[100_000 + i].n_kept == 0 for i in range(0, 5000, 50))
+    # Against all pairs for some of the lines.
+    lines = sorted(first)
+    for text in r.sample(lines, 12):
+        near = ld.within_distance([(text.encode(), other.encode()) for other in lines])
+        ids = [first[o] for o, ok in zip(lines, near) if ok]
+        assert sum(report[i].n_kept for i in ids) <= 1
+        if len(ids) == 1:
+            assert report[ids[0]].n_kept == 1

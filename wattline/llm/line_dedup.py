@@ -7,7 +7,9 @@ near its own place. Every line is a probe and an entry of the index: its segment
 a segment of a line of that length, at the few places that the numbers of edits on either side allow.
 Lines that meet under a key are verified by edit distance, in a band of 2 x ``DISTANCE`` + 1
 rows held in one machine word, for thousands of pairs at a time: first every line with the smallest of its
-key, then those that are still apart where their rarest grams allow a link.
+key. Lines of a key that are then still apart are described by the grams in which they differ from what is common to
+their group. Two edits change few grams, so linked lines agree in most of these differences, and only lines
+that share one of their rarest are compared: many lines made from one original, but not alike, hardly meet.
 """
 
 from __future__ import annotations
@@ -18,18 +20,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from wattline.llm.batches import map_batches
+from wattline.llm.graphs import components
 from wattline.llm.hashing import PIECE, mix64, prefix_sums
 from wattline.llm.joins import by_ids
 from wattline.llm.linking import linked_components, pairs_apart
 from wattline.session import settle
 
 DISTANCE = 2
-#: Bytes of a gram. An edit changes at most so many grams, and a line has more of them than ``DISTANCE`` edits change.
+#: Bytes of a gram. An edit changes at most so many grams of a line, on either side.
 GRAM = 4
-#: Grams are counted in so many cells (a power of two), a table of 4 MB; the order need not be exact.
+#: Grams in which linked lines differ at most.
+APART = 2 * GRAM * DISTANCE
+#: Lines of a group that its common grams are taken from.
+SAMPLE = 15
+#: Elements are counted in so many cells (a power of two), a table of 4 MB; the order need not be exact.
 CELL_BITS = 20
 #: Shorter lines, in bytes, are copies only if equal: two edits turn many short lines into others.
 LEAST = 20
@@ -220,18 +228,82 @@ def _gram_hashes(line: bytes) -> np.ndarray:
     return mix64(hashes + mix64((np.arange(len(hashes)) - first).astype(np.uint64)))
 
 
+def _grams(line: bytes) -> np.ndarray:
+    """The set of a line's grams in 32 bits, sorted. Grams that meet there make sets more alike, never less."""
+    return np.unique((_gram_hashes(line) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _gram_counts(texts: DataFrame) -> np.ndarray:
-    """How many grams of the lines ``texts`` (node, content) fall into each of a fixed number of cells."""
+def _sampled(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """leader, common: the grams that most of at most ``SAMPLE`` lines of each group have.
+
+    Any set would do: it only makes signatures short. Lines made from one original by different edits
+    agree on the original's grams.
+    """
+    kind = dict(rest.dtypes)["leader"]
+    order = Window.partitionBy("leader").orderBy(F.xxhash64("node"), "node")
+    few = rest.select("leader", "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE)
+    lines = few.join(texts, "node").groupBy("leader").agg(F.collect_list("content").alias("lines"))
+
+    def work(batch: pa.RecordBatch):
+        common = []
+        for lines in batch.column(0).to_pylist():
+            grams, counts = np.unique(np.concatenate([_grams(line) for line in lines]), return_counts=True)
+            common.append(grams[2 * counts > len(lines)])
+        return [batch.column(1), pa.array(common, pa.list_(pa.int32()))]
+
+    # The first column is the text that slices are cut by; here it is a list of lines.
+    schema = f"leader {kind}, common array<int>"
+    return settle(rest.sparkSession, _mapped(lines.select("lines", "leader"), work, schema), "common-grams")
+
+
+def _mapped(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on slices of a bounded number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                columns = work(batch.slice(at, 256))
+                yield pa.RecordBatch.from_arrays(list(columns), names=names)
+
+    names = [part.name for part in _parse_datatype_string(schema)]
+    return rows.mapInArrow(run, schema)
+
+
+def _signatures(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rest`` (leader, node, component, n) with ``elements``: the grams in which a line and its group's common grams differ.
+
+    Elements carry their group. An edit changes at most ``GRAM`` grams on either side, so the signatures of linked lines
+    differ in at most ``APART`` elements.
+    """
+    nodes = dict(rest.dtypes)
+    rows = rest.join(texts, "node").join(_sampled(rest, texts), "leader")
+    wanted = rows.select("content", "leader", "node", "component", "n", "common", F.xxhash64("leader").alias("group"))
+
+    def work(batch: pa.RecordBatch):
+        elements = []
+        for line, common, group in zip(*(batch.column(i).to_pylist() for i in (0, 5, 6))):
+            grams, common = _grams(line), np.array(common, np.int32)
+            novel, missing = np.setdiff1d(grams, common, True), np.setdiff1d(common, grams, True)
+            names = np.concatenate((novel.astype(np.uint32).astype(np.uint64), missing.astype(np.uint32).astype(np.uint64) + np.uint64(1 << 32)))
+            elements.append(mix64(names + mix64(np.array([group], np.int64).view(np.uint64))).view(np.int64))
+        sizes = pa.array([len(e) for e in elements], pa.int32())
+        return [*batch.columns[1:5], batch.column(6), sizes, pa.array(elements, pa.list_(pa.int64()))]
+
+    schema = f"leader {nodes['leader']}, node {nodes['node']}, component {nodes['component']}, n int, group long, size int, elements array<long>"
+    return settle(rest.sparkSession, _mapped(wanted, work, schema), "signatures")
+
+
+def _element_counts(signatures: DataFrame) -> np.ndarray:
+    """How many elements fall into each of a fixed number of cells."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for line in batch.column(0).to_pylist():
-                np.add.at(total, _cells(_gram_hashes(line)), 1)
+            total += np.bincount(_cells(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=len(total))
         if total.any():
             packed = [zstandard.compress(part.tobytes(), 1) for part in total.reshape(16, -1)]
             yield pa.RecordBatch.from_arrays(
@@ -249,33 +321,77 @@ def _gram_counts(texts: DataFrame) -> np.ndarray:
         )
 
     schema = "block int, counts binary"
-    blocks = texts.select("content").mapInArrow(partial, schema).groupBy("block").applyInArrow(summed, schema).collect()
+    blocks = signatures.select("elements").mapInArrow(partial, schema).groupBy("block").applyInArrow(summed, schema).collect()
     counts = np.zeros((16, (1 << CELL_BITS) // 16), np.int64)
     for row in blocks:
         counts[row.block] = np.frombuffer(zstandard.decompress(bytes(row.counts)), np.int64)
     return np.minimum(counts.ravel(), 2**31 - 1).astype(np.int32)
 
 
-def _rare_grams(texts: DataFrame) -> DataFrame:
-    """node, element for the rarest grams of the lines ``texts`` (node, content), as many as make links share one.
+def _rarest(signatures: DataFrame) -> DataFrame:
+    """element, node, component, n, size: so many of each signature's elements that linked lines share one.
 
-    An edit changes at most ``GRAM`` grams, so linked lines share one among the first ``GRAM`` x ``DISTANCE`` + 1 in any
-    common order: here by the count of the gram's cell, then by hash.
+    Of ``APART`` + 1 elements of a line a linked line has at least one, and so it is with the first ones in any common order:
+    here by the count of the element's cell, then by hash. Lines whose signatures are so small that linked ones may have nothing in common
+    share one element more, which stands for the group.
     """
-    nodes = dict(texts.dtypes)["node"]
-    shared = texts.sparkSession.sparkContext.broadcast(_gram_counts(texts))
+    kinds = dict(signatures.dtypes)
+    shared = signatures.sparkSession.sparkContext.broadcast(_element_counts(signatures))
 
     def work(batch: pa.RecordBatch):
-        rows, elements = [], []
-        for row, line in enumerate(batch.column(0).to_pylist()):
-            hashes = _gram_hashes(line)
-            chosen = hashes[np.lexsort((hashes, shared.value[_cells(hashes)]))[: GRAM * DISTANCE + 1]]
-            elements.append(chosen)
+        rows, found = [], []
+        for row, (elements, group) in enumerate(zip(batch.column(0).to_pylist(), batch.column(5).to_pylist())):
+            hashes = np.array(elements, np.int64).view(np.uint64)
+            chosen = hashes[np.lexsort((hashes, shared.value[_cells(hashes)]))[: APART + 1]]
+            if len(hashes) <= APART:
+                chosen = np.append(chosen, np.array([group], np.int64).view(np.uint64))
+            found.append(chosen)
             rows.append(np.full(len(chosen), row))
-        flat = np.concatenate(elements).view(np.int64)
-        return [batch.column(1).take(pa.array(np.concatenate(rows))), pa.array(flat)]
+        at = pa.array(np.concatenate(rows))
+        return [pa.array(np.concatenate(found).view(np.int64)), *(batch.column(i).take(at) for i in (1, 2, 3, 4))]
+
+    schema = f"element long, node {kinds['node']}, component {kinds['component']}, n int, size int"
+    return _mapped(signatures.select("elements", "node", "component", "n", "size", "group"), work, schema).dropDuplicates(["element", "node"])
+
+
+def _links_apart(rest: DataFrame, texts: DataFrame, verify) -> DataFrame:
+    """Links between different components among lines that share a key's group.
 
-    return map_batches(texts.select("content", "node"), work, f"node {nodes}, element long", 0)
+    Lines of an element are first compared with the one that is nearest to its group's common grams, then those that are still apart with
+    each other. Around one original these are few: what is common to the group is in no signature.
+    """
+    spark = rest.sparkSession
+    near = f"abs(n - other_n) <= {DISTANCE} and abs(size - other_size) <= {APART}"
+    prefixes = settle(spark, _rarest(_signatures(rest, texts)), "prefixes")
+    first = (
+        prefixes.groupBy("element")
+        .agg(
+            F.min(F.struct("size", "node", "n", "component")).alias("first"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
+        .where("low != high")
+        .select(
+            "element",
+            F.col("first.node").alias("other"),
+            F.col("first.size").alias("other_size"),
+            F.col("first.n").alias("other_n"),
+            F.col("first.component").alias("other_component"),
+        )
+    )
+    pairs = prefixes.join(first, "element").where("component != other_component").where(near)
+    stars = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = verify(stars)
+    labels = rest.select("node", "component").distinct()
+    ends = links.join(labels.toDF("a", "from"), "a").join(labels.toDF("b", "to"), "b")
+    merged = components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")).where("a != b"))
+    relabelled = prefixes.join(merged.toDF("component", "joined"), "component", "left").select(
+        "element", "node", F.coalesce("joined", "component").alias("component"), "n", "size"
+    )
+    # Signatures that differ in at most APART elements have so many in common, of which the prefixes hold all but those behind the shorter end.
+    common = f"(size + other_size - {APART}) / 2 - greatest(0, greatest(size, other_size) - {APART + 1})"
+    apart = pairs_apart(settle(spark, relabelled, "relabelled"), near, common)
+    return links.union(verify(apart))
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,9 +449,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike = f"abs(n - other_n) <= {DISTANCE}"
 
     def apart(rest: DataFrame) -> DataFrame:
-        texts = _texts_of(rows, settle(spark, rest.select("node"), "line-nodes"), kind)
-        prefixes = rest.join(_rare_grams(settle(spark, texts, "line-texts")), "node")
-        return pairs_apart(settle(spark, prefixes.select("element", "node", "component", "n"), "prefixes"), alike)
+        texts = _texts_of(rows, settle(spark, rest.select("node").distinct(), "line-nodes"), kind)
+        return _links_apart(rest, settle(spark, texts, "line-texts"), verify)
 
     found = linked_components(settle(spark, shared, "line-keys"), alike, verify, apart)
     classes = firsts.join(found.toDF("first", "class"), "first", "left").select(

@@ -36,11 +36,12 @@ def prefix_pairs(elements: DataFrame, early: str, allowed: str) -> DataFrame:
     return pairs_apart(prefixes, allowed)
 
 
-def pairs_apart(prefixes: DataFrame, allowed: str) -> DataFrame:
+def pairs_apart(prefixes: DataFrame, allowed: str, needed: str = "1") -> DataFrame:
     """Pairs (a, b) of nodes of different components that share an element of ``prefixes`` (element, node, component, n).
 
     The component that has an element most often is not compared with itself; ``allowed`` is a condition on the
-    columns of one row and those of the other, which have ``other_`` in front.
+    columns of one row and those of the other, which have ``other_`` in front, and ``needed`` the number of elements that a pair
+    must share at least.
     """
     main = (
         prefixes.groupBy("element", "component")
@@ -56,8 +57,10 @@ def pairs_apart(prefixes: DataFrame, allowed: str) -> DataFrame:
         minor.join(others, "element")
         .where("component != other_component")
         .where(allowed)
-        .select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
-        .distinct()
+        .groupBy(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.expr(needed)).alias("needed"))
+        .where("shared >= needed")
+        .select("a", "b")
     )
 
 
@@ -74,9 +77,9 @@ def linked_components(
     (a, b), a < b, that are links.
 
     First every key's nodes are compared with the smallest of them. For the keys whose nodes are not yet in
-    one component, ``apart`` gets (node, component, n) of these nodes and returns all pairs of different components that can be
-    links. Every pair that shares a key is thus compared, known to be connected or excluded, and a key with thousands of nodes
-    costs about one comparison for each.
+    one component, ``apart`` gets (leader, node, component, n) of these nodes, with their key's smallest node as leader, and
+    returns the links between different components of a leader's nodes. Every pair that shares a key is thus compared, known to be
+    connected or excluded, and a key with thousands of nodes costs about one comparison for each.
     """
     spark = shared.sparkSession
     leaders = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
@@ -107,9 +110,9 @@ def linked_components(
         spark,
         labelled.join(open_keys, "key", "left_semi")
         .where("node != leader")
-        .select("node", "component", "n")
+        .select("leader", "node", "component", "n")
         .distinct(),
         "open",
     )
-    more = verify(apart(rest))
+    more = apart(rest)
     return components(links.union(more)) if more.limit(1).count() else labels
