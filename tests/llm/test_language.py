@@ -16,7 +16,7 @@ TEXTS = {
 
 
 def phrases_by_hand(samples, text, model):
-    """Longest phrases that occur in the sample, by substring search; blocks as in the operator."""
+    """Longest phrases that occur in the sample, by substring search over the whole text."""
     def squeeze(t):
         s = "".join(chr(c + 1) for c in model.classes[[ord(c) for c in t]])
         while "\1\1" in s:
@@ -25,14 +25,13 @@ def phrases_by_hand(samples, text, model):
 
     sample = "".join(squeeze("\0" + t) for t in sorted(samples))
     text, count = squeeze("\0" + text), 0
-    for b in range(0, len(text), lid.BLOCK):
-        block, at = text[b : b + lid.BLOCK], 0
-        while at < len(block):
-            size = 1
-            while at + size < len(block) and block[at : at + size + 1] in sample:
-                size += 1
-            at += size
-            count += 1
+    at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at += size
+        count += 1
     return count
 
 
@@ -41,7 +40,10 @@ def test_phrases_against_substring_search(monkeypatch):
     r = random.Random(2)
     texts = ["", "the", "THE CAT", "zzz", "...", "schön", "12 34", "a" * 40] + [
         "".join(r.choice("thecat derund.ö1 \n") for _ in range(r.randrange(200))) for _ in range(40)]
-    for block in (1024, 16):
+    # Long texts whose phrases run over the ends of blocks, one of a single letter and some that repeat the sample.
+    texts += ["".join(r.choice([*"thedrun. ", "the dog ran to the house ", "nicht im haus und das "]) for _ in range(900)) for _ in range(4)]
+    texts += ["a" * 3000, TEXTS["en"][0] * 60, "\0".join(TEXTS["de"]) * 30]
+    for block in (1024, 16, 1):
         monkeypatch.setattr(lid, "BLOCK", block)
         found, lettered = lid.phrases(model, texts)
         for k, language in enumerate(model.languages):
@@ -49,11 +51,36 @@ def test_phrases_against_substring_search(monkeypatch):
         assert lettered.tolist() == [any(c.isalpha() for c in t) for t in texts]
 
 
-def test_pieces_of_a_long_text(monkeypatch):
+def test_a_phrase_longer_than_blocks(monkeypatch):
+    """A text that is the sample itself has one phrase, however many blocks it fills."""
+    sample = "".join(random.Random(4).choice("abcdefgh ") for _ in range(5000))
+    model = lid.fit({"en": [sample], "de": TEXTS["de"]})
+    for block in (1024, 100):
+        monkeypatch.setattr(lid, "BLOCK", block)
+        found, _ = lid.phrases(model, [sample, sample + "zz", "qq" + sample, sample[2500:] + sample[:2500]])
+        assert [found[i, 1] for i in range(4)] == [phrases_by_hand([sample], t, model) for t in (sample, sample + "zz", "qq" + sample, sample[2500:] + sample[:2500])]
+        assert found[0, 1] == 1
+
+
+def test_many_languages_with_many_letters_fit():
+    r = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    texts = {f"l{k}": ["".join(r.choice(letters) for _ in range(400)) for _ in range(6)] for k in range(50)}
+    model = lid.fit(texts)
+    assert model.table.nbytes <= lid.TABLE_BYTES and model.rare_keys.nbytes + model.rare_moves.nbytes < lid.TABLE_BYTES
+    asked = [texts[f"l{k}"][0][100:160] for k in range(0, 50, 7)]
+    assert lid.decide(model, asked)[0] == [f"l{k}" for k in range(0, 50, 7)]
+
+
+def test_the_prediction_decides(docs):
+    rows = [(2 * i + k, TEXTS[l][0], l) for i in range(60) for k, l in enumerate(TEXTS)] + [(904, "das Haus ist schön", None), (905, "...", "de")]
+    frame = docs(rows)
     model = lid.fit(TEXTS)
-    monkeypatch.setattr(lid, "PIECE", 50)
-    names, scores = lid.decide(model, ["the house and the dog " * 500, "das haus und der hund " * 500])
-    assert names == ["en", "de"] and all(0 <= s <= 1 for s in scores)
+    only = lid.known_language(frame, model, wanted=["de"])
+    assert only.columns == frame.columns
+    assert {(r.doc_id, r.lang) for r in only.collect()} == {(i, "de") for i, _, l in rows[:-2] if l == "de"} | {(904, "de")}
+    assert lid.known_language(frame, model, least_score=1.1).count() == 0
+    assert lid.known_language(frame, model).count() == len(rows) - 1
 
 
 def test_cases(docs):
@@ -77,9 +104,11 @@ def test_nothing_to_learn_from(docs):
 
 def test_sample_is_bounded_and_whole_table_is_seen(docs):
     frame = docs([(i, f"text {i}", "en") for i in range(300)], clash=False)
-    rows = lid.sample_rows(frame, 10, 4).collect()
-    assert len(rows) == 10 and {len(r.text) for r in rows} == {4}
-    assert sorted(rows) == sorted(lid.sample_rows(frame.repartition(5), 10, 4, salts=3).collect())
+    rows = lid.sample_rows(frame, 10, 6).collect()
+    assert len(rows) == 10 and {len(r.text) for r in rows} == {6}
+    assert sorted(rows) == sorted(lid.sample_rows(frame.repartition(5), 10, 6, salts=3).collect())
+    longer = lid.sample_rows(frame, 250, 6).collect()
+    assert len(longer) == 250 and {r.text for r in longer} <= {f"text {i}" for i in range(300)} and max(len(r.text) for r in longer) == 8
 
 
 @pytest.mark.parametrize("sf", ["0.01"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wattline.llm.batches import map_batches
 
-#: Characters of a block; phrases end with their block, so that one long text is parsed in parallel.
+#: Characters of a block. Blocks of a text are parsed in parallel, and then from one into the next until both parses agree.
 BLOCK = 1024
-#: Characters of a very long text that are handled at once.
-PIECE = 1 << 22
+#: Rows of the sample over all languages, and bytes of the dense transition table; both bound what is broadcast.
+SAMPLE_ROWS, TABLE_BYTES = 2400, 64 << 20
 UNDETERMINED = "und"
 _CODES = 0x110000
 
@@ -73,21 +74,24 @@ class Model:
         return np.where(self.rare_keys[at] == key, self.rare_moves[at], -1)
 
 
-def sample_rows(docs: DataFrame, rows_per_language: int, chars_per_row: int, salts: int = 64) -> DataFrame:
-    """At most ``rows_per_language`` texts of each language, those of the smallest hashes, cut to ``chars_per_row``.
+def sample_rows(docs: DataFrame, rows_per_language: int, most_chars: int, salts: int = 64) -> DataFrame:
+    """At most ``rows_per_language`` whole texts of each language: those of at most ``most_chars`` characters with the smallest hashes,
+    then the shortest of the longer ones.
 
     Rows without text or lang are no examples, and neither are those whose lang is ``und``. Ranks are taken in salted parts first, so a
     language that holds most rows is not ordered in one task.
     """
+    text = F.col("text").cast("string")
     rows = docs.where("text is not null and lang is not null").where(F.col("lang").cast("string") != UNDETERMINED).select(
         F.col("lang").cast("string").alias("lang"),
-        F.substring(F.col("text").cast("string"), 1, chars_per_row).alias("text"),
+        text.alias("text"),
+        F.greatest(F.length(text) - most_chars, F.lit(0)).alias("over"),
         F.xxhash64("doc_id", "text").alias("place"),
     )
     for keys in (["lang", F.pmod("place", F.lit(salts))], ["lang"]):
-        order = Window.partitionBy(*keys).orderBy("place", "text")
+        order = Window.partitionBy(*keys).orderBy("over", "place", "text")
         rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language).drop("n")
-    return rows
+    return rows.drop("over")
 
 
 @lru_cache(maxsize=1)
@@ -128,7 +132,11 @@ def _automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 def fit(texts: dict[str, list[str]], table_letters: int = 200) -> Model:
-    """The model of labelled texts; every letter has a class, and the ``table_letters`` most frequent ones lie in the table."""
+    """The model of labelled texts; every letter has a class, and the ``table_letters`` most frequent ones lie in the table.
+
+    Fewer do where the table would be larger than ``TABLE_BYTES``; the sorted list of rarer transitions holds one entry for each transition
+    at most, so it is bounded by the sample.
+    """
     kinds = _letters()
     languages = sorted(texts)
     seen: Counter[str] = Counter()
@@ -136,6 +144,9 @@ def fit(texts: dict[str, list[str]], table_letters: int = 200) -> Model:
         for text in rows:
             seen.update(c for c in text.lower() if kinds[ord(c)])
     ordered = sorted(seen, key=lambda c: (-seen[c], c))
+    # An automaton has at most two states for a character.
+    states = 2 * sum(len(text) + 1 for rows in texts.values() for text in rows)
+    table_letters = max(1, min(table_letters, TABLE_BYTES // (4 * max(states, 1)) - 3))
     kept, rarer = ordered[:table_letters], ordered[table_letters:]
     other, pad = len(kept) + 1, len(kept) + 2
     width = pad + 1
@@ -194,15 +205,10 @@ def _squeezed(symbols: np.ndarray) -> np.ndarray:
 
 def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of phrases of each text by language, and whether the text has a letter."""
-    pieces, owner = [], []
-    for row, text in enumerate(texts):
-        for at in range(0, max(1, len(text)), PIECE):
-            pieces.append("\0" + text[at : at + PIECE])
-            owner.append(row)
-    codes = np.frombuffer("".join(pieces).encode("utf-32-le", "replace"), "<u4")
-    starts = np.concatenate(([0], np.cumsum([len(p) for p in pieces])[:-1])).astype(np.int64)
+    codes = np.frombuffer("".join(["\0" + text for text in texts]).encode("utf-32-le", "replace"), "<u4")
+    starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])).astype(np.int64)
     symbols = model.classes[codes]
-    lettered = np.maximum.reduceat(model.letters[codes] == 1, starts)
+    has_letter = np.maximum.reduceat(model.letters[codes] == 1, starts)
     keep = symbols != 0
     keep[1:] |= symbols[:-1] != 0
     keep[starts] = True
@@ -210,36 +216,80 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     symbols = symbols[keep]
     firsts = np.cumsum(lengths) - lengths
     n_blocks = -(-lengths // BLOCK)
-    block_owner = np.repeat(np.arange(len(pieces)), n_blocks)
-    block_no = np.arange(len(block_owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-    size = np.minimum(BLOCK, lengths[block_owner] - block_no * BLOCK)
-    begin = firsts[block_owner] + block_no * BLOCK
+    owner = np.repeat(np.arange(len(texts)), n_blocks)
+    block_no = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    size = np.minimum(BLOCK, lengths[owner] - block_no * BLOCK)
+    begin = firsts[owner] + block_no * BLOCK
     order = np.argsort(-size, kind="stable")
     size, begin = size[order], begin[order]
     longest = int(size[0]) if len(size) else 0
-    grid = np.full((longest, len(size)), model.pad, model.table.dtype)
-    column = np.repeat(np.arange(len(size)), size)
-    row = np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size)
-    grid[row, column] = symbols[np.repeat(begin, size) + row]
+    grid = np.full((longest, len(size)), model.pad, np.int32)
+    for step in range(0, longest, 64):  # 64 rows at a time, so that places of all characters are never held at once
+        rows = np.arange(step, min(step + 64, longest))[:, None]
+        inside = rows < size[None, :]
+        grid[step : step + 64] = np.where(inside, symbols[np.minimum(begin[None, :] + rows, len(symbols) - 1)], model.pad)
     active = np.searchsorted(-size, -np.arange(longest), side="left")
     rare = [bool((grid[step, : active[step]] > model.pad).any()) for step in range(longest)]
-    found = np.zeros((len(model.languages), len(size)), np.int64)
-    for language, root in enumerate(model.roots):
-        state = np.full(len(size), root, model.table.dtype)
-        count = np.zeros(len(size), model.table.dtype)
-        for step in range(longest):
-            n = active[step]
-            move = model.moves(root, state[:n], grid[step, :n], rare[step])
-            count[:n] += move & 1
-            state[:n] = move >> 1
-        found[language, order] = count
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    # For each block the one before it in its text, -1 for the first.
+    before = np.where(block_no > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
     totals = np.zeros((len(texts), len(model.languages)), np.int64)
-    has_letter = np.zeros(len(texts), bool)
-    np.logical_or.at(has_letter, owner, lettered)
-    np.add.at(totals, np.array(owner)[block_owner], found.T)
+    for language, root in enumerate(model.roots):
+        count = _parsed(model, int(root), grid, size, active, rare, before)
+        totals[:, language] = np.bincount(owner[order], count, len(texts))
     return totals, has_letter
 
 
+def _parsed(model: Model, root: int, grid, size, active, rare, before) -> np.ndarray:
+    """Phrases that begin in each block, where texts are parsed from their start.
+
+    Every block is parsed from a new phrase first. A parse that comes from the block before goes on until it begins a phrase where
+    the block's own parse does; from there on both are one. Where that does not happen inside the block, the
+    state at its end changes, and the next block is looked at again.
+    """
+    state = np.full(len(size), root, model.table.dtype)
+    fresh = np.zeros(grid.shape, bool)
+    for step in range(len(grid)):
+        n = active[step]
+        move = model.moves(root, state[:n], grid[step, :n], rare[step])
+        fresh[step, :n] = move & 1
+        state[:n] = move >> 1
+    count = fresh.sum(axis=0, dtype=np.int64)
+    entered = np.full(len(size), root, model.table.dtype)
+    own, own_end = count.copy(), state.copy()
+    following = np.flatnonzero(before >= 0)
+    while True:
+        todo = following[state[before[following]] != entered[following]]
+        if not len(todo):
+            return count
+        entered[todo] = state[before[todo]]
+        # A parse that starts at a phrase is the block's own one.
+        now, carried, passed = entered[todo].copy(), np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+        live = np.arange(len(todo))
+        step = 0
+        while len(live):
+            ended = size[todo[live]] <= step
+            if ended.any():
+                gone = live[ended]
+                count[todo[gone]], state[todo[gone]] = carried[gone], now[gone]
+                live = live[~ended]
+                continue
+            at = todo[live]
+            move = model.moves(root, now[live], grid[step, at], rare[step])
+            begins = (move & 1).astype(bool)
+            now[live] = move >> 1
+            carried[live] += begins
+            passed[live] += fresh[step, at]
+            met = begins & fresh[step, at]
+            if met.any():
+                gone = live[met]
+                count[todo[gone]] = own[todo[gone]] - passed[gone] + carried[gone]
+                state[todo[gone]] = own_end[todo[gone]]
+                live = live[~met]
+            step += 1
+
+
 def _decided(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
     """Language and score of each text, and whether it has a letter."""
     if not texts:
@@ -268,11 +318,12 @@ def decide(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     return names, scores
 
 
-def learn(docs: DataFrame, rows_per_language: int = 64, chars_per_row: int = 400) -> Model:
-    """A model of ``docs`` (doc_id, text, lang). At most languages x ``rows_per_language`` x ``chars_per_row``
-    characters reach the driver."""
+def learn(docs: DataFrame, rows_per_language: int = 24, most_chars: int = 2000) -> Model:
+    """A model of ``docs`` (doc_id, text, lang), from ``rows_per_language`` whole texts of each language (fewer where there are more than
+    ``SAMPLE_ROWS`` / ``rows_per_language`` languages), of at most ``most_chars`` characters where there are enough such texts."""
+    named = docs.where("text is not null and lang is not null").select("lang").distinct().count()
     texts: dict[str, list[str]] = {}
-    for row in sample_rows(docs, rows_per_language, chars_per_row).collect():
+    for row in sample_rows(docs, max(1, min(rows_per_language, SAMPLE_ROWS // max(named, 1))), most_chars).collect():
         texts.setdefault(row.lang, []).append(row.text)
     return fit(texts)
 
@@ -309,6 +360,24 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return _identified(docs, model).drop("lettered").toDF(*docs.columns, "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that have a letter, whatever was learnt."""
-    return _identified(docs, model).where("lettered").drop("lang_pred", "score", "lettered").toDF(*docs.columns)
+def known_language(
+    docs: DataFrame,
+    model: Model | None = None,
+    wanted: Collection[str] | None = None,
+    least_score: float = 0.0,
+) -> DataFrame:
+    """The rows of ``docs`` whose text is in a ``wanted`` language (by default any that was learnt), columns unchanged.
+
+    The prediction decides: rows without a letter go, and so do those whose predicted language is not wanted or
+    whose score is below ``least_score``. A null ``lang`` becomes the prediction. Where no language was learnt every
+    text with a letter stays. Repeated rows stay or go together; an empty table gives none.
+    """
+    if model is None:
+        model = learn(docs.where(~held_out()))
+    rows = _identified(docs, model).where("lettered")
+    if model.languages:
+        known = F.col("score") >= least_score
+        rows = rows.where(known if wanted is None else known & F.col("lang_pred").isin(sorted(wanted)))
+        at = f"c{docs.columns.index('lang')}"
+        rows = rows.withColumn(at, F.coalesce(F.col(at).cast("string"), "lang_pred"))
+    return rows.drop("lang_pred", "score", "lettered").toDF(*docs.columns)
