@@ -28,7 +28,11 @@ def slices(batch: pa.RecordBatch, text_index: int, limit: int = TEXT_BYTES) -> I
 
 
 def map_batches(
-    rows: DataFrame, work: Callable[[pa.RecordBatch], Sequence[pa.Array | list] | None], schema: str, text_index: int = 1
+    rows: DataFrame,
+    work: Callable[[pa.RecordBatch], Sequence[pa.Array | list] | None],
+    schema: str,
+    text_index: int = 1,
+    limit: int = TEXT_BYTES,
 ) -> DataFrame:
     """``work`` on slices of ``rows``; it returns one array or list per column of ``schema``, or None for no rows."""
     wanted: StructType = _parse_datatype_string(schema)
@@ -36,7 +40,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_index):
+            for part in slices(batch, text_index, limit):
                 columns = work(part)
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays(

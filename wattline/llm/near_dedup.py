@@ -32,6 +32,8 @@ from wattline.llm.linking import prefix_pairs
 from wattline.session import settle
 
 WIDTH, BANDS, ROWS = 5, 32, 4
+#: Bytes of text that a worker hashes at once; the arrays of a slice take some 60 times as much.
+SLICE_BYTES = 1 << 18
 #: What sizes of linked sets meet.
 ALIKE = "100 * least(n, other_n) >= 75 * greatest(n, other_n)"
 
@@ -88,7 +90,7 @@ def _sketched(docs: DataFrame, kind: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[counts > 0].reshape(-1)))
         return [batch.column(0), pa.array(counts), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists]
 
-    return map_batches(docs, work, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>")
+    return map_batches(docs, work, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>", limit=SLICE_BYTES)
 
 
 def _with_sets(docs: DataFrame, kind: str) -> DataFrame:
@@ -99,7 +101,7 @@ def _with_sets(docs: DataFrame, kind: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).astype(np.int64)))
         return [batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists]
 
-    return map_batches(docs, work, f"doc_id {kind}, hi long, lo long, shingles array<long>")
+    return map_batches(docs, work, f"doc_id {kind}, hi long, lo long, shingles array<long>", limit=SLICE_BYTES)
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -214,8 +216,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) whose document is the smallest id of its component, columns unchanged."""
+    """The rows of ``docs`` (doc_id, text) whose document is the smallest id of its component, columns unchanged.
+
+    Rows with a null id, and texts without a word, stay. Rows that repeat an id stay or go together. Other columns may have any
+    name; an empty table gives no rows.
+    """
     dropped = settle(
-        docs.sparkSession, near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")), "dropped"
+        docs.sparkSession, near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")), "dropped"
     )
-    return docs.join(by_ids(dropped), docs["doc_id"] == F.col("__gone"), "left_anti")
+    # Columns of docs are numbered, so that none clashes with the id that is joined.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index("doc_id")
+    return numbered.join(by_ids(dropped), F.col(f"c{at}") == F.col("gone"), "left_anti").toDF(*docs.columns)
