@@ -87,19 +87,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that exact deduplication keeps, all columns unchanged; one row per kept document.
 
-    Only documents that lose a row are joined back: those dropped, and those whose row is repeated.
+    Only documents that lose a row are joined back: those dropped, and those whose row is repeated. Null counts as the empty text; of
+    rows that repeat id and text any one stays. Other columns may have any name; an empty table gives no rows.
     """
     changed = settle(
         docs.sparkSession,
         _decisions(docs, id_col, text_col, salts)
         .where("not kept or n_rows > 1")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"), "kept"),
+        .select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha256"), "kept"),
         "exact-changed",
     )
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("__digest", F.sha2(lower_ascii(text), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha256"))
-    ids = [docs[c] for c in docs.columns]
-    untouched = rows.join(by_ids(changed.drop("kept")), same, "left_anti").select(*ids)
-    repeated = rows.join(by_ids(changed.where("kept").drop("kept")), same).dropDuplicates(["__id", "__sha256"]).select(*ids)
-    return untouched.union(repeated)
+    # Columns of docs are numbered, so that none clashes with those that are joined.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = numbered.withColumn("digest", F.sha2(lower_ascii(F.coalesce(F.col(text_at).cast("string"), F.lit(""))), 256))
+    same = F.col(id_at).eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha256"))
+    untouched = rows.join(by_ids(changed.drop("kept")), same, "left_anti").select(*numbered.columns)
+    repeated = rows.join(by_ids(changed.where("kept").drop("kept")), same).dropDuplicates(["id", "sha256"]).select(*numbered.columns)
+    return untouched.union(repeated).toDF(*docs.columns)

@@ -157,19 +157,24 @@ def mix(
 def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, seed: int = 17) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, columns unchanged.
 
-    Rows that repeat id and text are one document here, taken as often as all of them together.
+    Rows that repeat id and text are one document here, taken as often as all of them together. Null texts have no words, and
+    are taken with their source like others. Other columns may have any name; an empty table gives no rows.
     """
     copies = (
         mix(docs, quality, seed)
         .groupBy("doc_id", "text_hash")
-        .agg(F.sum(F.col("epochs") + F.col("selected").cast("long")).alias("__copies"))
-        .where("__copies > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__copies")
+        .agg(F.sum(F.col("epochs") + F.col("selected").cast("long")).alias("copies"))
+        .where("copies > 0")
+        .select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies")
     )
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # Columns of docs are numbered, so that none clashes with those that are joined.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_at, text_at = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    hashed = numbered.withColumn("own", F.xxhash64(F.coalesce(F.col(text_at).cast("string"), F.lit(""))))
     return (
-        hashed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
-        .dropDuplicates(["__id", "__hash"])
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-        .select(*[docs[c] for c in docs.columns])
+        hashed.join(copies, F.col(id_at).eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")))
+        .dropDuplicates(["id", "hash"])
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        .select(*numbered.columns)
+        .toDF(*docs.columns)
     )

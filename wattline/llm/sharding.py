@@ -27,7 +27,7 @@ _STRIP = 10_000
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, size, text_crc32, copies: one row per different record (id and text)."""
+    """doc_id, key, size, text_crc32, copies, range: one row per different record (id and text), all in one range."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return (
         docs.select(
@@ -38,6 +38,7 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
         .groupBy("doc_id", "key", "size", "text_crc32")
         .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("range", F.lit(0).cast("long"))
     )
 
 
@@ -63,12 +64,12 @@ def _sample(ranged: DataFrame, full: DataFrame, seed: int) -> DataFrame:
 
 
 def ranges(units: DataFrame, wanted: int, seed: int = 11) -> DataFrame:
-    """``units`` (of :func:`records`) with ``range``, whose order is that of (key, doc_id).
+    """``units`` (of :func:`records`, stored) with ranges whose order is that of (key, doc_id).
 
     A range holds at most ``2 * wanted`` bytes or a single record and its copies.
     """
     spark = units.sparkSession
-    ranged = units.withColumn("range", F.lit(0).cast("long"))
+    ranged = units
     for level in range(_LEVELS):
         sizes = ranged.groupBy("range").agg(
             F.sum(F.col("size") * F.col("copies")).alias("range_bytes"),
