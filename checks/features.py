@@ -1,8 +1,10 @@
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import ENERGY, local_sql, market_dense, market_sparse, with_views
 from checks.registry import query
-from wattline.operators import cleaning, features
+from wattline.operators import cleaning, features, leakage
 
 LIMITS = (1000.0, 15000.0)
 FILLED = tuple(ENERGY)
@@ -184,3 +186,57 @@ def feature_matrix_time_lags(spark, sf_dir):
     """Lags by exact hours instead of rows, on a grid with gaps."""
     laid = features.lay_out(market_sparse(spark, sf_dir), SPEC, lag_mode="time")
     return _shown(features.price_features(laid, SPEC).own_rows(), ["price_c", *_LAGS])
+
+
+_PAIRS = ((24, 100), (5, 7))
+_PAIR_SQL = {
+    name: expr
+    for short, long in _PAIRS
+    for name, expr in (
+        (f"price_roll_{short}h_max", _full("max", "price_c", short)),
+        (f"price_roll_{short}h_min", _full("min", "price_c", short)),
+        (f"price_roll_{short}h_mean", f"round({_full('avg', 'price_c', short)}, 6)"),
+        (f"price_roll_{long}h_mean", f"round({_full('avg', 'price_c', long)}, 6)"),
+        (f"price_roll_{long}h_std", f"round({_full('stddev_samp', 'price_c', long)}, 6)"),
+    )
+}
+
+
+@query("price_rolling_windows", with_views(_select(_PAIR_SQL, "market_sparse"), "market_sparse"))
+def price_rolling_windows(spark, sf_dir):
+    """Windows that are no multiples of each other."""
+    laid = features.lay_out(market_sparse(spark, sf_dir), replace(SPEC, long_window=max(map(max, _PAIRS))))
+    for short, long in _PAIRS:
+        laid = features.price_features(laid, replace(SPEC, lags=(), short_window=short, long_window=long))
+    rounded = [(F.round(c, 6) if e.startswith("round") else F.col(c)).alias(c) for c, e in _PAIR_SQL.items()]
+    return laid.own_rows().select("zone", "utc_timestamp", *rounded)
+
+
+def _gaps(columns: dict[str, str]) -> str:
+    """Least distance in hours between a row and the newest hour behind each column."""
+    listed = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    cells = "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS feature, count({c}) AS n_rows, min(h - {c}) AS least_gap_steps,
+        count(*) FILTER (h - {c} < 24) AS n_leaks FROM traced""" for c in columns)
+    return f"traced AS (SELECT h, {listed} FROM filled),\ngaps AS ({cells})"
+
+
+_TIMES = f"""times AS (SELECT zone, utc_timestamp, epoch(utc_timestamp) / 3600 AS h,
+  {", ".join(f"CASE WHEN {c} IS NOT NULL THEN epoch(utc_timestamp) / 3600 END AS {c}" for c in ("price_c", *FILLED))} FROM market_sparse),
+filled AS (SELECT zone, utc_timestamp, h, price_c, {", ".join(f"{_fill(c)} AS {c}" for c in FILLED)} FROM times)"""
+_NEWEST_WIND = "greatest(wind_onshore_c, wind_offshore_c)"
+_TRACED = {
+    **{c: e for c, e in PRICE_SQL.items() if "lag" in c},
+    **{f"price_roll_24h_{a}": _full("max", "price_c", 24) for a in ("mean", "max", "min")},
+    **{f"price_roll_168h_{a}": _full("max", "price_c", 168) for a in ("mean", "std")},
+    **{c: e if "lag" in c else _full("max", c.removesuffix("_roll24_mean"), 24) for c, e in FUNDAMENTAL_SQL.items()},
+    "wind_total_lag24": _lag(_NEWEST_WIND, 24),
+    "wind_total_lag168": _lag(_NEWEST_WIND, 168),
+    "renewables_total_lag24": _lag(f"CASE WHEN solar_c IS NOT NULL THEN greatest(solar_c, {_NEWEST_WIND}) END", 24),
+}
+
+
+@query("leakage_report", with_views("SELECT * FROM gaps", "market_sparse", steps=f"{_TIMES},\n{_gaps(_TRACED)}"))
+def leakage_report(spark, sf_dir):
+    """Newest hour behind every feature of the matrix, through filling, lags, windows and sums."""
+    return leakage.leakage_report(market_sparse(spark, sf_dir), SPEC)

@@ -80,38 +80,20 @@ def lay_out(
 
 
 def price_features(laid: BlockedSeries, spec: FeatureSpec) -> BlockedSeries:
-    """Lags of the price, and rolling statistics that end ``min_lag`` steps back.
-
-    A sliding frame costs its length per row. Only the short frame slides; the
-    long one is put together from consecutive short ones, which lie a fixed
-    number of steps apart: sums add up, and squared deviations add up with those
-    of the short means around the long mean.
-    """
+    """Lags of the price, and rolling statistics of any two windows that end ``min_lag`` steps back."""
     p, name, unit = spec.price, spec.price_prefix, spec.unit
     short, long, shift = spec.short_window, spec.long_window, spec.min_lag
-    parts, rest = divmod(long, short)
-    if rest:
-        raise ValueError(f"the long window ({long}) must be a multiple of the short one ({short})")
-    columns = {f"{name}_lag_{k}{unit}": laid.lag(p, k) for k in spec.lags}
-    columns["_sum0"] = laid.full(F.sum(p), p, short, shift)
-    columns["_var0"] = laid.full(F.var_pop(p), p, short, shift)
-    columns[f"{name}_roll_{short}{unit}_max"] = laid.full(F.max(p), p, short, shift)
-    columns[f"{name}_roll_{short}{unit}_min"] = laid.full(F.min(p), p, short, shift)
-    laid = laid.with_columns(columns)
-    earlier = range(1, parts)
-    laid = laid.with_columns({f"{c}{i}": laid.lag(f"{c}0", i * short) for c in ("_sum", "_var") for i in earlier})
-    sums, variances = ([F.col(f"{c}{i}") for i in range(parts)] for c in ("_sum", "_var"))
-    mean = sum(sums[1:], sums[0]) / long
-    gaps = [(s / short - mean) * (s / short - mean) for s in sums]
-    squares = (sum(variances[1:], variances[0]) + sum(gaps[1:], gaps[0])) * short
-    laid = laid.with_columns(
+    laid = laid.with_columns({f"{name}_lag_{k}{unit}": laid.lag(p, k) for k in spec.lags})
+    return laid.whole_windows(
+        p,
         {
-            f"{name}_roll_{short}{unit}_mean": sums[0] / short,
-            f"{name}_roll_{long}{unit}_mean": mean,
-            f"{name}_roll_{long}{unit}_std": F.sqrt(squares / (long - 1)),
-        }
+            f"{name}_roll_{short}{unit}_max": ("max", short, shift),
+            f"{name}_roll_{short}{unit}_min": ("min", short, shift),
+            f"{name}_roll_{short}{unit}_mean": ("mean", short, shift),
+            f"{name}_roll_{long}{unit}_mean": ("mean", long, shift),
+            f"{name}_roll_{long}{unit}_std": ("std", long, shift),
+        },
     )
-    return laid.drop(*[f"{c}{i}" for c in ("_sum", "_var") for i in range(parts)])
 
 
 def fundamental_features(laid: BlockedSeries, spec: FeatureSpec) -> BlockedSeries:
@@ -130,9 +112,9 @@ def renewables_features(laid: BlockedSeries, spec: FeatureSpec) -> BlockedSeries
     wind = [c for c in spec.wind if c in laid.df.columns]
     if not wind:
         return laid
-    totals = {"wind_total_mwh": row_sum(*wind)}
+    totals = {"wind_total_mwh": laid.joint(row_sum(*wind), *wind)}
     if spec.solar in laid.df.columns:
-        totals["_renewables"] = F.col(spec.solar) + row_sum(*wind)
+        totals["_renewables"] = laid.joint(F.col(spec.solar) + row_sum(*wind), spec.solar, *wind)
     laid = laid.with_columns(totals)
     columns = {f"wind_total_lag{k}": laid.lag("wind_total_mwh", k) for k in (near, far)}
     if "_renewables" in totals:
@@ -147,6 +129,14 @@ def feature_columns(columns: Sequence[str], spec: FeatureSpec, keys: Sequence[st
     return [c for c in columns if c not in raw]
 
 
+def neighbour_features(laid: BlockedSeries, spec: FeatureSpec, *, fill: bool = True) -> BlockedSeries:
+    """All features that read other rows, after filling."""
+    present = spec.present(laid.df)
+    if fill and present:
+        laid = fill_columns(laid, present, spec.fill_limit)
+    return renewables_features(fundamental_features(price_features(laid, spec), spec), spec)
+
+
 def feature_matrix(
     df: DataFrame,
     spec: FeatureSpec = FeatureSpec(),
@@ -165,9 +155,7 @@ def feature_matrix(
     """
     present = spec.present(df)
     laid = lay_out(df.select(*keys, ts, spec.price, *present), spec, ts=ts, keys=keys, lag_mode=lag_mode, block_steps=block_steps)
-    if fill and present:
-        laid = fill_columns(laid, present, spec.fill_limit)
-    laid = renewables_features(fundamental_features(price_features(laid, spec), spec), spec)
+    laid = neighbour_features(laid, spec, fill=fill)
     # Calendar fields need no neighbours, so they are added to surviving rows only.
     neighbours = laid.own_rows()
     inputs = feature_columns(neighbours.columns, spec, keys, ts)
