@@ -80,6 +80,3 @@ def test_rules_on_other_rows_against_pandas(hourly):
         wanted = {t: int((~eval(t, {"s": s})).sum()) for t in texts}
         assert {r["name"]: r["violations"] for r in got} == wanted
         assert all(r["status"] == ("fail" if wanted[r["name"]] else "pass") for r in got)
-    refused = ["s.shift(-1) > 0", "s.diff(0) > 0", "s.rolling(3, center=1).mean() > 0", "s.diff().rolling(3).mean() > 0", "s.rolling(3).median() > 0", "s.shift().isin(['a', 1])"]
-    got = rules.run_rules(hourly(frame), [Rule(t, "p", t) for t in refused]).collect()
-    assert {r["status"] for r in got} == {"error"}

@@ -2,7 +2,8 @@
 
 Two notations are understood. Series notation, as language models write it
 (``(s >= 0) & (s <= 10)``, ``s.diff().abs() <= 5``), is parsed and rebuilt from
-a white list of nodes. Anything else is a SQL predicate on ``s`` whose functions
+a white list of nodes: here what needs one row and the published forms, in
+``series_text`` the rest. Anything else is a SQL predicate on ``s`` whose functions
 must all be on a list of deterministic ones. What is on neither list raises
 ``ValueError``, and no text is ever evaluated.
 """
@@ -21,10 +22,10 @@ FUNCTIONS = frozenset(
 )
 _BANNED = re.compile(r"\b(select|from|exists|over|with|lateral|table|values)\b|->|;|--|/\*", re.IGNORECASE)
 _TEXTS = re.compile(r"'(?:[^'\\]|\\.|'')*'")
-_SERIES = re.compile(r"\bs\s*\.\s*[a-z_]+\s*\(|[&|~]|==")
+_SERIES = re.compile(r"\bs\s*\.\s*[a-z_]+|[&|~^]|==|\*\*|//|\)\s*\.\s*[a-z_]+\s*\(")
 
 _COMPARE = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "=", ast.NotEq: "<>"}
-_ARITHMETIC = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/"}
+_ARITHMETIC = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*"}
 
 
 def checked(expression: str | None) -> str:
@@ -129,112 +130,42 @@ def _spike(node: ast.AST) -> str | None:
     return None
 
 
-def neighbours(expression: str, prefix: str) -> tuple[str, dict[str, tuple]]:
-    """A rule with ``diff``, ``shift`` or ``rolling`` as a predicate on ``_value`` and on named columns, and what these hold.
-
-    A column is ``("lag", k)``, ``("diff", k)``, or ``(aggregate, size, min_periods)`` of the values that end at the row. As in series
-    notation, a comparison with a missing value is false (``!=`` is true).
-    """
-    try:
-        tree = ast.parse(expression.strip(), mode="eval").body
-    except (SyntaxError, ValueError, RecursionError) as error:
-        raise ValueError("the expression cannot be read") from error
-    found: dict[str, tuple] = {}
-    text = _predicate(tree, (prefix, found))
-    if not found:
-        raise ValueError("the rule looks at no other rows")
-    return text, found
-
-
-def _neighbour(node: ast.AST, seen: tuple[str, dict]) -> str | None:
-    """Name of the column for ``s.diff(k)``, ``s.shift(k)`` or an aggregate of ``s.rolling(n, min_periods=m)``."""
-    call = node if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) else None
-    if call is None:
-        return None
-    name, wanted = call.func.attr, None
-    if name in ("diff", "shift") and _is_s(call.func.value):
-        given = _whole(call, "periods", 1)
-        steps = given.pop("periods")
-        if not given and steps >= 1:
-            wanted = ("lag" if name == "shift" else "diff", steps)
-    rolling = _method(call.func.value, "rolling") if name in _ROLLING else None
-    if rolling and _is_s(rolling.func.value) and not call.args and not call.keywords:
-        given = _whole(rolling, "window", 0)
-        size = given.pop("window")
-        least = given.pop("min_periods", size)
-        if not given and 1 <= least <= size:
-            wanted = (name, size, least)
-    if wanted is None:
-        return None
-    prefix, found = seen
-    for column, known in found.items():
-        if known == wanted:
-            return column
-    found[f"{prefix}{len(found)}"] = wanted
-    return f"{prefix}{len(found) - 1}"
-
-
-_ROLLING = ("mean", "std", "sum", "min", "max")
-
-
-def _whole(call: ast.Call, first: str, default: int) -> dict[str, int]:
-    """Whole-number arguments of a call; its only positional one is ``first``."""
-    given = {k.arg: k.value for k in call.keywords}
-    if len(call.args) > 1 or (call.args and first in given):
-        raise ValueError(f"not allowed in a rule: {ast.unparse(call)[:80]}")
-    if call.args:
-        given[first] = call.args[0]
-    numbers = {name: _number(value) for name, value in given.items()}
-    if not all(n and n.lstrip("-").isdigit() for n in numbers.values()):
-        raise ValueError(f"not allowed in a rule: {ast.unparse(call)[:80]}")
-    return {first: default} | {name: int(n) for name, n in numbers.items()}
-
-
-def _settled(text: str, seen: tuple | None, missing: bool = False) -> str:
-    return text if seen is None else f"coalesce({text}, {str(missing).lower()})"
-
-
-def _predicate(node: ast.AST, seen: tuple | None = None) -> str:
-    """A predicate of comparisons, arithmetic and a few methods, as SQL; with ``seen`` it may look at other rows."""
+def _predicate(node: ast.AST) -> str:
+    """A predicate of comparisons, arithmetic and a few methods, as SQL."""
     if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.BitAnd, ast.BitOr)):
         word = "and" if isinstance(node.op, ast.BitAnd) else "or"
-        return f"({_predicate(node.left, seen)} {word} {_predicate(node.right, seen)})"
+        return f"({_predicate(node.left)} {word} {_predicate(node.right)})"
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Invert):
-        return f"(not {_predicate(node.operand, seen)})"
+        return f"(not {_predicate(node.operand)})"
     if isinstance(node, ast.Compare) and all(type(op) in _COMPARE for op in node.ops):
         if len(node.ops) != 1:
             raise ValueError("comparisons cannot be chained")
-        operator = _COMPARE[type(node.ops[0])]
-        text = f"({_value(node.left, seen)} {operator} {_value(node.comparators[0], seen)})"
-        return _settled(text, seen, operator == "<>")
+        return f"({_value(node.left)} {_COMPARE[type(node.ops[0])]} {_value(node.comparators[0])})"
     call = _method(node, "between")
     if call and len(call.args) == 2 and not call.keywords:
-        return _settled(f"({_value(call.func.value, seen)} between {_value(call.args[0], seen)} and {_value(call.args[1], seen)})", seen)
+        return f"({_value(call.func.value)} between {_value(call.args[0])} and {_value(call.args[1])})"
     call = _method(node, "isin")
     if call and len(call.args) == 1 and isinstance(call.args[0], (ast.List, ast.Tuple)) and call.args[0].elts:
-        return _settled(f"({_value(call.func.value, seen)} in ({', '.join(_value(e, seen) for e in call.args[0].elts)}))", seen)
+        return f"({_value(call.func.value)} in ({', '.join(map(_value, call.args[0].elts))}))"
     for name, word in (("isna", "is null"), ("isnull", "is null"), ("notna", "is not null"), ("notnull", "is not null")):
         call = _method(node, name)
         if call and not call.args and not call.keywords:
-            return f"({_value(call.func.value, seen)} {word})"
+            return f"({_value(call.func.value)} {word})"
     raise ValueError(f"not allowed in a rule: {ast.unparse(node)[:80]}")
 
 
-def _value(node: ast.AST, seen: tuple | None = None) -> str:
+def _value(node: ast.AST) -> str:
     if _is_s(node):
-        return "s" if seen is None else "_value"
-    column = seen and _neighbour(node, seen)
-    if column:
-        return column
+        return "s"
     number = _number(node)
     if number is not None:
         return number
-    if seen is None and isinstance(node, ast.Constant) and isinstance(node.value, str):
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
         quoted = node.value.replace("\\", "\\\\").replace("'", "\\'")
         return f"'{quoted}'"
     if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
-        return f"({_value(node.left, seen)} {_ARITHMETIC[type(node.op)]} {_value(node.right, seen)})"
+        return f"({_value(node.left)} {_ARITHMETIC[type(node.op)]} {_value(node.right)})"
     call = _method(node, "abs")
     if call and not call.args:
-        return f"abs({_value(call.func.value, seen)})"
+        return f"abs({_value(call.func.value)})"
     raise ValueError(f"not allowed in a rule: {ast.unparse(node)[:80]}")

@@ -11,7 +11,8 @@ also where the predicate fails on its value. These forms exist:
 ``spike(t, n, m)``         values above t only where the last n values hold at most m such
 
 Expressions in series notation (``s.diff().abs() <= 150``) are translated to
-these, or, with ``diff``, ``shift`` and ``rolling``, to a predicate on lag and frame columns; see ``rule_text`` for what is allowed.
+these, or, see ``series_text``, to a predicate on columns that hold neighbours, windows, running values, ranks and single
+values of the series. Division and remainders follow floating-point rules there.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 from wattline.config import TS, ZONE
-from wattline.operators.rule_text import checked, neighbours
+from wattline.operators.rule_text import checked
+from wattline.operators.series_rules import series_counts
+from wattline.operators.series_text import Program
 from wattline.plans.blocks import BLOCK_STEPS, block_series
 
 _NUMBER = r"\s*(-?\d+(?:\.\d+)?)\s*"
@@ -36,6 +39,9 @@ _TEMPLATES = {
     "spike": re.compile(rf"spike\({_NUMBER},{_NUMBER},{_NUMBER}\)"),
 }
 
+_DIVISION = re.compile(r"[/%]")
+_SERIES_LIKE = re.compile(r"\bs\s*\.|[&|~^]|==|\*\*|//|\)\s*\.\s*[a-z_]+\s*\(")
+
 #: Rules of one plan; more are evaluated in several.
 BATCH = 200
 
@@ -155,23 +161,38 @@ def run_rules(
             results = results.unionByName(part)
         return results
     spark = df.sparkSession
-    row_rules, scalar_rules, sequence_rules, unusable = [], [], [], []
+    row_rules, scalar_rules, sequence_rules, series_rules, unusable = [], [], [], [], []
+    program = Program()
     empty = {}
     for number, rule in enumerate(rules):
         column = ts if rule.column == "index" else rule.column
         if column not in df.columns:
             unusable.append((number, "skipped", f"the table has no column {rule.column!r}"))
             continue
+        numeric = isinstance(df.schema[column].dataType, NumericType)
         try:
+            # Division and remainders mean the same in both notations, but not what they give for zero.
+            if numeric and rule.expression and _DIVISION.search(rule.expression):
+                raise ValueError("division")
             read = replace(rule, expression=checked(rule.expression) if not _template(rule) else rule.expression.strip())
             template = _template(read)
-        except ValueError as error:
+        except ValueError:
+            try:
+                found = program.read(rule.expression, column) if numeric else None
+            except ValueError as refused:
+                found, error = None, str(refused)
+            else:
+                error = "sequence rules need a numeric column"
+            if found is not None and found.names - {"_value"}:
+                series_rules.append((number, column, found.text, found.kept))
+                continue
             try:
-                read, template = rule, ("series", neighbours(rule.expression or "", f"_s{number}_"))
-            except ValueError:
-                unusable.append((number, "error", str(error)))
+                text = checked(rule.expression) if found is None else found.text.replace("_value", "cast(s as double)")
+            except ValueError as plain:
+                unusable.append((number, "error", error if _SERIES_LIKE.search(rule.expression or "") else str(plain)))
                 continue
-        if template and not isinstance(df.schema[column].dataType, NumericType):
+            read, template = replace(rule, expression=text), None
+        if template and not numeric:
             unusable.append((number, "error", "sequence rules need a numeric column"))
             continue
         if template:
@@ -196,6 +217,9 @@ def run_rules(
     ]
     if sequence_rules:
         others.append(_count_sequences(df, sequence_rules, ts, zone, first_row_passes, block_steps))
+    if series_rules:
+        counted = series_counts(df, program, series_rules, ts, zone, block_steps)
+        others.append(_long_counts(counted, [n for n, *_ in series_rules], zone))
     if others:
         counts = others[0]
         for part in others[1:]:
@@ -291,8 +315,6 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
         .filter(F.col("_value").isNotNull())
     )
     reach = [int(args[0 if kind == "flatline" else 1]) - 1 for _, _, kind, args in sequence_rules if kind in ("flatline", "spike")]
-    series = {name: what for _, _, kind, args in sequence_rules if kind == "series" for name, what in args[1].items()}
-    reach += [size[0] if kind in ("lag", "diff") else size[0] - 1 for kind, *size in series.values()]
     look_back = max([1, *reach])
     laid = block_series(long, [zone, "_column"], ts, look_back=look_back, block_steps=block_steps)
     laid = laid.with_columns({"_previous": laid.lag("_value", 1)})
@@ -302,19 +324,16 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
     for n, _, kind, args in sequence_rules:
         if kind == "spike":
             running[f"_high{n}"] = laid.running(F.count_if(F.col("_value") > args[0]))
-    laid = laid.with_columns(running | {name: _series_column(laid, *what) for name, what in series.items()})
+    laid = laid.with_columns(running)
     oks: dict[str, Column] = {}
     for n, _, kind, args in sequence_rules:
         if kind == "jump":
             oks[f"ok{n}"] = _jump_ok(first_row_passes, *args)
         elif kind == "flatline":
             oks[f"ok{n}"] = _flatline_ok(laid, first_row_passes, *args)
-        elif kind == "series":
-            oks[f"ok{n}"] = F.expr(args[0])
         else:
             oks[f"ok{n}"] = _spike_ok(laid, f"_high{n}", *args)
-    with _lenient(df.sparkSession):
-        judged = laid.with_columns(oks).own_rows()
+    judged = laid.with_columns(oks).own_rows()
     aggregates = []
     for n, column, _, _ in sequence_rules:
         mine = F.col("_column") == column
@@ -322,15 +341,6 @@ def _count_sequences(df, sequence_rules, ts: str, zone: str, first_row_passes: b
     return _long_counts(judged.groupBy(zone).agg(*aggregates), [n for n, *_ in sequence_rules], zone)
 
 
-def _series_column(laid, kind: str, size: int, least: int = 1) -> Column:
-    """A lag, a difference, or an aggregate of the last ``size`` values, null below ``least`` of them."""
-    if kind in ("lag", "diff"):
-        before = laid.lag("_value", size)
-        return before if kind == "lag" else F.col("_value") - before
-    aggregate = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}[kind]
-    return F.when(laid.over(F.count("_value"), size) >= least, laid.over(aggregate("_value"), size))
-
-
 def _jump_ok(first_row_passes: bool, limit: float) -> Column:
     """Without a previous value there is no change to compare: a violation by default."""
     return F.coalesce(F.abs(F.col("_value") - F.col("_previous")) <= limit, F.lit(first_row_passes))
