@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import DAY_MICROS, daily_series, local_sql, market_dense, with_views
 from checks.registry import query
-from wattline.operators import features, learners, reports, signal, validation
+from wattline.operators import features, learners, least_squares, reports, signal, validation
+from wattline.plans.blocks import block_series
 from wattline.session import settle
 
 SEASON = 7
@@ -251,6 +252,65 @@ def prompt_reference(spark, sf_dir):
     return reference.withColumn("reference_price", F.round(F.col("reference_price") / 100.0, 6))
 
 
+# Least squares with several inputs ---------------------------------------------
+
+
+PENALTY = 1e9
+_RIDGE_INPUTS = ("x1", "x2", "x3")
+_PRODUCTS = [(a, b) for i, a in enumerate((*_RIDGE_INPUTS, "y")) for b in (*_RIDGE_INPUTS, "y")[i:]]
+
+
+def _cov(a: str, b: str) -> str:
+    a, b = sorted((a, b), key=(*_RIDGE_INPUTS, "y").index)
+    penalty = f" + {PENALTY}::double" if a == b else ""
+    return f"({a}{b} - {a} * {b} / n{penalty})"
+
+
+def _determinant(columns) -> str:
+    """Of the 3 x 3 system with the given right factors as columns."""
+    m = [[_cov(a, b) for b in columns] for a in _RIDGE_INPUTS]
+    terms = [f"{m[0][i]} * ({m[1][j]} * {m[2][k]} - {m[1][k]} * {m[2][j]})" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+    return "(" + " + ".join(terms) + ")"
+
+
+_RIDGE = f"""
+wide AS (
+  SELECT a.zone, a.utc_timestamp, a.y_c AS y, b.y_c AS x1, c.y_c AS x2, b.n::double AS x3
+  FROM daily_series a JOIN daily_series b ON b.zone = a.zone AND b.utc_timestamp = a.utc_timestamp - interval 7 day
+    JOIN daily_series c ON c.zone = a.zone AND c.utc_timestamp = a.utc_timestamp - interval 28 day),
+months AS (
+  SELECT zone, cast(date_trunc('month', utc_timestamp) AS timestamp) AS val_month, count(*) AS n_val,
+    {", ".join(f"sum({c}) AS {c}" for c in (*_RIDGE_INPUTS, "y"))}, {", ".join(f"sum({a} * {b}) AS {a}{b}" for a, b in _PRODUCTS)}
+  FROM wide GROUP BY 1, 2),
+running AS (
+  SELECT zone, {FOLDS} - row_number() OVER (PARTITION BY zone ORDER BY val_month DESC) AS fold, val_month,
+    cast(sum(n_val) OVER w AS double) AS n, {", ".join(f"sum({c}) OVER w AS {c}" for c in (*_RIDGE_INPUTS, "y", *[a + b for a, b in _PRODUCTS]))}
+  FROM months WINDOW w AS (PARTITION BY zone ORDER BY val_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+weights AS (
+  SELECT zone, fold, val_month, n, x1 / n AS m1, x2 / n AS m2, x3 / n AS m3, y / n AS my,
+    {_determinant(("y", "x2", "x3"))} / {_determinant(_RIDGE_INPUTS)} AS w1,
+    {_determinant(("x1", "y", "x3"))} / {_determinant(_RIDGE_INPUTS)} AS w2,
+    {_determinant(("x1", "x2", "y"))} / {_determinant(_RIDGE_INPUTS)} AS w3
+  FROM running WHERE fold >= 0 AND n >= 168),
+cv AS (
+  SELECT t.zone, w.fold, y / 100.0::double AS y_true, (my + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3)) / 100.0::double AS y_pred
+  FROM wide t JOIN weights w ON w.zone = t.zone AND w.val_month = date_trunc('month', t.utc_timestamp))"""
+
+
+@query("cv_ridge_metrics", with_views(
+    """SELECT zone, fold, round(avg(abs(y_true - y_pred)), 4) AS mae, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 4) AS rmse,
+    round(avg(greatest(0.1::double * (y_true - y_pred), -0.9::double * (y_true - y_pred))), 4) AS pinball_10,
+    round(avg(greatest(0.9::double * (y_true - y_pred), -0.1::double * (y_true - y_pred))), 4) AS pinball_90, count(*) AS n_val
+    FROM cv GROUP BY 1, 2""", "daily_series", steps=_RIDGE))
+def cv_ridge_metrics(spark, sf_dir):
+    """Walk-forward ridge regression on the values one and four weeks before and the number of rows one week before."""
+    laid = block_series(daily_series(spark, sf_dir), ["zone"], "utc_timestamp", look_back=28, mode="time", step_micros=DAY_MICROS)
+    rows = laid.with_columns({"x1": laid.lag("y_c", 7), "x2": laid.lag("y_c", 28), "x3": laid.lag("n", 7)}).own_rows()
+    cv = least_squares.ridge_fold_predictions(rows, _RIDGE_INPUTS, "y_c", penalty=PENALTY, n_folds=FOLDS, scale=100.0)
+    metrics = validation.fold_metrics(cv)
+    return metrics.select("zone", "fold", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "pinball_10", "pinball_90")], "n_val")
+
+
 # Boosted trees ---------------------------------------------------------------
 
 
