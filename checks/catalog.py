@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from checks import delivery, features, quality, shaping, sources, validation  # noqa: F401
+from checks import boosting, delivery, features, quality, series, shaping, sources, users, validation  # noqa: F401
 from checks.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

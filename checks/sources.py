@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import points_long, with_views
 from checks.registry import query
-from wattline.session import scratch_path
-from wattline.sources import landing_json, landing_xml, tables
+from wattline.session import scratch_path, settle
+from wattline.sources import increments, landing_json, landing_xml, tables
 
 START, END = "2024-01-03", "2024-01-24"
 
@@ -126,6 +126,32 @@ def market_from_json(spark, sf_dir):
     return market.withColumn("price_da_eur_mwh", F.round("price_da_eur_mwh", 6))
 
 
+@query("ingest_increment", with_views(
+    _market_sql("""SELECT zone, series, h,
+        CASE WHEN series LIKE '%eur%' THEN round(m, 6) ELSE coalesce(s, 0) END AS value
+      FROM grid LEFT JOIN hourly USING (zone, series, h)""", _SERIES, "23:59:00"),
+    "points_long", steps=f"{_SLOTS.strip()},\ninside AS (SELECT * FROM points WHERE {_WINDOW}),{_GRID}"))
+def ingest_increment(spark, sf_dir):
+    """Three runs: the first week with wrong values in one zone, then all weeks, then the right values under the same folders."""
+    landing, root = scratch_path(spark, "landing-increment"), scratch_path(spark, "market-store")
+    feed = increments.json_feed(landing, START, END, partitioned=True)
+    chunks = settle(spark, _chunks(spark, sf_dir), "chunks")
+    first = chunks.agg(F.min("chunk_ms")).first()[0]
+    wrong = F.transform("series", lambda p: F.array(p[0], p[1] + 1000.0))
+    one_zone = F.col("zone") == "Z1"
+
+    def land(rows, mode):
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("series_id", "zone", "chunk_ms").json(landing)
+
+    land(chunks.filter(F.col("chunk_ms") == first).withColumn("series", F.when(one_zone, wrong).otherwise(F.col("series"))), "append")
+    increments.ingest(spark, feed, root)
+    land(chunks.filter(F.col("chunk_ms") != first), "append")
+    increments.ingest(spark, feed, root)
+    land(chunks.filter((F.col("chunk_ms") == first) & one_zone), "overwrite")
+    increments.ingest(spark, feed, root)
+    return increments.market(spark, root).withColumn("price_da_eur_mwh", F.round("price_da_eur_mwh", 6))
+
+
 def _land_xml(spark, sf_dir):
     """One document folder per kind and zone; a day of quarter hours is one Period."""
     path = scratch_path(spark, "landing-xml")

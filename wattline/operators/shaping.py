@@ -55,18 +55,7 @@ def resample_hourly(
     is null for a mean and 0 for a sum (``empty_sum_zero=False`` keeps it null).
     A series without any value yields no rows.
     """
-    averaged = {"mean": F.lit(True), "sum": F.lit(False), "rule": F.col(SERIES).contains(PRICE_MARK)}
-    if how not in averaged:
-        raise ValueError(f"how must be one of {sorted(averaged)}, not {how!r}")
-    measured = points.select(*keys, utc_floor("hour", ts).alias(ts), value)
-    for column in (*keys, ts, value):
-        measured = measured.filter(F.col(column).isNotNull())
-    aggregate = {
-        "mean": F.avg(value),
-        "sum": F.sum(value),
-        "rule": F.when(averaged["rule"], F.avg(value)).otherwise(F.sum(value)),
-    }[how]
-    hourly = measured.groupBy(*keys, ts).agg(aggregate.alias(value))
+    hourly = hourly_values(points, how=how, value=value, ts=ts, keys=keys)
     # The bounds read the hourly values too, and nulls are gone before grouping,
     # so both branches plan the same aggregation and Spark runs it once.
     bounds = (
@@ -74,9 +63,42 @@ def resample_hourly(
         .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(value).alias("_n"))
         .filter(F.col("_n") > 0)
     )
+    return on_grid(hourly, bounds, how=how, value=value, ts=ts, keys=keys, empty_sum_zero=empty_sum_zero)
+
+
+def _is_mean(how: str) -> Column:
+    averaged = {"mean": F.lit(True), "sum": F.lit(False), "rule": F.col(SERIES).contains(PRICE_MARK)}
+    if how not in averaged:
+        raise ValueError(f"how must be one of {sorted(averaged)}, not {how!r}")
+    return averaged[how]
+
+
+def hourly_values(
+    points: DataFrame, *, how: str, value: str = "value", ts: str = TS, keys: Sequence[str] = (ZONE, SERIES)
+) -> DataFrame:
+    """Hourly mean or sum of the hours that have points; see :func:`resample_hourly`."""
+    is_mean = _is_mean(how)
+    measured = points.select(*keys, utc_floor("hour", ts).alias(ts), value)
+    for column in (*keys, ts, value):
+        measured = measured.filter(F.col(column).isNotNull())
+    aggregate = {"mean": F.avg(value), "sum": F.sum(value), "rule": F.when(is_mean, F.avg(value)).otherwise(F.sum(value))}
+    return measured.groupBy(*keys, ts).agg(aggregate[how].alias(value))
+
+
+def on_grid(
+    hourly: DataFrame,
+    bounds: DataFrame,
+    *,
+    how: str,
+    value: str = "value",
+    ts: str = TS,
+    keys: Sequence[str] = (ZONE, SERIES),
+    empty_sum_zero: bool = True,
+) -> DataFrame:
+    """``hourly`` values on every hour from ``_first`` to ``_last`` of ``bounds`` (one or more rows per series)."""
     filled = hour_spine(bounds, keys, "_first", "_last", ts).join(hourly, [*keys, ts], "left")
     if how != "mean" and empty_sum_zero:
-        zero = F.when(~averaged[how], F.lit(0).cast(filled.schema[value].dataType))
+        zero = F.when(~_is_mean(how), F.lit(0).cast(filled.schema[value].dataType))
         filled = filled.withColumn(value, F.coalesce(F.col(value), zero))
     return filled
 

@@ -8,7 +8,7 @@ in the file name.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,13 +33,13 @@ def series_registry(spark: SparkSession, ids: Mapping[str, int] = SERIES_IDS) ->
     return F.broadcast(spark.createDataFrame([(i, c) for c, i in ids.items()], "series_id bigint, series string"))
 
 
-def _files(spark: SparkSession, path: str, partitioned: bool) -> DataFrame:
+def _files(spark: SparkSession, path: str, partitioned: bool, only: Sequence[str] | None = None) -> DataFrame:
     """One row per file: what its place says about it, its payload, and whether it is readable.
 
-    Files are read whole, so line breaks inside a payload do not matter.
+    Files are read whole, so line breaks inside a payload do not matter. ``only`` names the files below ``path`` that are read.
     """
     schema = "value string" + (", series_id bigint, zone string, chunk_ms bigint" if partitioned else "")
-    raw = spark.read.schema(schema).option("basePath", path).text(path, wholetext=True)
+    raw = spark.read.schema(schema).option("basePath", path).text(path if only is None else list(only), wholetext=True)
     name = F.col("_metadata.file_name")
     place = (
         [F.col("series_id"), F.col(ZONE), F.col("chunk_ms")]
@@ -53,19 +53,22 @@ def _files(spark: SparkSession, path: str, partitioned: bool) -> DataFrame:
     read = raw.select(
         *place,
         name.alias("file_name"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.from_json("value", f"{PAYLOAD}, _corrupt_record string").alias("_read"),
         F.regexp_count("value", F.lit(r'"series"\s*:')).alias("_payloads"),
     )
     whole = F.col("_read._corrupt_record").isNull() & F.col("_read.series").isNotNull() & (F.col("_payloads") == 1)
     return read.select(
-        "series_id", ZONE, "chunk_ms", "file_name", F.col("_read.series").alias("series"),
+        "series_id", ZONE, "chunk_ms", "file_name", "file_path", F.col("_read.series").alias("series"),
         F.coalesce(whole, F.lit(False)).alias("readable"),
     )
 
 
-def read_chunks(spark: SparkSession, path: str, *, partitioned: bool = False) -> DataFrame:
-    """One row per readable chunk: series_id, zone, chunk_ms and the payload array."""
-    return _files(spark, path, partitioned).filter("readable").select("series_id", ZONE, "chunk_ms", "series")
+def read_chunks(
+    spark: SparkSession, path: str, *, partitioned: bool = False, only: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per readable chunk: series_id, zone, chunk_ms, file_path and the payload array."""
+    return _files(spark, path, partitioned, only).filter("readable").select("series_id", ZONE, "chunk_ms", "file_path", "series")
 
 
 def scan_rejects(
@@ -89,8 +92,10 @@ def scan_chunks(
     *,
     partitioned: bool = False,
     ids: Mapping[str, int] = SERIES_IDS,
+    only: Sequence[str] | None = None,
+    with_file: bool = False,
 ) -> DataFrame:
-    """Points in long form: zone, series, utc_timestamp, value.
+    """Points in long form: zone, series, utc_timestamp, value, chunk_ms, and file_path if asked for.
 
     Chunks that start more than a week before the window, or after it, are
     skipped. Points outside the window (ends included), null values and incomplete
@@ -98,20 +103,21 @@ def scan_chunks(
     """
     start_ms, end_ms = window_millis(start_date, end_date)
     chunks = (
-        read_chunks(spark, path, partitioned=partitioned)
+        read_chunks(spark, path, partitioned=partitioned, only=only)
         .filter(F.col("chunk_ms").between(start_ms - WEEK_MS, end_ms))
         .withColumnRenamed("series", "_points")
     )
-    points = chunks.select("series_id", ZONE, "chunk_ms", F.explode("_points").alias("_p")).select(
+    points = chunks.select("series_id", ZONE, "chunk_ms", "file_path", F.explode("_points").alias("_p")).select(
         "series_id",
         ZONE,
         "chunk_ms",
+        "file_path",
         F.get("_p", 0).cast("bigint").alias("_ms"),
         F.nanvl(F.get("_p", 1), F.lit(None).cast("double")).alias("value"),
     )
     kept = points.filter(F.col("_ms").between(start_ms, end_ms) & F.col("value").isNotNull())
     return kept.join(series_registry(spark, ids), "series_id").select(
-        ZONE, "series", F.timestamp_millis("_ms").cast("timestamp_ntz").alias(TS), "value", "chunk_ms"
+        ZONE, "series", F.timestamp_millis("_ms").cast("timestamp_ntz").alias(TS), "value", "chunk_ms", *(["file_path"] if with_file else [])
     )
 
 

@@ -7,7 +7,7 @@ for prices and load), which name the series and let unwanted kinds be skipped.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,9 +41,9 @@ def _step_minutes(resolution: str) -> Column:
     return minutes
 
 
-def _read(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, row_tag: str, schema: str, only: Sequence[str] | None = None) -> DataFrame:
     reader = spark.read.schema(schema).option("rowTag", row_tag).option("ignoreNamespace", True)
-    return reader.option("basePath", path).format("xml").load(path)
+    return reader.option("basePath", path).format("xml").load(path if only is None else list(only))
 
 
 def scan_documents(
@@ -52,23 +52,27 @@ def scan_documents(
     *,
     first_period_only: bool = False,
     types: Mapping[tuple[str, str], str] = DOCUMENT_TYPES,
+    only: Sequence[str] | None = None,
+    with_file: bool = False,
 ) -> DataFrame:
-    """Points in long form: zone, series, utc_timestamp, value, chunk_no.
+    """Points in long form: zone, series, utc_timestamp, value, chunk_no, and file_path if asked for.
 
     A point lies (position − 1) steps after its period's start; a missing
     position means the first. The value is the price, else the quantity; points
     with neither go. ``chunk_no`` numbers documents by file name for
-    keep-first deduplication.
+    keep-first deduplication. ``only`` names the files below ``path`` that are read.
     """
-    series = _read(spark, path, "TimeSeries", TIME_SERIES)
+    series = _read(spark, path, "TimeSeries", TIME_SERIES, only)
     periods = F.slice("Period", 1, 1) if first_period_only else F.col("Period")
     flat = series.select(
-        "doc_type", "psr_type", ZONE, F.col("_metadata.file_name").alias("chunk_no"), F.explode(periods).alias("_p")
+        "doc_type", "psr_type", ZONE, F.col("_metadata.file_name").alias("chunk_no"),
+        F.col("_metadata.file_path").alias("file_path"), F.explode(periods).alias("_p")
     ).select(
         "doc_type",
         "psr_type",
         ZONE,
         "chunk_no",
+        "file_path",
         F.try_to_timestamp(F.col("_p.timeInterval.start"), F.lit(START_FORMAT)).cast("timestamp_ntz").alias("_start"),
         F.col("_p.resolution").alias("_resolution"),
         F.explode("_p.Point").alias("_point"),
@@ -79,7 +83,7 @@ def scan_documents(
     at = F.col("_start") + F.make_dt_interval(mins=steps * _step_minutes("_resolution"))
     return (
         usable.join(document_registry(spark, types), ["doc_type", "psr_type"])
-        .select(ZONE, "series", at.alias(TS), value.alias("value"), "chunk_no")
+        .select(ZONE, "series", at.alias(TS), value.alias("value"), "chunk_no", *(["file_path"] if with_file else []))
         .filter(F.col("value").isNotNull())
     )
 
