@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import BOUNDS_C, COLUMNS, market_dense, market_sparse, points_long, with_views
 from checks.registry import query
 from wattline.operators import quality, rules
+from wattline.operators.quality_state import quality_state, tables_from_state, updated
 from wattline.operators.rules import Rule
 from wattline.session import settle
 from wattline.sources.tables import report_json
@@ -434,3 +435,69 @@ def quality_report(spark, sf_dir):
         F.size("r.issues").cast("bigint").alias("n_issues"),
         F.col("r.verdict")[0]["passed"].alias("passed"),
     )
+
+
+# State ------------------------------------------------------------------------
+
+
+def _long(table: str, column: str, metrics: dict[str, str], source: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT zone, '{table}' AS \"table\", {column} AS \"column\", '{metric}' AS metric, round({value}, 5) AS value FROM {source}"
+        for metric, value in metrics.items())
+
+
+_SINCE = "epoch({})::double"
+_PER_COLUMN = _per_column(
+    """SELECT zone, '{c}' AS "column", (count(*) - count({c}))::double AS missing_count, (count(*) - count({c})) / count(*) AS missing_fraction,
+      count(*) FILTER ({c} < {lo})::double AS below_count, count(*) FILTER ({c} > {hi})::double AS above_count, min({c}) AS "min", max({c}) AS "max",
+      quantile_cont({c}, 0.01) AS p01, quantile_cont({c}, 0.99) AS p99, avg({c}) AS mean, stddev_samp({c}) AS std FROM market_sparse GROUP BY 1""")
+_FROM_STATE = "\nUNION ALL\n".join([
+    _long("overview", "NULL", {"n_rows": "count(*)::double", "expected_hourly_rows": f"{_EXPECTED}::double"},
+          "market_sparse GROUP BY zone"),
+    _long("overview", "NULL", {"start": _SINCE.format("min(utc_timestamp)"), "end": _SINCE.format("max(utc_timestamp)")}, "market_sparse GROUP BY zone"),
+    _long("column", '"column"', {m: f'"{m}"' for m in (
+        "missing_count", "missing_fraction", "below_count", "above_count", "min", "max", "p01", "p99", "mean", "std")}, "per_column"),
+    _long("timestamps", "NULL", {"gap_count": "count(g.utc_timestamp)::double"},
+          "(SELECT DISTINCT zone FROM market_sparse) z LEFT JOIN gaps g USING (zone) GROUP BY zone"),
+    """SELECT zone, 'gap_examples', NULL, example_no::varchar, epoch(utc_timestamp)::double FROM (
+      SELECT zone, row_number() OVER (PARTITION BY zone ORDER BY utc_timestamp) AS example_no, utc_timestamp FROM gaps) WHERE example_no <= 5""",
+    """SELECT zone, 'monthly_coverage', "column", cast(last_day(utc_timestamp) AS varchar), round(avg((value IS NOT NULL)::int), 5) FROM (
+      """ + _per_column("SELECT zone, utc_timestamp, '{c}' AS \"column\", {c} AS value FROM market_sparse") + ") GROUP BY 1, 3, 4",
+    _long("verdict", "NULL", {"n_issues": "count(i.zone)::double"},
+          "(SELECT DISTINCT zone FROM market_sparse) z LEFT JOIN issues i USING (zone) GROUP BY zone"),
+])
+
+
+@query("qa_from_state", with_views(_FROM_STATE, "market_sparse", steps=f"{_ISSUES.strip()},\nper_column AS ({_PER_COLUMN})"))
+def qa_from_state(spark, sf_dir):
+    """All tables of the quality report in long form, from one stored state that was made in two steps."""
+    market = _market(spark, sf_dir)
+    zones = F.col("zone").isin("Z0", "Z1")
+    state = settle(spark, quality_state(market.filter(zones), COLUMNS), "quality-state")
+    state = settle(spark, updated(state, quality_state(market.filter(~zones), COLUMNS)), "quality-state")
+    tables = tables_from_state(state, COLUMNS, bounds=BOUNDS_C)
+    since = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).cast("double")
+    nothing = F.lit(None).cast("string")
+
+    def long(table, frame, column, **metrics):
+        cells = [F.struct(F.lit(m).alias("metric"), F.round(v.cast("double"), 5).alias("value")) for m, v in metrics.items()]
+        return frame.select("zone", F.lit(table).alias("table"), column.alias("column"), F.inline(F.array(*cells)))
+
+    named = lambda *names: {n: F.col(n) for n in names}
+    by_month = tables["monthly_coverage"]
+    gaps = tables["gap_examples"]
+    parts = [
+        long("overview", tables["overview"], nothing, **named("n_rows", "expected_hourly_rows"), start=since("start"), end=since("end")),
+        long("column", tables["missing"], F.col("column"), **named("missing_count", "missing_fraction")),
+        long("column", tables["outliers"], F.col("column"), **named("below_count", "above_count")),
+        long("column", tables["range_stats"], F.col("column"), **named("min", "max", "p01", "p99")),
+        long("column", tables["profile"], F.col("column"), **named("mean", "std")),
+        long("timestamps", tables["timestamps"], nothing, **named("gap_count")),
+        gaps.select("zone", F.lit("gap_examples").alias("table"), nothing.alias("column"), F.col("example_no").cast("string").alias("metric"), since("utc_timestamp").alias("value")),
+        by_month.select("zone", F.lit("monthly_coverage").alias("table"), "column", F.col("month_end").cast("string").alias("metric"), F.round("coverage", 5).alias("value")),
+        long("verdict", tables["verdict"], nothing, **named("n_issues")),
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union

@@ -15,6 +15,7 @@ from checks.registry import query
 from wattline.operators import delivery, features, rules, validation
 from wattline.operators.rules import Rule
 from wattline.operators.shaping import hour_spine
+from wattline.plans import clustered
 from wattline.session import settle
 
 #: What an hour without events has, in cents, by zone number and hour of the month.
@@ -103,3 +104,10 @@ _RULES_SQL = _union([
 def rule_results_users(spark, sf_dir):
     results = rules.run_rules(market_users(spark, sf_dir), [r for r, _ in _RULES])
     return results.select("zone", "name", "violations")
+
+
+@query("feature_matrix_clustered", with_views(_matrix_sql("filled"), steps=f"{_USERS},\n{_filled('market_users', -50000, 300000)}"))
+def feature_matrix_clustered(spark, sf_dir):
+    """The feature matrix from a table that is stored in blocks by zone and time, without an exchange."""
+    name = clustered.store(market_users(spark, sf_dir), look_back=SPEC.look_back(), buckets=16)
+    return _shown(features.matrix_of(clustered.load(spark, name), SPEC), ["price_c", *_MATRIX])

@@ -57,6 +57,7 @@ class JobConfig:  # fixed values: the defaults, and the environment names below
     force_refetch: bool = False
     gbt_iterations: int = 800
     gbt_depth: int = 6
+    learner: str = "depthwise"  # or "leafwise"
     parallel_fits: int = 4
     rules_last_n: int | None = None
     lag_mode: str = "row"

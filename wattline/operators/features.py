@@ -155,9 +155,16 @@ def feature_matrix(
     """
     present = spec.present(df)
     laid = lay_out(df.select(*keys, ts, spec.price, *present), spec, ts=ts, keys=keys, lag_mode=lag_mode, block_steps=block_steps)
-    laid = neighbour_features(laid, spec, fill=fill)
+    return matrix_of(laid, spec, ts=ts, tz=tz, fill=fill)
+
+
+def matrix_of(
+    laid: BlockedSeries, spec: FeatureSpec = FeatureSpec(), *, ts: str = TS, tz: str = MARKET_TZ, fill: bool = True
+) -> DataFrame:
+    """As :func:`feature_matrix`, from rows that are laid out in blocks."""
+    keys = laid.keys
     # Calendar fields need no neighbours, so they are added to surviving rows only.
-    neighbours = laid.own_rows()
+    neighbours = neighbour_features(laid, spec, fill=fill).own_rows()
     inputs = feature_columns(neighbours.columns, spec, keys, ts)
     complete = complete_cases(neighbours.select(*keys, ts, spec.price, *inputs), [spec.price, *inputs])
     dated = calendar_features(complete, ts=ts, tz=tz)

@@ -25,10 +25,14 @@ def _hours_between(first: str, last: str) -> Column:
 
 def overview(df: DataFrame, columns: Sequence[str], *, ts: str = TS, zone: str = ZONE) -> DataFrame:
     """Row and column counts, covered period and the rows a full grid would have."""
+    spans = df.groupBy(zone).agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("start"), F.max(ts).alias("end"))
+    return overview_of(spans, columns)
+
+
+def overview_of(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``spans`` (zone, n_rows, start, end) as an overview."""
     return (
-        df.groupBy(zone)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("start"), F.max(ts).alias("end"))
-        .withColumn("n_cols", F.lit(len(columns)).cast("bigint"))
+        spans.withColumn("n_cols", F.lit(len(columns)).cast("bigint"))
         .withColumn("columns", F.lit(",".join(columns)))
         .withColumn("expected_hourly_rows", _hours_between("start", "end") + 1)
     )
@@ -127,9 +131,13 @@ def timestamp_stats(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFra
     The hourly grid starts at the first timestamp, so the hours on it share that
     timestamp's offset within the hour.
     """
+    return timestamp_stats_of(_repeats(df, ts, zone), ts, zone)
+
+
+def timestamp_stats_of(repeats: DataFrame, ts: str = TS, zone: str = ZONE) -> DataFrame:
+    """As :func:`timestamp_stats`, from one row per timestamp with ``_extra`` repetitions."""
     by_offset = (
-        _repeats(df, ts, zone)
-        .groupBy(zone, F.pmod(micros(ts), F.lit(HOUR_MICROS)).alias("_offset"))
+        repeats.groupBy(zone, F.pmod(micros(ts), F.lit(HOUR_MICROS)).alias("_offset"))
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.sum("_extra").alias("_extra"),
@@ -161,8 +169,12 @@ def gap_counts(df: DataFrame, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
 
 def duplicate_examples(df: DataFrame, n: int = EXAMPLES, *, ts: str = TS, zone: str = ZONE) -> DataFrame:
     """The first ``n`` repeated rows; a timestamp shows once per extra row."""
+    return duplicate_examples_of(_repeats(df, ts, zone), n, ts, zone)
+
+
+def duplicate_examples_of(repeats: DataFrame, n: int = EXAMPLES, ts: str = TS, zone: str = ZONE) -> DataFrame:
     shown = F.sequence(F.lit(1), F.least(F.col("_extra"), F.lit(n)).cast("int"))
-    repeated = _repeats(df, ts, zone).filter(F.col("_extra") > 0)
+    repeated = repeats.filter(F.col("_extra") > 0)
     return _first(repeated.select(zone, ts, F.explode(shown).alias("_copy")), n, [ts, "_copy"], zone).select(
         zone, "example_no", ts
     )
@@ -193,6 +205,11 @@ def monthly_coverage(df: DataFrame, columns: Sequence[str], *, ts: str = TS, zon
     by_month = df.groupBy(zone, F.last_day(ts).alias("month_end")).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in columns]
     )
+    return coverage_of(by_month, columns, zone)
+
+
+def coverage_of(by_month: DataFrame, columns: Sequence[str], zone: str = ZONE) -> DataFrame:
+    """As :func:`monthly_coverage`, from the number of rows (``_rows``) and of values of each month that has rows."""
     # Months without rows are generated up to the next month that has some; a
     # zone has few months, and the data are scanned once.
     start = F.trunc("month_end", "month")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattline.config import HOUR_MICROS, MARKET_TZ, PRICE, TS, ZONE
 from wattline.functions.calendar import local_time, utc_floor
 from wattline.functions.numbers import pinball
-from wattline.plans.blocks import BLOCK_STEPS, block_series
+from wattline.plans.blocks import BLOCK_STEPS, BlockedSeries, block_series
 from wattline.plans.sizes import small_side
 
 SEASON_STEPS = 168
@@ -45,6 +45,13 @@ def seasonal_naive(
     laid = block_series(
         df, keys, ts, look_back=season, mode="time", step_micros=step_micros, block_steps=block_steps
     )
+    return naive_of(laid, target=target, season=season, train_only=train_only, name=name)
+
+
+def naive_of(
+    laid: BlockedSeries, *, target: str = PRICE, season: int = SEASON_STEPS, train_only: bool = False, name: str = "y_naive"
+) -> DataFrame:
+    """As :func:`seasonal_naive`, from rows that are laid out in time blocks."""
     source = F.when(F.col("part") == "train", F.col(target)) if train_only else F.col(target)
     return laid.with_columns({name: laid.lag(source, season)}).own_rows()
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattline.config import DOMAIN_BOUNDS, FUNDAMENTALS, PRICE, TS, ZONE, JobConfig
 from wattline.operators import cleaning, delivery, features, quality, reports, rules, signal, validation
+from wattline.operators.leafwise import LeafwiseSettings
 from wattline.operators.learners import GbtSettings, PriceForecaster, month_of, walk_forward
 from wattline.operators.shaping import tail_rows
 from wattline.session import prepare_session, settle
@@ -103,7 +104,10 @@ def run(
         recent.select(ZONE, TS, PRICE, "part"), target=PRICE, train_only=True
     ).filter(F.col("part") == "test")
 
-    gbt = GbtSettings(iterations=config.gbt_iterations, depth=config.gbt_depth, seed=config.random_seed)
+    if config.learner == "leafwise":
+        gbt = LeafwiseSettings(iterations=config.gbt_iterations, seed=config.random_seed)
+    else:
+        gbt = GbtSettings(iterations=config.gbt_iterations, depth=config.gbt_depth, seed=config.random_seed)
     forecaster = PriceForecaster(tuple(inputs), learner=gbt.estimator)
     folds = settle(
         spark,

@@ -27,6 +27,11 @@ def value_places(rows: DataFrame, keys: Sequence[str], value: str, position: str
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_first"), F.max(position).alias("_last"))
     )
+    return placed_values(distinct, keys, value, ranges)
+
+
+def placed_values(distinct: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """``distinct`` (one row per different value, held by ``_n`` rows) with ``_less`` and ``_kinds``; see :func:`value_places`."""
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = small_side(distinct.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, cuts, 4 * ranges)).alias("_bounds")))
     # Binary search: the number of bounds up to the value, built from falling powers of two.
