@@ -182,3 +182,12 @@ def test_blocks_that_look_ahead(spark):
         for i, r in enumerate(done):
             assert r["before"] == (i - 3 if i >= 3 else None) and r["after"] == (i + 2 if i < 48 else None)
             assert r["mean"] == np.mean(range(max(i - 3, 0), min(i + 3, 50)))
+
+
+def test_exact_percentiles_of_sql_rules_hold_no_zone_in_a_buffer(hourly, series):
+    frame = hourly(pd.DataFrame({"p": series}))
+    texts = ["percentile(s, 0.99) < 290", "percentile(s, 0.5) > avg(s) - 20", "s <= percentile(s, 0.9)"]
+    got = rules.run_rules(frame, [Rule(t, "p", t) for t in texts])
+    s = series.dropna()
+    want = [0 if s.quantile(0.99) < 290 else len(s), 0 if s.median() > s.mean() - 20 else len(s), int((s > s.quantile(0.9)).sum())]
+    assert {r["name"]: (r["violations"], r["error"]) for r in got.collect()} == {t: (w, None) for t, w in zip(texts, want)}

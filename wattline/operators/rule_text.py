@@ -45,6 +45,21 @@ def checked(expression: str | None) -> str:
     return text
 
 
+_PERCENTILE = re.compile(r"\bpercentile\s*\(\s*s\s*,\s*(0?\.\d+|[01](?:\.\d*)?)\s*\)", re.IGNORECASE)
+#: SQL aggregates of ``s`` and their names in series notation.
+_AGGREGATES = {"avg": "mean", "mean": "mean", "min": "min", "max": "max", "sum": "sum", "count": "count", "stddev": "std", "variance": "var"}
+
+
+def as_series(text: str) -> str:
+    """A predicate with exact percentiles in series notation, whose quantiles hold no zone in one buffer; others as they are."""
+    if not _PERCENTILE.search(_TEXTS.sub("''", text)):
+        return text
+    text = _PERCENTILE.sub(r"s.quantile(\1)", text)
+    for name, method in _AGGREGATES.items():
+        text = re.sub(rf"\b{name}\s*\(\s*s\s*\)", f"s.{method}()", text, flags=re.IGNORECASE)
+    return text
+
+
 def _from_series(text: str) -> str:
     try:
         tree = ast.parse(text, mode="eval").body

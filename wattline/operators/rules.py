@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType
 
 from wattline.config import TS, ZONE
-from wattline.operators.rule_text import checked
+from wattline.operators.rule_text import as_series, checked
 from wattline.operators.series_rules import series_counts
 from wattline.operators.series_text import Program
 from wattline.plans.blocks import BLOCK_STEPS, block_series
@@ -170,15 +170,16 @@ def run_rules(
             unusable.append((number, "skipped", f"the table has no column {rule.column!r}"))
             continue
         numeric = isinstance(df.schema[column].dataType, NumericType)
+        rewritten = as_series(rule.expression) if numeric and rule.expression else rule.expression
         try:
             # Division and remainders mean the same in both notations, but not what they give for zero.
-            if numeric and rule.expression and _DIVISION.search(rule.expression):
-                raise ValueError("division")
+            if numeric and rule.expression and (_DIVISION.search(rule.expression) or rewritten != rule.expression):
+                raise ValueError("series notation")
             read = replace(rule, expression=checked(rule.expression) if not _template(rule) else rule.expression.strip())
             template = _template(read)
         except ValueError:
             try:
-                found = program.read(rule.expression, column) if numeric else None
+                found = program.read(rewritten, column) if numeric else None
             except ValueError as refused:
                 found, error = None, str(refused)
             else:
