@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -27,6 +29,16 @@ def slices(batch: pa.RecordBatch, text_index: int, limit: int = TEXT_BYTES) -> I
         yield batch.slice(first)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system, as workers are reused by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library that has no such call
+        pass
+
+
 def map_batches(
     rows: DataFrame,
     work: Callable[[pa.RecordBatch], Sequence[pa.Array | list] | None],
@@ -50,5 +62,6 @@ def map_batches(
                         ],
                         schema=arrow,
                     )
+        give_back()
 
     return rows.mapInArrow(run, wanted)

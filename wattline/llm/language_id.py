@@ -74,7 +74,7 @@ class Model:
         return np.where(self.rare_keys[at] == key, self.rare_moves[at], -1)
 
 
-def sample_rows(docs: DataFrame, rows_per_language: int, most_chars: int, salts: int = 64) -> DataFrame:
+def sample_rows(docs: DataFrame, rows_per_language: int, most_chars: int, salts: int = 8) -> DataFrame:
     """At most ``rows_per_language`` whole texts of each language: those of at most ``most_chars`` characters with the smallest hashes,
     then the shortest of the longer ones.
 
