@@ -64,6 +64,10 @@ def pairs_apart(prefixes: DataFrame, allowed: str, needed: str = "1") -> DataFra
     )
 
 
+#: Nodes of a key that are all compared with each other.
+SMALL = 6
+
+
 def linked_components(
     shared: DataFrame,
     alike: str,
@@ -72,21 +76,21 @@ def linked_components(
 ) -> DataFrame:
     """node, component for every node that is linked with another; component is the smallest node it reaches.
 
-    ``shared`` holds (key, node, n) of the keys that several nodes have. ``alike`` is a condition on the
+    Keys of at most ``SMALL`` nodes are compared in all pairs, a bounded number for each node. ``shared`` holds (key, node, n) of the keys that several nodes have. ``alike`` is a condition on the
     sizes ``n`` and ``other_n`` that every link meets, and ``verify`` returns those of the pairs
     (a, b), a < b, that are links.
 
     First every key's nodes are compared with the smallest of them. For the keys whose nodes are not yet in
-    one component, ``apart`` gets (leader, node, component, n) of these nodes, with their key's smallest node as leader, and
+    one component, ``apart`` gets (leader, node, component, n) of these nodes, with one leader for the nodes of a key, and
     returns the links between different components of a leader's nodes. Every pair that shares a key is thus compared, known to be
     connected or excluded, and a key with thousands of nodes costs about one comparison for each.
     """
     spark = shared.sparkSession
-    leaders = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
+    leaders = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("many"))
     led = settle(
         spark,
         shared.join(leaders, "key").select(
-            "key", "node", "n", F.col("first.node").alias("leader"), F.col("first.n").alias("other_n")
+            "key", "node", "n", "many", F.col("first.node").alias("leader"), F.col("first.n").alias("other_n")
         ),
         "shared",
     )
@@ -96,9 +100,16 @@ def linked_components(
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = verify(stars)
+    few = led.where((F.col("many") > 2) & (F.col("many") <= SMALL) & (F.col("node") != F.col("leader"))).select("key", "node", "n")
+    pairs = (
+        few.join(few.toDF("key", "other", "other_n"), "key")
+        .where("node < other")
+        .where(alike)
+        .select(F.col("node").alias("a"), F.col("other").alias("b"))
+    )
+    links = verify(stars.union(pairs).distinct())
     labels = components(links)
-    labelled = led.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = led.where(F.col("many") > SMALL).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = settle(spark, labelled.select("key", "node", "n", "leader", "component"), "labelled")
     open_keys = (
         labelled.groupBy("key")
@@ -106,11 +117,16 @@ def linked_components(
         .where("low != high")
         .select("key")
     )
+    # Keys of one family get one leader, the smallest that a node of the key has under any key: nodes then
+    # belong to few groups, and the nodes of a key to one.
+    open_rows = settle(spark, labelled.join(open_keys, "key", "left_semi"), "open-keys")
+    families = open_rows.groupBy("node").agg(F.min("leader").alias("family"))
+    groups = open_rows.join(families, "node").groupBy("key").agg(F.min("family").alias("group"))
     rest = settle(
         spark,
-        labelled.join(open_keys, "key", "left_semi")
-        .where("node != leader")
-        .select("leader", "node", "component", "n")
+        open_rows.where("node != leader")
+        .join(groups, "key")
+        .select(F.col("group").alias("leader"), "node", "component", "n")
         .distinct(),
         "open",
     )
