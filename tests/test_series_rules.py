@@ -59,7 +59,7 @@ def wanted(text, s):
     return int((~mask).sum())
 
 
-@pytest.mark.parametrize("block", [720, 7, 1])
+@pytest.mark.parametrize("block", [720, 7])
 def test_forms_against_pandas(hourly, series, block):
     forms = FORMS if block == 720 else [f for f in FORMS if "rolling(" in f or "cum" in f or "ewm" in f or "shift" in f]
     with np.errstate(all="ignore"):
