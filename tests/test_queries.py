@@ -7,6 +7,8 @@ from checks import catalog
 from checks.compare import compare, connect
 
 SF = "/root/testdata/sf0.01"
+#: Queries whose tables grow with the users; the driver and ``checks.compare`` run them at sf0.01.
+SMALL, GROWING = "/root/testdata/sf0.001", ("_users", "_clustered")
 ORACLE = catalog.ORACLE
 ROWS_ONLY = {"gbt_forecast", "feature_importance"}
 
@@ -23,6 +25,9 @@ def test_every_query_has_sql_but_the_listed_ones():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, name):
+    if name.endswith(GROWING):
+        assert compare(entry.queries()[name](spark, SMALL), connect(SMALL), ORACLE[name]) is None
+        return
     assert compare(entry.queries()[name](spark, SF), con, ORACLE[name]) is None
 
 
