@@ -69,6 +69,28 @@ def test_copies_around_an_original_that_are_too_far_apart(docs):
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == by_hand(rows)
 
 
+def test_a_large_group_around_a_lost_original_is_not_compared_in_pairs(docs, monkeypatch):
+    """Most copies are reached through those that differ least from what all have in common."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in r.sample(range(150), 3 if i < 225 else 1):  # the ones that link all others have the largest ids
+            words[at] = f"w{r.randrange(150)}"
+        rows.append((i, " ".join(words)))
+    found, verified = [], near_dedup._verified
+
+    def counting(sets, pairs):
+        found.append(pairs.count())
+        return verified(sets, pairs)
+
+    monkeypatch.setattr(near_dedup, "_verified", counting)
+    got = collected(near_dedup.near_duplicates(docs(rows)))
+    assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == by_hand(rows)
+    assert len({x.component_id for x in got.values()}) < 5 and sum(found[1:]) < 12 * len(rows)
+
+
 def test_nulls_repeats_long_and_empty(docs):
     long = " ".join(f"a{i}" for i in range(60_000))
     rows = [(3, long), (4, long + " b"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, "a b c d e f")]

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wattline.llm.graphs import components
 from wattline.session import settle
 
 
-def prefix_pairs(elements: DataFrame, early: str, allowed: str) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share an early element.
+#: Nodes of an element that the others are compared with in each round, before all that are still apart.
+HUBS = (4, 16)
+
+
+def prefixes_of(elements: DataFrame, early: str) -> DataFrame:
+    """element, node, component, n, at: the early elements of all nodes, of those that several nodes have.
 
     ``elements`` holds (node, component, n, element), each element once for a node. With the elements
     of all nodes in one order, rarest first, the first common element of a link stands early in both:
-    ``early`` says how early by n, place ``at`` and ``smallest``, the least n of the element's nodes, and ``allowed`` what a pair
-    meets (n, at, other_n, other_at). Nodes around a common original differ from it by rare elements, which come
-    first: a node too far from the original has no frequent element so early, and meets only those that share its
-    own changes. The component that has an element most often is not compared with itself.
+    ``early`` says how early by n, place ``at`` and ``smallest``, the least n of the element's nodes. Nodes around a common original
+    differ from it by rare elements, which come first: a node too far from the original has no frequent element so early, and meets
+    only those that share its own changes.
     """
     often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"), F.min("n").alias("smallest"))
     ordered = (
@@ -28,12 +31,55 @@ def prefix_pairs(elements: DataFrame, early: str, allowed: str) -> DataFrame:
         .select("node", "component", "n", F.posexplode("elements").alias("at", "e"))
         .select("node", "component", "n", "at", "e.*")
     )
-    prefixes = settle(
+    return settle(
         elements.sparkSession,
         ordered.where("often > 1").where(early).select("element", "node", "component", "n", "at"),
         "prefixes",
     )
-    return pairs_apart(prefixes, allowed)
+
+
+def joined_components(
+    prefixes: DataFrame, allowed: str, verify: Callable[[DataFrame], DataFrame], order: tuple[str, ...], hubs: tuple[int, ...] = HUBS
+) -> DataFrame:
+    """node, component of the components of ``prefixes`` that links join: each component with the smallest it reaches.
+
+    Each round compares the nodes of an element with a few of them, the first by ``order``, unless their components are one
+    by then; the last compares all that are still apart (``pairs_apart``). So a group around one original, most of which some of its members
+    reach, costs a few comparisons for each node, and only nodes that no hub reaches meet all others.
+    """
+    spark = prefixes.sparkSession
+    labels = settle(spark, prefixes.select("node", "component").distinct(), "prefix-nodes")
+    edges = joined = None
+    for count in (*hubs, None):
+        now = prefixes
+        if joined is not None:
+            now = prefixes.join(joined.toDF("component", "joined"), "component", "left")
+            now = now.withColumn("component", F.coalesce("joined", "component")).drop("joined")
+            now = settle(spark, now.select(*prefixes.columns), "relabelled")
+        pairs = _hub_pairs(now, allowed, order, count) if count else pairs_apart(now, allowed)
+        links = verify(settle(spark, pairs, "pairs"))
+        if joined is not None and not links.limit(1).count():
+            continue
+        ends = links.join(labels.toDF("a", "from"), "a").join(labels.toDF("b", "to"), "b")
+        more = ends.select(F.col("from").alias("a"), F.col("to").alias("b")).where("a != b").distinct()
+        edges = more if edges is None else edges.union(more)
+        joined = components(edges)
+    return joined
+
+
+def _hub_pairs(prefixes: DataFrame, allowed: str, order: tuple[str, ...], count: int) -> DataFrame:
+    """Pairs (a, b) of each element's nodes with its first ``count`` by ``order``, of different components."""
+    first = Window.partitionBy("element").orderBy(*order, "node")
+    split = prefixes.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    hubs = (
+        prefixes.join(split.select("element"), "element", "left_semi")
+        .withColumn("place", F.row_number().over(first))
+        .where(F.col("place") <= count)
+        .drop("place")
+    )
+    others = hubs.toDF(*["element" if c == "element" else f"other_{c}" for c in hubs.columns])
+    pairs = prefixes.join(others, "element").where("component != other_component").where(allowed)
+    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
 def pairs_apart(prefixes: DataFrame, allowed: str, needed: str = "1") -> DataFrame:

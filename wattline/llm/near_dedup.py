@@ -11,7 +11,8 @@ Bands of ``rows`` coordinates are the candidate keys: a pair at 0.75 shares none
 of 4 with probability 5e-6, a pair at 0.8 with 5e-8. Documents with equal sets are one class.
 A key's classes are first compared with the smallest of them only; linked classes get the
 label of their component. Classes of keys that then still have several components are compared
-across components, where the prefixes of their sets allow a link. So a group of thousands of near copies
+across components, where the prefixes of their sets allow a link: first with a few classes that are nearest to what their
+group has in common, then, where components are still apart, with all. So a group of thousands of near copies
 costs a few comparisons per member, while every pair that shares a key is compared, known to be
 connected, or proven to be no link. Comparisons use the whole sets.
 """
@@ -28,7 +29,7 @@ from wattline.llm.batches import map_batches
 from wattline.llm.graphs import components
 from wattline.llm.hashing import mix64, shingles, word_hashes
 from wattline.llm.joins import by_ids
-from wattline.llm.linking import prefix_pairs
+from wattline.llm.linking import joined_components, prefixes_of
 from wattline.session import settle
 
 WIDTH, BANDS, ROWS = 5, 32, 4
@@ -114,17 +115,19 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(spark, counted.where("100 * common >= 75 * (total - common)").select("a", "b"), "links")
 
 
-def _apart(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes (class_id, component) in different components that can be links.
+def _joined(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components of ``rest`` (class_id, component) that links between them join, each with the smallest it reaches.
 
     A link of sets of n and m elements has at least 3 (n + m) / 7 in common, so as many stand in both
-    from the first common element on.
+    from the first common element on. Sets with few rare elements before a common one are near what their group has in common, and are
+    compared first.
     """
     elements = rest.join(sets, "class_id").select(
         F.col("class_id").alias("node"), "component", "n", F.explode("shingles").alias("element")
     )
     early = "28 * (n - at) >= 12 * n + 3 * greatest(4 * smallest, 3 * n)"
-    return prefix_pairs(elements, early, f"{ALIKE} and 7 * least(n - at, other_n - other_at) >= 3 * (n + other_n)")
+    allowed = f"{ALIKE} and 7 * least(n - at, other_n - other_at) >= 3 * (n + other_n)"
+    return joined_components(prefixes_of(elements, early), allowed, lambda pairs: _verified(sets, pairs), ("at",))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,10 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct(),
         "open",
     )
-    more = _verified(sets, settle(spark, _apart(rest, sets), "pairs"))
-    final = components(links.union(more)) if more.limit(1).count() else labels
-    joined = members.join(final.toDF("class_id", "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
+    further = _joined(rest, sets).toDF("early", "late")
+    linked = members.join(labels.toDF("class_id", "component"), "class_id", "left")
+    joined = linked.withColumn("early", F.coalesce("component", "class_id")).join(further, "early", "left")
+    component = F.coalesce("late", "early", "doc_id")
     found = joined.select(
         "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
     )
