@@ -16,11 +16,13 @@ from wattline.session import prepare_session, scratch_path
 
 #: Languages that stay; None for every language that the tables teach.
 WANTED: tuple[str, ...] | None = None
+#: Share of the bits of the second-best language that the best must save; below it the language of a text is not known.
+LEAST_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted language is not in ``WANTED`` go, and those without a letter; a missing lang is filled in."""
-    return language_id.known_language(docs, wanted=WANTED)
+    """Documents whose predicted language is not in ``WANTED`` or not sure go, and those without a letter; a missing lang is filled in."""
+    return language_id.known_language(docs, wanted=WANTED, least_score=LEAST_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids, spans and decoded text of every row."""
-    return encoding.encoded_digests(docs, MODEL)
+    """Number of tokens and digests of ids, spans and decoded text of every row, and its language as the first stage left it."""
+    return encoding.encoded_digests(docs, MODEL, keep=["lang"])
 
 
 STAGES = [

@@ -61,3 +61,22 @@ def test_stages_keep_columns(spark):
 def test_language_stage_keeps_what_has_letters(docs, spark):
     frame = docs([(1, "ein Satz", "de"), (2, "42", "de"), (3, None, "en"), (4, "ok", None)], clash=False)
     assert sorted(r.doc_id for r in language_id.known_language(frame).collect()) == [1, 4]
+
+
+def test_prediction_reaches_the_end_of_the_pipeline(spark, tmp_path):
+    """A missing lang is predicted and returned, and a text between two languages goes, though its label names one."""
+    documents = table(spark, SMALL, "documents")
+    rows = documents.collect()
+    unnamed = next(r for r in rows if r.doc_id % 2 and r.lang == "de")
+    mixed = "Rethhand thntnd.\nThis work is licensed under the GNU General Public License, version 3 or later."
+    changed = [r.asDict() | ({"lang": None} if r.doc_id == unnamed.doc_id else {}) for r in rows]
+    changed.append({"doc_id": 10**6, "text": mixed, "lang": "en", "source": rows[0].source, "n_chars": len(mixed)})
+    frame = spark.createDataFrame(changed, documents.schema)
+    model = language_id.learn(frame.where(~language_id.held_out()))
+    (lang,), (score,) = language_id.decide(model, [mixed])
+    kept = corpus_pipeline.language(spark, frame, str(tmp_path))
+    assert (score < corpus_pipeline.LEAST_SCORE) == (kept.where("doc_id = 1000000").count() == 0)
+    one = corpus_pipeline.encoded(spark, kept.where(kept.doc_id == unnamed.doc_id), str(tmp_path)).collect()
+    assert [r.lang for r in one] == ["de"]
+    between = language_id.known_language(frame, model, least_score=score + 0.01).where("doc_id = 1000000")
+    assert between.count() == 0 and language_id.known_language(frame, model, least_score=score).where("doc_id = 1000000").count() == 1
