@@ -14,7 +14,7 @@ from checks.quality import _union
 from checks.registry import query
 from wattline.operators import delivery, features, rules, validation
 from wattline.operators.rules import Rule
-from wattline.operators.shaping import hour_spine
+from wattline.operators.shaping import missing_hours
 from wattline.plans import clustered
 from wattline.session import settle
 
@@ -28,17 +28,16 @@ def market_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     hourly = _hourly(points.filter("user_id is not null and utc_timestamp is not null"), ["user_id"])
     hours = hourly.agg(F.min("utc_timestamp").alias("first"), F.max("utc_timestamp").alias("last"))
-    users = hourly.select("user_id").distinct()
     # One row of two hours, so this is no cross join of tables.
     first, last = hours.first()
-    spine = hour_spine(users.withColumns({"first": F.lit(first), "last": F.lit(last)}), ["user_id"], "first", "last")
+    users = hourly.select("user_id").distinct().withColumns({"first": F.lit(first), "last": F.lit(last)})
+    rows = hourly.unionByName(missing_hours(users, hourly, ["user_id"], "first", "last"), allowMissingColumns=True)
     hour = F.unix_seconds(F.col("utc_timestamp").cast("timestamp")) / 3600
     filled = {}
     for c, (least, by_zone, by_hour, spread) in _BASE.items():
         made = least + F.pmod(F.col("user_id") * by_zone + F.floor(hour) * by_hour, F.lit(spread))
         filled[c] = F.coalesce(F.col(c), made.cast("double"))
-    joined = spine.join(hourly, ["user_id", "utc_timestamp"], "left").withColumns(filled)
-    rows = joined.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("zone"), "utc_timestamp", *COLUMNS)
+    rows = rows.withColumns(filled).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("zone"), "utc_timestamp", *COLUMNS)
     return settle(spark, rows, "market-users")
 
 

@@ -40,6 +40,33 @@ def hour_spine(bounds: DataFrame, keys: Sequence[str], first: str, last: str, ts
     )
 
 
+def missing_hours(
+    bounds: DataFrame, hourly: DataFrame, keys: Sequence[str], first: str, last: str, ts: str = TS
+) -> DataFrame:
+    """The hours of :func:`hour_spine` that ``hourly`` has no row for; keys are not null.
+
+    Spans of ``SPAN_HOURS`` hours meet the hours that their key has there, as two lists of bounded length, so the rows of the
+    grid are made where they are used and are neither shuffled nor sorted.
+    """
+    width = SPAN_HOURS * 3600
+    second = F.unix_seconds(F.col(ts).cast("timestamp"))
+    span = F.col("_span")
+    held = hourly.groupBy(*keys, (second - F.pmod(second, F.lit(width))).alias("_span")).agg(F.collect_set(second).alias("_held"))
+    low, high = (F.unix_seconds(F.col(c).cast("timestamp")) for c in (first, last))
+    # Spans lie on a fixed scale; the grid itself starts at ``first``.
+    spans = F.sequence(low - F.pmod(low, F.lit(width)), high, F.lit(width).cast("bigint"))
+    wanted = bounds.withColumns({"_low": low, "_high": high}).select(*keys, "_low", "_high", F.explode(spans).alias("_span"))
+    start = F.greatest(F.col("_low"), span + F.pmod(F.col("_low") - span, F.lit(3600)))
+    end = F.least(F.col("_high"), span + width - 1)
+    hours = F.when(start <= end, F.sequence(start, end, F.lit(3600).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    met = wanted.join(held, [*keys, "_span"], "left")
+    free = F.array_except(hours, F.coalesce("_held", F.array().cast("array<bigint>")))
+    kind = dict(hourly.dtypes)[ts]
+    return met.select(*keys, F.explode(free).alias("_hour")).select(
+        *keys, F.timestamp_seconds("_hour").cast(kind).alias(ts)
+    )
+
+
 def resample_hourly(
     points: DataFrame,
     *,

@@ -17,6 +17,9 @@ from wattline.config import HOUR_MICROS, TS, ZONE
 from wattline.plans.blocks import _BLOCK, _POS, BLOCK_STEPS, BlockedSeries, block_series
 from wattline.session import scratch_path
 
+#: Rows of a bucket, without halos, from which on there are more buckets; and what Spark allows of them.
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 100_000
+
 
 def store(
     df: DataFrame,
@@ -32,12 +35,16 @@ def store(
 ) -> str:
     """Write ``df`` by time blocks with a halo of ``look_back`` steps, and return the name of the table.
 
+    It has ``buckets`` buckets at least, and more where one would hold over ``BUCKET_ROWS`` rows: a bucket is sorted and read by one
+    task. The rows of ``df`` are counted for this.
+
     ``path`` is a folder that all executors share (by default one below the checkpoint folder). A lag is exactly so many steps
     of time; see ``block_series`` for ``mode="time"``.
     """
     laid = block_series(df, keys, ts, look_back=look_back, mode="time", step_micros=step_micros, block_steps=block_steps)
     name = name or f"blocks_{uuid.uuid4().hex}"
     by = [*keys, _BLOCK]
+    buckets = min(max(buckets, -(-df.count() // BUCKET_ROWS)), MOST_BUCKETS)
     # One task writes a bucket, so that a bucket is one file.
     rows = laid.df.repartition(buckets, *by)
     writer = rows.write.bucketBy(buckets, *by).sortBy(*by, _POS).format("parquet")
