@@ -180,3 +180,60 @@ def test_many_lines_around_one_original_are_not_compared_in_pairs(docs, monkeypa
         assert sum(report[i].n_kept for i in ids) <= 1
         if len(ids) == 1:
             assert report[ids[0]].n_kept == 1
+
+
+def test_marks_of_linked_lines_are_near():
+    import numpy as np
+
+    r = random.Random(17)
+    for _ in range(400):
+        a = bytes(r.choice(b"abc \xc3\xa9") for _ in range(r.randrange(1, 60)))
+        b = edits(r, a, ld.DISTANCE, b"abcd")
+        odd = [int(x).bit_count() for x in (ld._marks(a) ^ ld._marks(b)).view(np.uint64)]
+        for size in range(1, ld.GRAM + 1):
+            assert sum(o for o, (of, _) in zip(odd, ld.MARKS) if of == size) <= 2 * size * ld.DISTANCE
+
+
+def test_small_changes_of_one_original(docs):
+    """Lines that differ from a missing original by one letter each are links, though what they change has nothing in common."""
+    r = random.Random(19)
+    base = "".join(r.choice("abcdefgh ") for _ in range(90)).replace("\n", " ")
+    rows = [(0, base + "xyz")] + [(i, base[:45] + "".join(r.choice("qrstuvwxyz") for _ in range(4 + i % 3)) + base[45:]) for i in range(1, 40)]
+    rows += [(100 + at, base[:at] + "#" + base[at + 1 :]) for at in (7, 24, 52, 77)]
+    rows += [(200 + at, base[:at] + base[at + 2 :]) for at in (12, 33, 60)]
+    wanted = by_hand(rows)
+    report = collected(ld.line_report(docs(rows)))
+    assert {i: r.n_kept for i, r in report.items()} == {i: len(lines) for i, lines in wanted.items()}
+    assert sum(len(lines) for lines in wanted.values()) < len(rows) - 2
+
+
+def test_words_grown_in_one_original_are_not_compared_in_pairs(docs, monkeypatch):
+    """Lines of one original, in each of which a word got four letters more: they share the ends of words, but are no links."""
+    r = random.Random(23)
+    words = ["".join(r.choice("abcdehimnorst") for _ in range(r.randrange(1, 4))) + r.choice(["the", "on", "ed", "in"]) for _ in range(80)]
+    rows = []
+    for i in range(900):
+        line = list(words)
+        at = r.randrange(len(line))
+        line[at] += "".join(chr(97 + r.randrange(26)) for _ in range(4))
+        rows.append((i, " ".join(line)))
+    compared = []
+    counted = ld.map_batches
+
+    def watched(frame, work, schema, *rest, **options):
+        if schema.startswith("a struct"):
+            compared.append(frame.count())
+        return counted(frame, work, schema, *rest, **options)
+
+    monkeypatch.setattr(ld, "map_batches", watched)
+    report = collected(ld.line_report(docs(rows, clash=False).repartition(8)))
+    assert sum(compared) < 12 * len(rows)  # of 400 000 pairs
+    lines = {text.encode(): i for i, text in reversed(rows)}
+    different = sorted(lines)
+    pairs = [(a, b) for x, a in enumerate(different) for b in different[x + 1 :]]
+    near = [pair for pair, ok in zip(pairs, ld.within_distance(pairs)) if ok]
+    root = {line: line for line in different}
+    for a, b in near:
+        old, new = root[a], root[b]
+        root = {line: new if top == old else top for line, top in root.items()}
+    assert sum(row.n_kept for row in report.values()) == len(set(root.values()))

@@ -9,7 +9,8 @@ Lines that meet under a key are verified by edit distance, in a band of 2 x ``DI
 rows held in one machine word, for thousands of pairs at a time: first every line with the smallest of its
 key. Lines of a key that are then still apart are described by the grams in which they differ from what is common to
 their group. Two edits change few grams, so linked lines agree in most of these differences, and only lines
-that share one of their rarest are compared: many lines made from one original, but not alike, hardly meet.
+that share one of their rarest, and whose bags of short grams are as near as two edits leave them, are compared: many
+lines made from one original, but not alike, hardly meet.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ DISTANCE = 2
 GRAM = 4
 #: Grams in which linked lines differ at most.
 APART = 2 * GRAM * DISTANCE
+#: Longs that hold the parities of a line's grams of 1, 2, ... ``GRAM`` bytes: as many as a gram has bytes.
+MARKS = [(size, word) for size in range(1, GRAM + 1) for word in range(size)]
 #: Lines of a group that its common grams are taken from.
 SAMPLE = 15
 #: Elements are counted in so many cells (a power of two), a table of 4 MB; the order need not be exact.
@@ -202,9 +205,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """node, content of the lines ``wanted`` (node): their documents are read again."""
-    spark = docs.sparkSession
-    ids = settle(spark, wanted.select(F.col("node.doc_id").alias("doc_id")).distinct(), "line-docs")
+    """node, content of the lines ``wanted`` (node), a stored table: their documents are read again."""
+    ids = wanted.select(F.col("node.doc_id").alias("doc_id"))
 
     def work(batch: pa.RecordBatch):
         rows, numbers, lines = _split(batch)
@@ -233,6 +235,34 @@ def _grams(line: bytes) -> np.ndarray:
     return np.unique((_gram_hashes(line) >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
+def _marks(line: bytes) -> np.ndarray:
+    """For each size of grams, in as many longs: in which cells the line's grams, repeated ones too, are odd in number.
+
+    An edit takes away and adds at most so many grams as a gram has bytes, and each turns one cell.
+    """
+    data = np.frombuffer(line, np.uint8).astype(np.uint64)
+    found = []
+    for size in range(1, GRAM + 1):
+        grams = np.zeros(max(0, len(line) - size + 1), np.uint64)
+        for k in range(size):
+            grams = grams * np.uint64(257) + data[k : k + len(grams)]
+        # Single bytes are their own cells, which keeps ASCII letters of one case apart.
+        cells = (grams if size == 1 else mix64(grams)) % np.uint64(64 * size)
+        odd = np.bincount(cells.astype(np.int64), minlength=64 * size) & 1
+        found.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+    return np.concatenate(found)
+
+
+def marks_alike() -> str:
+    """Condition on ``marks`` and ``other_marks`` that linked lines meet."""
+    found = []
+    for size in range(1, GRAM + 1):
+        at = [i for i, (of, _) in enumerate(MARKS) if of == size]
+        odd = " + ".join(f"bit_count(marks[{i}] ^ other_marks[{i}])" for i in at)
+        found.append(f"{odd} <= {2 * size * DISTANCE}")
+    return " and ".join(found)
+
+
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -274,7 +304,7 @@ def _mapped(rows: DataFrame, work, schema: str) -> DataFrame:
 
 
 def _signatures(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rest`` (leader, node, component, n) with ``elements``: the grams in which a line and its group's common grams differ.
+    """``rest`` (leader, node, component, n) with ``marks`` and ``elements``: the grams in which a line and its group's common grams differ.
 
     Elements carry their group. An edit changes at most ``GRAM`` grams on either side, so the signatures of linked lines
     differ in at most ``APART`` elements.
@@ -291,9 +321,13 @@ def _signatures(rest: DataFrame, texts: DataFrame) -> DataFrame:
             names = np.concatenate((novel.astype(np.uint32).astype(np.uint64), missing.astype(np.uint32).astype(np.uint64) + np.uint64(1 << 32)))
             elements.append(mix64(names + mix64(np.array([group], np.int64).view(np.uint64))).view(np.int64))
         sizes = pa.array([len(e) for e in elements], pa.int32())
-        return [*batch.columns[1:5], batch.column(6), sizes, pa.array(elements, pa.list_(pa.int64()))]
+        marks = pa.array([_marks(line) for line in batch.column(0).to_pylist()], pa.list_(pa.int64()))
+        return [*batch.columns[1:5], batch.column(6), sizes, marks, pa.array(elements, pa.list_(pa.int64()))]
 
-    schema = f"leader {nodes['leader']}, node {nodes['node']}, component {nodes['component']}, n int, group long, size int, elements array<long>"
+    schema = (
+        f"leader {nodes['leader']}, node {nodes['node']}, component {nodes['component']}, n int, group long, size int, "
+        "marks array<long>, elements array<long>"
+    )
     return settle(rest.sparkSession, _mapped(wanted, work, schema), "signatures")
 
 
@@ -329,29 +363,51 @@ def _element_counts(signatures: DataFrame) -> np.ndarray:
 
 
 def _rarest(signatures: DataFrame) -> DataFrame:
-    """element, node, component, n, size: so many of each signature's elements that linked lines share one.
+    """element, node, component, n, size, marks, whole: so many of each signature's elements that linked lines share one.
 
     Of ``APART`` + 1 elements of a line a linked line has at least one, and so it is with the first ones in any common order:
     here by the count of the element's cell, then by hash. Lines whose signatures are so small that linked ones may have nothing in common
-    share one element more, which stands for the group.
+    share one element more, which stands for the group as a whole (``whole``).
     """
     kinds = dict(signatures.dtypes)
     shared = signatures.sparkSession.sparkContext.broadcast(_element_counts(signatures))
 
     def work(batch: pa.RecordBatch):
-        rows, found = [], []
+        rows, found, whole = [], [], []
         for row, (elements, group) in enumerate(zip(batch.column(0).to_pylist(), batch.column(5).to_pylist())):
             hashes = np.array(elements, np.int64).view(np.uint64)
             chosen = hashes[np.lexsort((hashes, shared.value[_cells(hashes)]))[: APART + 1]]
+            whole.append(np.zeros(len(chosen), bool))
             if len(hashes) <= APART:
                 chosen = np.append(chosen, np.array([group], np.int64).view(np.uint64))
+                whole.append(np.ones(1, bool))
             found.append(chosen)
             rows.append(np.full(len(chosen), row))
         at = pa.array(np.concatenate(rows))
-        return [pa.array(np.concatenate(found).view(np.int64)), *(batch.column(i).take(at) for i in (1, 2, 3, 4))]
+        columns = (batch.column(i).take(at) for i in (1, 2, 3, 4, 6))
+        return [pa.array(np.concatenate(found).view(np.int64)), *columns, pa.array(np.concatenate(whole))]
 
-    schema = f"element long, node {kinds['node']}, component {kinds['component']}, n int, size int"
-    return _mapped(signatures.select("elements", "node", "component", "n", "size", "group"), work, schema).dropDuplicates(["element", "node"])
+    schema = f"element long, node {kinds['node']}, component {kinds['component']}, n int, size int, marks array<long>, whole boolean"
+    rows = signatures.select("elements", "node", "component", "n", "size", "group", "marks")
+    return _mapped(rows, work, schema).dropDuplicates(["element", "node"])
+
+
+def _small_pairs(rows: DataFrame, near: str) -> DataFrame:
+    """Pairs (a, b) of lines of a group, of different components, whose signatures are so small that they may have nothing in common.
+
+    The smaller signature has a size that fits the larger one, so a line meets only lines of such sizes.
+    """
+    rows = rows.withColumnRenamed("element", "group")
+    larger = rows.toDF(*["group" if c == "group" else f"other_{c}" for c in rows.columns]).withColumn(
+        "size", F.explode(F.sequence(F.lit(0), F.least("other_size", F.lit(APART) - F.col("other_size"))))
+    )
+    pairs = rows.where(2 * F.col("size") <= APART).join(larger, ["group", "size"])
+    return (
+        pairs.where("component != other_component and (size < other_size or node < other_node)")
+        .where(near)
+        .select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+        .distinct()
+    )
 
 
 def _links_apart(rest: DataFrame, texts: DataFrame, verify) -> DataFrame:
@@ -361,12 +417,12 @@ def _links_apart(rest: DataFrame, texts: DataFrame, verify) -> DataFrame:
     each other. Around one original these are few: what is common to the group is in no signature.
     """
     spark = rest.sparkSession
-    near = f"abs(n - other_n) <= {DISTANCE} and abs(size - other_size) <= {APART}"
+    near = f"abs(n - other_n) <= {DISTANCE} and abs(size - other_size) <= {APART} and {marks_alike()}"
     prefixes = settle(spark, _rarest(_signatures(rest, texts)), "prefixes")
     first = (
         prefixes.groupBy("element")
         .agg(
-            F.min(F.struct("size", "node", "n", "component")).alias("first"),
+            F.min(F.struct("size", "node", "n", "component", "marks")).alias("first"),
             F.min("component").alias("low"),
             F.max("component").alias("high"),
         )
@@ -377,6 +433,7 @@ def _links_apart(rest: DataFrame, texts: DataFrame, verify) -> DataFrame:
             F.col("first.size").alias("other_size"),
             F.col("first.n").alias("other_n"),
             F.col("first.component").alias("other_component"),
+            F.col("first.marks").alias("other_marks"),
         )
     )
     pairs = prefixes.join(first, "element").where("component != other_component").where(near)
@@ -386,12 +443,13 @@ def _links_apart(rest: DataFrame, texts: DataFrame, verify) -> DataFrame:
     ends = links.join(labels.toDF("a", "from"), "a").join(labels.toDF("b", "to"), "b")
     merged = components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")).where("a != b"))
     relabelled = prefixes.join(merged.toDF("component", "joined"), "component", "left").select(
-        "element", "node", F.coalesce("joined", "component").alias("component"), "n", "size"
+        "element", "node", F.coalesce("joined", "component").alias("component"), "n", "size", "marks", "whole"
     )
+    relabelled = settle(spark, relabelled, "relabelled")
     # Signatures that differ in at most APART elements have so many in common, of which the prefixes hold all but those behind the shorter end.
     common = f"(size + other_size - {APART}) / 2 - greatest(0, greatest(size, other_size) - {APART + 1})"
-    apart = pairs_apart(settle(spark, relabelled, "relabelled"), near, common)
-    return links.union(verify(apart))
+    apart = pairs_apart(relabelled.where("not whole"), near, common).union(_small_pairs(relabelled.where("whole"), near))
+    return links.union(verify(apart.distinct()))
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,12 +486,14 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("key", F.col("first").alias("node"), "n")
     )
 
+    shared = settle(spark, shared, "line-keys")
+    nodes = settle(spark, shared.select("node").distinct(), "line-nodes")
+    texts = settle(spark, _texts_of(rows, nodes, kind), "line-texts")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = settle(spark, pairs, "line-pairs")
-        nodes = settle(spark, pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "line-nodes")
-        texts = settle(spark, _texts_of(rows, nodes, kind), "line-texts")
         both = (
-            pairs.join(texts.toDF("a", "text_a"), "a")
+            settle(spark, pairs, "line-pairs")
+            .join(texts.toDF("a", "text_a"), "a")
             .join(texts.toDF("b", "text_b"), "b")
             .select("text_a", "text_b", "a", "b")
         )
@@ -448,11 +508,7 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     alike = f"abs(n - other_n) <= {DISTANCE}"
 
-    def apart(rest: DataFrame) -> DataFrame:
-        texts = _texts_of(rows, settle(spark, rest.select("node").distinct(), "line-nodes"), kind)
-        return _links_apart(rest, settle(spark, texts, "line-texts"), verify)
-
-    found = linked_components(settle(spark, shared, "line-keys"), alike, verify, apart)
+    found = linked_components(shared, alike, verify, lambda rest: _links_apart(rest, texts, verify))
     classes = firsts.join(found.toDF("first", "class"), "first", "left").select(
         "hi", "lo", "first", F.coalesce("class", "first").alias("class")
     )
