@@ -80,6 +80,35 @@ def test_mine_leaves_out_what_cannot_be_compared(spark):
     assert mine(frame.where("vec_id % 50 != 0")).count() == 0
 
 
+def test_mine_visits_twice_at_most(spark, small_index, monkeypatch):
+    """Vectors without structure: the first cells tell what an anchor needs, then all others are seen in one visit."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(np.float32(e)) for e in rng.normal(size=6)], int(rng.integers(0, 3))) for i in range(400)]
+    stored = []
+    kept = negatives.settle
+
+    def settle(spark, frame, label, *rest):
+        found = kept(spark, frame, label, *rest)
+        stored.append((label, found))
+        return found
+
+    monkeypatch.setattr(negatives, "settle", settle)
+    assert got(mine(spark.createDataFrame(rows, SCHEMA).repartition(4))) == brute(rows) != set()
+    asked = [frame for label, frame in stored if label == "requests"]
+    shelves = next(frame for label, frame in stored if label == "shelves").select("shelf").distinct().count()
+    assert len(asked) == 4 and shelves > 10  # two visits for positives, two for negatives
+    assert all(0 < frame.count() <= 8 * shelves for frame in asked)  # one row for each of 8 anchors and shelf
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0**9, 2.0**17])
+def test_mine_is_exact_for_entries_of_any_size(spark, small_index, size):
+    """Products that fit single floats, doubles, and neither."""
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(np.float32(e * size)) for e in rng.normal(size=5)], int(rng.integers(0, 4))) for i in range(160)]
+    rows += [(i, rows[i - 160][1], i % 4) for i in range(160, 200)]
+    assert got(mine(spark.createDataFrame(rows, SCHEMA))) == brute(rows) != set()
+
+
 def test_codebook_of_equal_vectors():
     assert len(codebook(np.ones((10, 3)), 4)) == 1
 

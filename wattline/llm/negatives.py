@@ -8,9 +8,11 @@ cells by falling bound (the multi-sequence algorithm). An anchor is done as soon
 needs: first its last positive, then, for each positive, the last negative of that positive's window of scores, or
 the window's lower end. So the result is exact, and the sizes of codebooks and batches change the work only.
 
-Cells are visited in batches that grow eightfold. Cells lie in shelves of a bounded number of vectors, a big
-cell in several; a batch is a co-grouping of shelves with the anchors that ask for one of their cells, in blocks
-of anchors, so that no task holds more than a shelf and a block. The anchors are the stated query set.
+Cells are visited twice: the first FIRST_CELLS of an anchor tell what it needs, then all cells whose bound reaches that.
+Cells lie in shelves of a bounded number of vectors, a big cell in several; a visit is a co-grouping of shelves with the
+anchors that ask for one of their cells, in blocks of anchors, so that no task holds more than a shelf and a block.
+There, a cell's vectors are multiplied with the anchors that want the cell, and only scores that an anchor still
+needs are ordered. The anchors are the stated query set.
 """
 
 from __future__ import annotations
@@ -21,19 +23,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wattline.llm.vectors import grid_rows, matrix, products
+from wattline.llm.vectors import EXACT, EXACT_SINGLE, grid_rows, matrix, packed, unpacked
+from wattline.plans.sizes import small_side
 from wattline.session import settle
 
 #: Rows whose vectors the codebooks are fitted to, codewords of a half at most, and rounds of the fit.
 SAMPLE_ROWS, MOST_WORDS, FIT_ROUNDS = 20_000, 128, 8
-#: Vectors of a cell on average, vectors of a shelf, anchors of a block, and cells of the first batch.
-CELL_ROWS, SHELF_ROWS, BLOCK_ANCHORS, FIRST_CELLS = 256, 4096, 4096, 32
-#: Anchors whose scores a task holds at once.
-_STRIP = 512
-#: Lower end of a window that nothing can meet.
-_NEVER = 1 << 62
+#: Vectors of a cell on average, vectors of a shelf, anchors of a block, and cells of the first visit.
+CELL_ROWS, SHELF_ROWS, BLOCK_ANCHORS, FIRST_CELLS = 256, 16384, 4096, 32
+#: Anchors and vectors whose scores a task holds at once, and scores that wait to be ordered.
+_STRIP, _WIDTH, _WAITING = 512, 2048, 1 << 19
+#: Lower end of a window that nothing can meet, and ends of one that everything meets.
+_NEVER, _LEAST, _MOST = 1 << 62, -(1 << 63), (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -45,19 +49,29 @@ class MultiIndex:
     cells: np.ndarray  # numbers of the cells that hold vectors, ascending
     first_shelf: np.ndarray
     shelves: np.ndarray  # number of shelves of each of these cells
-    labels: dict  # label -> numbers of the cells that hold it
+    most: int  # largest size of an entry
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest half scores of each codeword's vectors, rounded up."""
+        """Largest half scores of each codeword's vectors with each row of ``q``, rounded up."""
         half = self.words[0].shape[1]
         found = []
-        for part, words, radii in zip((q[:half], q[half:]), self.words, self.radii):
+        for part, words, radii in zip((q[:, :half], q[:, half:]), self.words, self.radii):
             part = part.astype(np.float64)
-            reach = np.sqrt(part @ part) * np.maximum(radii, 0)
-            slack = 1e-9 * (np.abs(words) @ np.abs(part) + reach + 1)
-            found.append(np.where(radii < 0, -np.inf, words @ part + reach + slack))
+            reach = np.sqrt((part * part).sum(axis=1))[:, None] * np.maximum(radii, 0)
+            slack = 1e-9 * (np.abs(part) @ np.abs(words).T + reach + 1)
+            found.append(np.where(radii < 0, -np.inf, part @ words.T + reach + slack))
         return found[0], found[1]
 
+    @property
+    def entry(self) -> np.dtype:
+        """The smallest kind of whole number that holds every entry."""
+        return np.dtype("<i2" if self.most < 1 << 15 else "<i4" if self.most < 1 << 31 else "<i8")
+
+    def numbers(self, x: np.ndarray) -> np.ndarray:
+        """``x`` in a kind of number whose products are exact."""
+        most = max(self.most, 1) ** 2 * x.shape[1]
+        return x.astype(np.float32 if most < EXACT_SINGLE else np.float64 if most < EXACT else object)
+
 
 def visit(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Pairs of places by falling sum of both lists: the multi-sequence algorithm. Infinitely low places are left out."""
@@ -110,7 +124,7 @@ def build(vectors: DataFrame) -> tuple[MultiIndex | None, DataFrame]:
     Codebooks are fitted to at most about SAMPLE_ROWS rows, chosen by a hash of the id; radii and places come from all rows.
     """
     spark = vectors.sparkSession
-    n = vectors.count()
+    n, low, high = vectors.agg(F.count(F.lit(1)), F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
     if not n:
         return None, vectors
     share = F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 32)) < int(min(1.0, SAMPLE_ROWS / n) * (1 << 32))
@@ -122,17 +136,18 @@ def build(vectors: DataFrame) -> tuple[MultiIndex | None, DataFrame]:
     words = int(np.clip(np.sqrt(n / CELL_ROWS), 1, MOST_WORDS))
     books = (codebook(x[:, :half], words), codebook(x[:, half:], words))
     wide = len(books[1])
+    entry = MultiIndex(books, (), (), (), (), max(-low, high)).entry
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(batch.schema.get_field_index("x")))
                 (i, near_i), (j, near_j) = nearest_words(x[:, :half], books[0]), nearest_words(x[:, half:], books[1])
-                added = [pa.array(i * wide + j), pa.array(near_i), pa.array(near_j)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "cell", "r1", "r2"])
+                added = [packed(x, entry), pa.array(i * wide + j), pa.array(near_i), pa.array(near_j)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *added], names=["vec_id", "label", "x", "cell", "r1", "r2"])
 
     kinds = dict(vectors.dtypes)
-    schema = f"vec_id {kinds['vec_id']}, label {kinds['label']}, x array<long>, cell long, r1 double, r2 double"
+    schema = f"vec_id {kinds['vec_id']}, label {kinds['label']}, x binary, cell long, r1 double, r2 double"
     indexed = settle(spark, vectors.select("vec_id", "label", "x").mapInArrow(placed, schema), "multi-index")
     # At most MOST_WORDS^2 cells, whatever the number of rows.
     found = indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).orderBy("cell").collect()
@@ -150,160 +165,175 @@ def build(vectors: DataFrame) -> tuple[MultiIndex | None, DataFrame]:
             shelf, held = shelf + shelves[-1], 0
         else:
             held += r["n"]
-    index = MultiIndex(books, radii, cells, np.array(first), np.array(shelves), {})
-    starts = dict(zip(cells.tolist(), zip(first, shelves)))
+    index = MultiIndex(books, radii, cells, np.array(first), np.array(shelves), max(-low, high))
 
     def shelved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, part = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            shelf = [starts[c][0] + p % starts[c][1] for c, p in zip(cell, part)]
+            at = np.searchsorted(index.cells, batch.column(3).to_numpy())
+            shelf = index.first_shelf[at] + batch.column(4).to_numpy() % index.shelves[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shelf, pa.int64())], names=["vec_id", "label", "x", "cell", "shelf"])
 
     spread = indexed.select("vec_id", "label", "x", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("part"))
-    schema = f"vec_id {kinds['vec_id']}, label {kinds['label']}, x array<long>, cell long, shelf long"
+    schema = f"vec_id {kinds['vec_id']}, label {kinds['label']}, x binary, cell long, shelf long"
     return index, spread.mapInArrow(shelved, schema)
 
 
-def _requests(anchors: DataFrame, index: MultiIndex, seen: int, batch_cells: int, id_type: str, label_type: str) -> DataFrame:
-    """(shelf, block, anchor, label, x, lows, highs, cells): which shelves each anchor wants next.
+def _requests(anchors: DataFrame, index: MultiIndex, first_cells: int | None, id_type: str, label_type: str) -> DataFrame:
+    """(shelf, block, anchor, label, x, needs, highs, least): the shelves that each anchor wants to see.
 
-    ``floor`` is the lowest score an anchor still needs. Its next ``batch_cells`` cells after the first ``seen`` are asked for while
-    their bound reaches the floor.
+    It wants the cells whose bound reaches ``least``: the lowest score that it still needs, or with ``first_cells`` the bound
+    of so many cells by falling bound, if that is higher.
     """
     wide = len(index.words[1])
+    shelf_starts = np.flatnonzero(np.diff(index.first_shelf, prepend=-1))
+    held = {int(c) for c in index.cells}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[int] = []
-            shelves: list[int] = []
-            wanted: list[list[int]] = []
-            x = matrix(batch.column(2)) if batch.num_rows else None
-            floors = batch.column(6).to_pylist()
-            for at in range(batch.num_rows):
-                asked: dict[int, list[int]] = {}
-                place = 0
-                for i, j, bound in visit(*index.bounds(x[at])):
-                    if bound < floors[at] or place >= seen + batch_cells:
-                        break
-                    cell = i * wide + j
-                    found = int(np.searchsorted(index.cells, cell))
-                    if found == len(index.cells) or index.cells[found] != cell:
-                        continue
-                    place += 1
-                    if place > seen:
-                        for k in range(int(index.shelves[found])):
-                            asked.setdefault(int(index.first_shelf[found]) + k, []).append(cell)
-                rows += [at] * len(asked)
-                shelves += asked.keys()
-                wanted += asked.values()
-            if rows:
-                taken = batch.take(pa.array(rows))
-                names = ["anchor", "label", "x", "lows", "highs", "block"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shelves, pa.int64()), *taken.columns[:6], pa.array(wanted, pa.list_(pa.int64()))],
-                    names=["shelf", *names, "cells"],
-                )
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                x = matrix(part.column(2))
+                least = np.array([min(needs, default=_MOST) for needs in part.column(3).to_pylist()], np.float64)
+                one, two = index.bounds(x)
+                if first_cells is not None:
+                    for at in range(len(x)):
+                        place = 0
+                        for i, j, bound in visit(one[at], two[at]):
+                            place += i * wide + j in held
+                            if place >= first_cells or bound < least[at]:
+                                least[at] = max(least[at], bound)
+                                break
+                wanted = one[:, index.cells // wide] + two[:, index.cells % wide] >= least[:, None]
+                wanted = np.logical_or.reduceat(wanted, shelf_starts, axis=1)
+                row, at = np.nonzero(wanted)
+                # A cell of several shelves has these for itself.
+                many = index.shelves[shelf_starts[at]]
+                row, first = np.repeat(row, many), np.repeat(index.first_shelf[shelf_starts[at]], many)
+                shelf = first + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                columns = [part.column(0), part.column(1), packed(x, index.entry), *part.columns[3:6], pa.array(least)]
+                taken = [c.take(pa.array(row)) for c in columns]
+                names = ["shelf", "anchor", "label", "x", "needs", "highs", "block", "least"]
+                yield pa.RecordBatch.from_arrays([pa.array(shelf, pa.int64()), *taken], names=names)
 
     schema = (
-        f"shelf long, anchor {id_type}, label {label_type}, x array<long>, lows array<long>, highs array<long>, "
-        "block long, cells array<long>"
+        f"shelf long, anchor {id_type}, label {label_type}, x binary, needs array<long>, highs array<long>, block long, least double"
     )
-    return anchors.select("anchor", "label", "x", "lows", "highs", "block", "floor").mapInArrow(run, schema)
+    return anchors.select("anchor", "label", "x", "needs", "highs", "block").mapInArrow(run, schema)
 
 
-def _best(order: np.ndarray, scores: np.ndarray, ok: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor (row) the columns of its first ``top`` usable scores in ``order``, as (row, column)."""
-    usable = np.take_along_axis(ok, order, axis=1)
-    row, at = np.nonzero(usable & (np.cumsum(usable, axis=1) <= top))
-    return row, order[row, at]
+def _first_of(group: np.ndarray, scores: np.ndarray, codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group the places of its first ``top`` by falling score, then code; and whether a place is the last of so many."""
+    falling = -scores if scores.dtype != object else np.unique(-scores, return_inverse=True)[1]
+    order = np.lexsort((codes, falling, group))
+    group = group[order]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    place = np.arange(len(group)) - np.repeat(starts, np.diff(starts, append=len(group)))
+    return order[place < top], place[place < top] == top - 1
 
 
-def _score_shelf(rows: pa.Table, asked: pa.Table, *, top: int, same_label: bool) -> dict[str, list]:
+def _score_shelf(rows: pa.Table, asked: pa.Table, index: MultiIndex, *, top: int, same_label: bool) -> dict[str, list]:
     """The best of a shelf for every anchor and slot: anchor, slot, score, vec_id.
 
-    With ``same_label`` slot 0 holds the best other rows of the anchor's label; without, each slot is a window of scores
-    [low, high] over rows of other labels. Equal scores are ordered by id.
+    A slot is a window of scores ``needs`` to ``highs``, over other rows of the anchor's label with ``same_label``, over rows of other labels
+    without. Equal scores are ordered by id.
     """
-    out: dict[str, list] = {"anchor": [], "slot": [], "score": [], "vec_id": []}
-    rows = rows.sort_by("vec_id")
-    x, q = matrix(rows.column("x").combine_chunks()), matrix(asked.column("x").combine_chunks())
-    ids, anchors = np.array(rows.column("vec_id").to_pylist(), object), np.array(asked.column("anchor").to_pylist(), object)
-    id_codes = {v: k for k, v in enumerate(ids.tolist())}
+    rows = rows.take(pc.sort_indices(rows, [("cell", "ascending"), ("vec_id", "ascending")]))
+    ids, anchors = rows.column("vec_id").combine_chunks(), asked.column("anchor").combine_chunks()
+    codes = np.empty(len(ids), np.int64)
+    codes[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    own = pc.fill_null(pc.index_in(anchors, value_set=ids), -1).to_numpy(zero_copy_only=False)
     label_codes = {v: k for k, v in enumerate(dict.fromkeys(rows.column("label").to_pylist()))}
-    labels = np.array([label_codes[v] for v in rows.column("label").to_pylist()])
-    cells = np.array(rows.column("cell").to_pylist())
-    for start in range(0, len(anchors), _STRIP):
-        part = slice(start, min(start + _STRIP, len(anchors)))
-        wanted = asked.slice(start, part.stop - start)
-        mine = np.array([label_codes.get(v, -1) for v in wanted.column("label").to_pylist()])
-        seen = np.array([np.isin(cells, c) for c in wanted.column("cells").to_pylist()])
-        like = labels[None, :] == mine[:, None]
-        ok = seen & (like if same_label else ~like)
-        self_at = np.array([id_codes.get(v, -1) for v in anchors[part]])
-        known = np.flatnonzero(self_at >= 0)
-        ok[known, self_at[known]] = False
-        visited = np.flatnonzero(ok.any(axis=0))
-        ok, scores = ok[:, visited], products(q[part], x[visited])
-        order = np.argsort(-scores, axis=1, kind="stable")
-        if same_label:
-            windows = [(0, ok)]
-        else:
-            lows, highs = wanted.column("lows").to_pylist(), wanted.column("highs").to_pylist()
-            windows = []
-            for slot in range(max((len(v) for v in lows), default=0)):
-                low = np.array([v[slot] if slot < len(v) else 1 for v in lows], scores.dtype)[:, None]
-                high = np.array([v[slot] if slot < len(v) else 0 for v in highs], scores.dtype)[:, None]
-                windows.append((slot, ok & (scores >= low) & (scores <= high)))
-        for slot, usable in windows:
-            row, column = _best(order, scores, usable, top)
-            out["anchor"] += anchors[part][row].tolist()
-            out["slot"] += [slot] * len(row)
-            out["score"] += [int(v) for v in scores[row, column]]
-            out["vec_id"] += ids[visited[column]].tolist()
+    labels = np.array([label_codes[v] for v in rows.column("label").to_pylist()], np.int32)
+    mine = np.array([label_codes.get(v, -1) for v in asked.column("label").to_pylist()], np.int32)
+    whole = unpacked(asked.column("x"), index.entry)
+    x, q = index.numbers(unpacked(rows.column("x"), index.entry)), index.numbers(whole)
+    one, two = index.bounds(whole)
+    one, two, least = one.T.copy(), two.T.copy(), asked.column("least").to_numpy()
+    slots = max((len(v) for v in asked.column("needs").to_pylist()), default=0)
+    needs = np.array([[*v, *[_MOST] * (slots - len(v))] for v in asked.column("needs").to_pylist()], np.int64)
+    highs = np.array([[*v, *[_LEAST] * (slots - len(v))] for v in asked.column("highs").to_pylist()], np.int64)
+    lowest = needs.min(axis=1, initial=_MOST)
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, q.dtype))
+    best, waiting = [empty] * slots, [empty]
+
+    def order() -> None:
+        """Puts what waits into the best of each slot, and raises what the anchors need."""
+        anchor, column, score = (np.concatenate(part) for part in zip(*waiting))
+        waiting[:] = [empty]
+        for slot in range(slots):
+            fits = (score >= needs[anchor, slot]) & (score <= highs[anchor, slot])
+            a, c, s = (np.concatenate((old, new[fits])) for old, new in zip(best[slot], (anchor, column, score)))
+            kept, last = _first_of(a, s, codes[c], top)
+            best[slot] = a[kept], c[kept], s[kept]
+            needs[a[kept][last], slot] = s[kept][last]
+        lowest[:] = needs.min(axis=1, initial=_MOST)
+
+    cells = rows.column("cell").to_numpy()
+    wide = len(index.words[1])
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]):
+        i, j = divmod(int(cells[start]), wide)
+        wanting = np.flatnonzero(one[i] + two[j] >= np.maximum(least, lowest))
+        for at in range(0, len(wanting), _STRIP):
+            strip = wanting[at : at + _STRIP]
+            for first in range(start, stop, _WIDTH):
+                columns = slice(first, min(first + _WIDTH, stop))
+                scores = q[strip] @ x[columns].T
+                ok = scores >= lowest[strip].astype(q.dtype)[:, None]
+                if same_label:
+                    ok &= labels[columns] == mine[strip][:, None]
+                found = np.flatnonzero(ok)
+                row, column = np.divmod(found, scores.shape[1])
+                anchor, column, score = strip[row], column + first, scores.ravel()[found]
+                other = column != own[anchor]
+                if not same_label:
+                    other &= labels[column] != mine[anchor]
+                waiting.append((anchor[other], column[other], score[other]))
+                if sum(len(w[0]) for w in waiting) > _WAITING:
+                    order()
+    order()
+    out: dict[str, list] = {"anchor": [], "slot": [], "score": [], "vec_id": []}
+    for slot, (anchor, column, score) in enumerate(best):
+        out["anchor"] += anchors.take(pa.array(anchor)).to_pylist()
+        out["slot"] += [slot] * len(anchor)
+        out["score"] += [int(v) for v in score]
+        out["vec_id"] += ids.take(pa.array(column)).to_pylist()
     return out
 
 
 def _search(anchors: DataFrame, index: MultiIndex, shelves: DataFrame, *, top: int, same_label: bool) -> DataFrame:
     """anchor, slot, rank, score, vec_id: the exact best ``top`` rows of every anchor and slot.
 
-    ``anchors`` has anchor, label, x, block, lows and highs (one window for each slot; both null where ``same_label``).
+    ``anchors`` has anchor, label, x, block, needs and highs: the lower and upper ends of the slots.
     """
     spark = anchors.sparkSession
     kinds = dict(anchors.dtypes)
     id_type, label_type = kinds["anchor"], kinds["label"]
     schema = f"anchor {id_type}, slot int, score long, vec_id {id_type}"
-    blocks = [r["block"] for r in anchors.select("block").distinct().collect()]
-    spread = shelves.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in sorted(blocks)])))
 
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
         fields = pa.schema([("anchor", asked.schema.field("anchor").type), ("slot", pa.int32()), ("score", pa.int64()), ("vec_id", asked.schema.field("anchor").type)])
         if not rows.num_rows or not asked.num_rows:
             return fields.empty_table()
-        found = _score_shelf(rows, asked, top=top, same_label=same_label)
+        found = _score_shelf(rows, asked, index, top=top, same_label=same_label)
         return pa.table([pa.array(found[f.name], f.type) for f in fields], schema=fields)
 
-    order = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "vec_id")
-    best = spark.createDataFrame([], schema)
-    low_of = F.lit(None).cast("long") if same_label else F.col("lows")[F.col("slot")]
-    active, seen, batch = anchors.withColumn("floor", F.lit(float("-inf"))), 0, FIRST_CELLS
-    if not same_label:
-        active = anchors.withColumn("floor", F.coalesce(F.array_min("lows").cast("double"), F.lit(float("inf"))))
-    while True:
-        asked = settle(spark, _requests(active, index, seen, batch, id_type, label_type), "requests")
-        if asked.isEmpty():
-            return best.withColumn("rank", F.row_number().over(order))
+    def seen(anchors: DataFrame, first_cells: int | None) -> DataFrame:
+        asked = settle(spark, _requests(anchors, index, first_cells, id_type, label_type), "requests")
+        # Each row goes to the blocks that ask for its shelf.
+        spread = shelves.join(small_side(asked.select("shelf", "block").distinct()), "shelf")
         found = spread.groupBy("shelf", "block").cogroup(asked.groupBy("shelf", "block")).applyInArrow(score, schema)
-        ranked = best.unionByName(found).withColumn("rank", F.row_number().over(order))
-        best = settle(spark, ranked.where(F.col("rank") <= top).drop("rank"), "best")
-        seen, batch = seen + batch, batch * 8
+        order = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "vec_id")
+        return settle(spark, found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), "best")
+
+    if len(index.cells) > FIRST_CELLS:
         # A slot that is full needs what beats or ties its last score; another needs all its window holds.
-        last = best.groupBy("anchor", "slot").agg(F.count(F.lit(1)).alias("held"), F.min("score").alias("last"))
-        slots = anchors.select("anchor", "lows", F.explode(F.array(F.lit(0)) if same_label else F.sequence(F.lit(0), F.size("lows") - 1)).alias("slot"))
-        if not same_label:
-            slots = anchors.where(F.size("lows") > 0).select("anchor", "lows", F.posexplode("lows").alias("slot", "_low")).drop("_low")
-        need = F.when(F.col("held") >= top, F.col("last").cast("double")).otherwise(F.coalesce(low_of.cast("double"), F.lit(float("-inf"))))
-        floors = slots.join(last, ["anchor", "slot"], "left").withColumn("need", need).groupBy("anchor").agg(F.min("need").alias("floor"))
-        active = settle(spark, anchors.join(floors, "anchor"), "active")
+        lasts = seen(anchors, FIRST_CELLS).where(F.col("rank") == top).groupBy("anchor").agg(
+            F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("_lasts")
+        )
+        raised = F.transform("needs", lambda need, slot: F.coalesce(F.try_element_at("_lasts", slot), need))
+        anchors = anchors.join(lasts, "anchor", "left").withColumn("needs", F.when(F.col("_lasts").isNull(), F.col("needs")).otherwise(raised)).drop("_lasts")
+    return seen(anchors, None)
 
 
 def mine(
@@ -342,17 +372,16 @@ def mine(
         return spark.createDataFrame([], schema)
     shelves = settle(spark, shelved, "shelves")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(-(-n_anchors // BLOCK_ANCHORS)).cast("long"))
-    nothing = F.lit(None).cast("array<long>")
     base = asking.select(F.col("vec_id").alias("anchor"), "label", "x", block.alias("block"))
-    first = base.withColumns({"lows": nothing, "highs": nothing})
-    found = settle(spark, _search(first, index, shelves, top=positives, same_label=True), "positives")
+    first = base.withColumns({"needs": F.array(F.lit(_LEAST).cast("long")), "highs": F.array(F.lit(_MOST).cast("long"))})
+    found = _search(first, index, shelves, top=positives, same_label=True)
     # 100 * low_percent * positive <= 100 * 100 * negative, in whole numbers: rounded up below and down above.
     low, high = -_floor_percent(-F.col("score"), low_percent), _floor_percent(F.col("score"), high_percent)
     windows = (
         found.withColumns({"low": F.when(low > high, _NEVER).otherwise(low), "high": high})
         .groupBy("anchor")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "low", "high"))).alias("w"))
-        .select("anchor", F.col("w.low").alias("lows"), F.col("w.high").alias("highs"))
+        .select("anchor", F.col("w.low").alias("needs"), F.col("w.high").alias("highs"))
     )
     second = base.join(windows, "anchor")
     chosen = _search(settle(spark, second, "windows"), index, shelves, top=negatives, same_label=False)

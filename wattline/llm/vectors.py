@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Numbers up to this size are exact as doubles.
-EXACT = 1 << 53
+#: Numbers up to this size are exact as doubles, and as single floats.
+EXACT, EXACT_SINGLE = 1 << 53, 1 << 24
 
 
 def grid_rows(rows: DataFrame, id_col: str, vector_col: str, label_col: str | None = None, scale: int = 256) -> DataFrame:
@@ -36,9 +36,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
 
 
-def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """``left @ right.T`` of whole numbers, exact: doubles where every partial sum is exact, else Python numbers."""
-    most = max(int(np.abs(left).max(initial=0)), 1) * max(int(np.abs(right).max(initial=0)), 1) * left.shape[1]
-    if most < EXACT:
-        return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
-    return left.astype(object) @ right.T.astype(object)
+def packed(x: np.ndarray, entry: np.dtype) -> pa.Array:
+    """The rows of a matrix as binary values with entries of the kind ``entry``."""
+    data = np.ascontiguousarray(x.astype(entry))
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(entry.itemsize * x.shape[1] if len(x) else 0)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.ChunkedArray, entry: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), entry).reshape(len(column), -1)
