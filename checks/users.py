@@ -26,7 +26,8 @@ def market_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = points_long(spark, sf_dir).drop("zone").join(
         spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id"), "event_id"
     )
-    hourly = _hourly(points.filter("user_id is not null and utc_timestamp is not null"), ["user_id"])
+    # Read four times below.
+    hourly = settle(spark, _hourly(points.filter("user_id is not null and utc_timestamp is not null"), ["user_id"]), "user-hours")
     hours = hourly.agg(F.min("utc_timestamp").alias("first"), F.max("utc_timestamp").alias("last"))
     # One row of two hours, so this is no cross join of tables.
     first, last = hours.first()

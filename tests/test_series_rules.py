@@ -72,6 +72,45 @@ def test_forms_against_pandas(hourly, series, block):
     assert other == wanted("s.diff().abs() <= 150", series.dropna() * 2 + 1)
 
 
+WHOLE = [
+    "s.diff() > -60", "s.shift(-3) > s - 100", "s.rolling(5).median() > 100", "s.rolling(50, min_periods=3).quantile(0.9) <= 260",
+    "s.rolling(8, center=True, min_periods=1).quantile(0.25) > 40", "s.cumsum() % 3 != 0", "s < s.cummax() * 0.95", "s > s.cummin()", "s.expanding(min_periods=10).max() > 290",
+    "s.ewm(span=10).mean() < 180", "s.ewm(alpha=0.3, adjust=False).mean() > 90", "s.cumsum().diff().fillna(7) < 290", "s.rank() > 100", "s.rank(pct=True) <= 0.9",
+    "s.rank(method='min', ascending=False) > 7", "s.rank(method='dense') > 20", "s.rank(method='max', pct=True) < 0.8", "s.rank(method='dense', pct=True, ascending=False) > 0.1",
+    "~s.duplicated()", "s.duplicated(keep='last')", "~s.duplicated(keep=False)", "(s - s.mean()).abs() <= 2 * s.std()", "s.var() > s.std(ddof=0)", "s < s.median()", "s.nunique() > 10",
+    "s <= s.quantile(0.75) + 0.5 * (s.quantile(0.75) - s.quantile(0.25))", "s < s.max() * 0.9", "s.sum() > s * 100", "s.count() == len(s)", "s.min() >= 0",
+]
+SEQUENCES = ["jump(90)", "flatline(2)", "flatline(5)", "flatline(1)", "spike(250, 4, 1)", "spike(250, 0, 0)"]
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_whole_zones_need_no_positions(spark, series, monkeypatch, first):
+    """Zones no longer than a block are judged in one pass, with the counts of the blocked passes and of pandas."""
+    texts = WHOLE + SEQUENCES
+    short = series.iloc[:7].round(-2)
+    zones = {"a": series, "b": short, "c": series * np.nan, "d": series.round(-2).iloc[:90]}
+    names = [f"c{i}" for i in range(len(texts))]
+    rows = [(zone, at.to_pydatetime(), *[None if np.isnan(v) else float(v)] * len(texts)) for zone, s in zones.items() for at, v in s.items()]
+    frame = spark.createDataFrame(rows, "zone string, utc_timestamp timestamp_ntz, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    wanted_rules = [Rule(text, c, text) for c, text in zip(names, texts)]
+
+    def counts(**given):
+        return {(r.zone, r.name): (r.violations, r.status, r.error) for r in rules.run_rules(frame, wanted_rules, first_row_passes=first, **given).collect()}
+
+    # Zones of 400 rows are longer than such a block.
+    blocked = counts(block_steps=300)
+    with monkeypatch.context() as patched:
+        for module in ("wattline.operators.series_rules", "wattline.plans.blocks"):
+            patched.setattr(f"{module}.row_positions", None)
+        whole = counts()
+    assert whole == blocked and len(whole) == 4 * len(texts)
+    assert all(status != "error" for _, status, _ in whole.values())
+    for text in WHOLE:
+        for zone, s in zones.items():
+            s = s.dropna()
+            assert whole[zone, text][0] == (wanted(text, s) if len(s) else 0), (zone, text)
+
+
 def test_refused(hourly, series):
     got = rules.run_rules(hourly(pd.DataFrame({"p": series})), [Rule(t, "p", t) for t in REFUSED]).collect()
     assert {r["name"]: r["status"] for r in got} == {t: "error" for t in REFUSED}

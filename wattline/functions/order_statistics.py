@@ -36,16 +36,20 @@ class SortedRuns:
         return self.distinct[rank]
 
 
-def window_quantiles(values: np.ndarray, size: int, ahead: int, wanted: list[tuple[float, int]]) -> list[np.ndarray]:
+def window_quantiles(
+    values: np.ndarray, size: int, ahead: int, wanted: list[tuple[float, int]], start: np.ndarray | int = 0, stop: np.ndarray | int | None = None
+) -> list[np.ndarray]:
     """For each (q, least) the linearly interpolated quantile of the ``size`` values that end ``ahead`` places after each place.
 
-    NaN counts as missing. Windows are cut at the ends of the array; a window with fewer than ``least`` values, or none, gives NaN.
+    NaN counts as missing. Windows are cut at the ends of the array, or of each place's stretch from ``start`` to before ``stop``;
+    a window with fewer than ``least`` values, or none, gives NaN.
     """
+    stop = len(values) if stop is None else stop
     present = ~np.isnan(values)
     before = np.concatenate(([0], np.cumsum(present)))
     places = np.arange(len(values))
-    first = before[np.clip(places + ahead - size + 1, 0, len(values))]
-    last = before[np.clip(places + ahead + 1, 0, len(values))]
+    first = before[np.clip(places + ahead - size + 1, start, stop)]
+    last = before[np.clip(places + ahead + 1, start, stop)]
     count = last - first
     runs = SortedRuns(values[present]) if present.any() else None
     found = []

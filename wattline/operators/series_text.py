@@ -82,6 +82,13 @@ class Program:
         self._used_by(name, for_column)
         return name
 
+    def only(self, columns: set) -> Program:
+        """The steps that rules on ``columns`` use."""
+        part = Program(self.prefix)
+        part.steps = {s: n for s, n in self.steps.items() if self.made[n].columns & columns}
+        part.made |= {n: copy.deepcopy(self.made[n]) for n in part.steps.values()}
+        return part
+
     def _used_by(self, name: str, for_column: str) -> None:
         self.made[name].columns.add(for_column)
 

@@ -59,9 +59,10 @@ def missing_hours(
     start = F.greatest(F.col("_low"), span + F.pmod(F.col("_low") - span, F.lit(3600)))
     end = F.least(F.col("_high"), span + width - 1)
     hours = F.when(start <= end, F.sequence(start, end, F.lit(3600).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    # As in hour_spine, a fixed number of tasks expands the few spans.
+    # As in hour_spine, a fixed number of tasks expands the few spans. By the columns of the join themselves the planner would take the
+    # partitions of the join, which adaptive execution makes few, as the spans are small.
     tasks = int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = wanted.join(held, [*keys, "_span"], "left").repartition(tasks, *keys, "_span")
+    met = wanted.join(held, [*keys, "_span"], "left").repartition(tasks, F.xxhash64(*keys, "_span"))
     free = F.array_except(hours, F.coalesce("_held", F.array().cast("array<bigint>")))
     kind = dict(hourly.dtypes)[ts]
     return met.select(*keys, F.explode(free).alias("_hour")).select(
