@@ -111,6 +111,17 @@ def test_whole_zones_need_no_positions(spark, series, monkeypatch, first):
             assert whole[zone, text][0] == (wanted(text, s) if len(s) else 0), (zone, text)
 
 
+def test_rows_without_a_time_take_the_blocked_passes(spark, series):
+    rows = [("a", at.to_pydatetime(), None if np.isnan(v) else float(v)) for at, v in series.items()] + [("a", None, 5.0), ("a", None, 250.0)]
+    frame = spark.createDataFrame(rows, "zone string, utc_timestamp timestamp_ntz, v double")
+    texts = ["s.ewm(span=24).mean() < 160", "s.ewm(alpha=0.3, adjust=False).mean() > 150", "s.diff().abs() <= 90", "s.rank() > 100"]
+
+    def counts(**given):
+        return sorted((r.name, r.violations, r.fraction) for r in rules.run_rules(frame, [Rule(t, "v", t) for t in texts], **given).collect())
+
+    assert counts() == counts(block_steps=300)
+
+
 def test_refused(hourly, series):
     got = rules.run_rules(hourly(pd.DataFrame({"p": series})), [Rule(t, "p", t) for t in REFUSED]).collect()
     assert {r["name"]: r["status"] for r in got} == {t: "error" for t in REFUSED}

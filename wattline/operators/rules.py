@@ -320,7 +320,7 @@ def _count_whole(df, sequence_rules, series_rules, program: Program, ts: str, zo
     found = {n: sequence_predicate(whole_program, c, kind, args, first_row_passes) for n, c, kind, args in sequence_rules}
     columns -= {c for n, c, _, _ in sequence_rules if found[n] is None}
     columns = whole_columns(whole_program, sorted(columns))
-    rows = fits(df, columns, zone, block_steps) if columns else 0
+    rows = fits(df, columns, ts, zone, block_steps) if columns else 0
     if not rows:
         return [], sequence_rules, series_rules
     judged = [(n, c, found[n], "") for n, c, _, _ in sequence_rules if c in columns] + [rule for rule in series_rules if rule[1] in columns]

@@ -33,10 +33,10 @@ def steps_of(program: Program, column: str) -> list[tuple[Step, str]]:
     return [(s, n) for s, n in program.steps.items() if column in program.made[n].columns]
 
 
-def fits(df: DataFrame, columns: Sequence[str], zone: str, most: int) -> int:
-    """The number of rows of ``df`` if no zone has more than ``most`` and all values are finite, else 0."""
+def fits(df: DataFrame, columns: Sequence[str], ts: str, zone: str, most: int) -> int:
+    """The number of rows of ``df`` if no zone has more than ``most``, every row has a time, and all values are finite; else 0."""
     odd = [F.count_if(~(F.abs(F.col(c).cast("double")) < float("inf"))) for c in columns]
-    zones = df.groupBy(zone).agg(F.count(F.lit(1)).alias("n"), sum(odd[1:], odd[0]).alias("odd"))
+    zones = df.groupBy(zone).agg(F.count(F.lit(1)).alias("n"), sum(odd, F.count_if(F.col(ts).isNull())).alias("odd"))
     found = zones.agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.sum("odd").alias("odd")).first()
     return found["all"] if found["all"] and found["most"] <= most and not found["odd"] else 0
 
@@ -68,7 +68,7 @@ def judged_rows(
     steps = {c: steps_of(program, c) for c in columns}
     values = [F.col(c).cast("double").alias(f"_value_{i}") for i, c in enumerate(columns)]
     group = F.pmod(F.xxhash64(zone), F.lit(-(-rows // GROUP_ROWS)).cast("long"))
-    given = df.where(F.col(zone).isNotNull() & F.col(ts).isNotNull()).select(
+    given = df.where(F.col(zone).isNotNull()).select(
         group.alias("_group"), F.col(zone).alias("_zone"), micros(ts).alias("_at"), *values
     )
     fields = [
